@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tessella.llm import simhash
+from tessella.llm import quality, secrets, simhash
 
 
 def queries():
-    return {"op1_simhash": simhash.op1_simhash}
+    return {"op1_simhash": simhash.op1_simhash, "op5_secret_scan": secrets.op5_secret_scan, "op6_quality": quality.op6_quality}
 
 
 def oracle_sql():
