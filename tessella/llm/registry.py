@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from tessella.llm import quality, secrets, simhash
+from tessella.llm import arrowfiles, chat, mixing, packing, quality, secrets, simhash
 
 
 def queries():
-    return {"op1_simhash": simhash.op1_simhash, "op5_secret_scan": secrets.op5_secret_scan, "op6_quality": quality.op6_quality}
+    return {
+        "op1_simhash": simhash.op1_simhash,
+        "op2_chat_format": chat.op2_chat_format,
+        "op5_secret_scan": secrets.op5_secret_scan,
+        "op6_quality": quality.op6_quality,
+        "op7_mix": mixing.op7_mix,
+        "op9_arrow_files": arrowfiles.op9_arrow_files,
+        "op10_pack": packing.op10_pack,
+    }
 
 
 def oracle_sql():
-    return {}
+    return {"op2_chat_format": chat.OP2_SQL}
