@@ -1,47 +1,87 @@
-"""Byte-level BPE token ids by the tokenizers library, with a bounded memory of words."""
+"""Byte-level BPE token ids by the tokenizers library, with a bounded memory of words.
+
+The library's own splitting of a text costs more than the merges do. A text is first split at spaces, each part's ids are
+remembered, and new parts go through the vocabulary's published splitting pattern to the library's BPE model. Parts with
+characters on which two regular-expression libraries may differ go through the library whole.
+"""
 
 from __future__ import annotations
 
-import os
 import re
+from array import array
 from functools import cache
 
 import numpy as np
 import public_tokenizers
+import regex
 
 VOCABULARY = "byte_bpe_50k.json"
 #: A space before a visible character always starts a new piece of byte-level BPE's own splitting, so encoding the parts
 #: of a text split there gives the ids of the whole.
 SPLIT = re.compile(r" (?=\S)")
-#: Words remembered by a worker, and the longest of them: under 100 MB.
-REMEMBERED, LONGEST = 300_000, 64
+PIECES = regex.compile(public_tokenizers.PATTERN)
+#: Parts of common characters only: ASCII and Latin letters and marks, without rare white space and control characters.
+COMMON = re.compile(r"[\t\n\r -~¡-ɏ]*")
+#: Parts that a worker remembers, twice over, and the longest of them: under 250 MB.
+REMEMBERED, LONGEST = 500_000, 64
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letters: visible Latin-1 characters stand for themselves, the other bytes follow from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+
+
+LETTERS = _byte_letters()
+
+
+class Remembered(dict):
+    """Values made at first sight. When full, it starts anew and takes over what is still asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
 
 class WordEncoder:
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        #: By part without its leading space, and by piece of a part.
+        self.parts, self.pieces = Remembered(self._part), Remembered(self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(LETTERS))]).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        if part.isalpha() and COMMON.fullmatch(part):  # a single piece
+            return self._piece(" " + part)
+        return self._mixed(" " + part)
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+    def _mixed(self, text: str) -> bytes:
+        if not COMMON.fullmatch(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join([self.parts[p[1:]] if p[0] == " " and p[1:].isalpha() else self.pieces[p] for p in PIECES.findall(text)])
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids of a whole text as unsigned 32-bit integers."""
         first, *rest = SPLIT.split(text)
-        parts = [first, *(" " + p for p in rest)]
-        known = self.known
-        new = list({p for p in parts if p not in known})
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(set(parts))
-        fresh = dict(zip(new, self._encode(new), strict=True)) if new else {}
-        joined = b"".join([fresh[p] if p in fresh else known[p] for p in parts]) if fresh else b"".join(map(known.__getitem__, parts))
-        known.update((p, ids) for p, ids in fresh.items() if len(p) <= LONGEST)
-        return np.frombuffer(joined, dtype="<u4")
+        return np.frombuffer(self._mixed(first) + b"".join(map(self.parts.__getitem__, rest)), dtype=np.uint32)
 
 
 @cache
