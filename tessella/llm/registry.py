@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from tessella.llm import arrowfiles, chat, mixing, packing, quality, secrets, simhash
+from tessella.llm import arrowfiles, chat, imatch, mixing, packing, quality, secrets, simhash, toxicity, urlfilter
 
 
 def queries():
     return {
         "op1_simhash": simhash.op1_simhash,
         "op2_chat_format": chat.op2_chat_format,
+        "op3_imatch": imatch.op3_imatch,
+        "op4_url_filter": urlfilter.op4_url_filter,
         "op5_secret_scan": secrets.op5_secret_scan,
         "op6_quality": quality.op6_quality,
         "op7_mix": mixing.op7_mix,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_arrow_files": arrowfiles.op9_arrow_files,
         "op10_pack": packing.op10_pack,
     }

@@ -9,32 +9,35 @@ that length; a logistic curve fitted on training rows turns these into a probabi
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.termcounts import term_counts
 from tessella.runtime import materialize
 
 #: Labelled rows that the model is fitted on, at most in expectation: a random part beyond it.
 FIT_ROWS = 30_000
 #: The prior: a flat part, and a share of a token's own count, both dealt to the classes by their size.
-FLAT, SHARE = 0.5, 0.05
+FLAT, SHARE = 0.2, 0.02
 CAP = 3  # times that evidence counts in a text
-CONFIDENCE = 2.0  # standard errors, counted in documents, taken off a token's log odds
-LEAST_DOCS = 3
+#: Standard errors, counted in documents, taken off log odds: the one is used whose curve fits best across two folds.
+CONFIDENCES = (1.5, 2.0, 3.0, 4.0)
+LEAST_DOCS = 5
 K = 0.1  # of the extreme-value law, at its usual size
 THRESHOLD = 0.7
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Lengths of the word beginnings that are evidence too: what inflected forms have in common.
 BEGINNINGS = range(4, 8)
 #: Words whose scores a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 def evidence_of(word: str) -> list[str]:
@@ -185,59 +188,150 @@ def feature_column(text: Column, model: Model, spark) -> Column:
     return F.arrow_udf(measure, T.StructType([T.StructField("bits", T.DoubleType()), T.StructField("best", T.DoubleType())]))(text.cast("binary"))
 
 
-def hit_column(text: Column, model: Model, spark) -> Column:
-    """Words of a text, and those that score above 0."""
-    shared = spark.sparkContext.broadcast(model)
+COUNTED = [f"{what}{fold}_{cls}" for what in "nd" for fold in (0, 1) for cls in (0, 1)]
+
+
+def evidence_counts(rows: DataFrame) -> DataFrame:
+    """term and its counts n (at most CAP a text) and d (texts), by fold and class, from rows of text, toxic and fold."""
+    schema = pa.schema([("term", pa.binary()), *((c, pa.int64()) for c in COUNTED)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[bytes, np.ndarray] = {}
+
+        def flush():
+            table = np.array(list(sums.values()), dtype=np.int64).reshape(-1, len(COUNTED))
+            out = pa.RecordBatch.from_arrays([pa.array(list(sums), type=pa.binary()), *(pa.array(c) for c in table.T)], schema=schema)
+            sums.clear()
+            return out
 
-    def count(texts: pa.Array) -> pa.Array:
-        words = [words_of(t.as_py() or b"") for t in texts]
-        hits = [sum(shared.value.words[w] > 0 for w in x) for x in words]
-        return pa.StructArray.from_arrays([pa.array([len(x) for x in words], type=pa.int64()), pa.array(hits, type=pa.int64())], names=["words", "hits"])
+        for batch in batches:
+            for text, toxic, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True):
+                at = 2 * fold + toxic
+                for e, n in Counter(evidence(text or b"")).items():
+                    if e not in sums:
+                        sums[e] = [0] * len(COUNTED)
+                    sums[e][at] += min(n, CAP)
+                    sums[e][at + 4] += 1
+                if len(sums) > 300_000:
+                    yield flush()
+        yield flush()
+
+    narrow = rows.select(F.col("text").cast("binary").alias("text"), F.col("toxic").cast("int").alias("toxic"), F.col("fold").cast("int").alias("fold"))
+    counted = narrow.mapInArrow(count, "term binary, " + ", ".join(f"{c} long" for c in COUNTED))
+    return counted.groupBy("term").agg(*(F.sum(c).alias(c) for c in COUNTED))
+
+
+@dataclass(frozen=True)
+class Weights:
+    """Log odds of evidence at one confidence, before the cost and the decay are known."""
+
+    terms: list[bytes]
+    scores: np.ndarray
+    toxic: np.ndarray  # chances of the evidence among the words of toxic and of other texts
+    other: np.ndarray
+    kept: float  # part of the odds that the confidence bound leaves
+
+
+def weigh(terms: np.ndarray, n0, n1, d0, d1, words0: float, words1: float, confidence: float, least: int) -> Weights:
+    part1 = words1 / (words0 + words1)
+    prior, prior_d = FLAT + SHARE * (n0 + n1), FLAT + SHARE * (d0 + d1)
+    q1 = (n1 + prior * part1) / (words1 * (1 + SHARE))
+    q0 = (n0 + prior * (1 - part1)) / (words0 * (1 + SHARE))
+    odds = np.log(q1 / q0)
+    doubt = confidence * np.sqrt(1 / (d1 + prior_d) + 1 / (d0 + prior_d))
+    keep = (np.abs(odds) > doubt) & (d0 + d1 >= least)
+    scores = np.where(odds > 0, odds - doubt, np.maximum(odds + doubt, -2.0))
+    good = keep & (odds > 0)
+    kept = float((scores[good] * q1[good]).sum() / (odds[good] * q1[good]).sum()) if good.any() else 1.0
+    return Weights([bytes(t) for t in terms[keep]], scores[keep], q1[keep], q0[keep], kept)
+
+
+def settle(w: Weights, hits: tuple[float, float]) -> Model:
+    """A model from weights and the shares of words with evidence in other and in toxic texts: the cost falls to the words without."""
+    good = w.scores > 0
+    if not good.any():
+        return Model({})
+    chances = w.other[good] * min(1.0, hits[0] / w.other[good].sum())  # each word counts for one of its evidence
+    rest = 1 - chances.sum()
+    cost = min(-1e-3, w.kept * math.log((1 - hits[1]) / (1 - hits[0])), -1.2 * float((chances * w.scores[good]).sum()) / rest)
+    decay = decay_of(np.append(w.scores[good], cost), np.append(chances, rest))
+    return Model(dict(zip(w.terms, w.scores.tolist(), strict=True)), cost, decay)
 
-    count.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(count, T.StructType([T.StructField("words", T.LongType()), T.StructField("hits", T.LongType())]))(text.cast("binary"))
+
+def hit_rates(rows: DataFrame, sets: list[list[Weights]], spark) -> np.ndarray:
+    """[set, weights, class]: share of words with evidence; set 0 and 1 over their own folds, set 2 over all."""
+    shared = spark.sparkContext.broadcast([[Model(dict(zip(w.terms, w.scores.tolist(), strict=True))) for w in ws] for ws in sets])
+    width = len(sets[0])
+
+    def count(texts: pa.Array, folds: pa.Array) -> pa.Array:
+        out = []
+        for t, fold in zip(texts, folds.to_pylist(), strict=True):
+            words = words_of(t.as_py() or b"")
+            out.append([len(words), *(sum(m.words[w][0] > 0 for w in words) for k in (fold, 2) for m in shared.value[k])])
+        return pa.array(out, type=pa.list_(pa.int64()))
+
+    count.__annotations__ = {"texts": pa.Array, "folds": pa.Array, "return": pa.Array}
+    found = rows.select("fold", "toxic", F.arrow_udf(count, T.ArrayType(T.LongType()))(F.col("text").cast("binary"), F.col("fold")).alias("h"))
+    sums = found.groupBy("fold", "toxic").agg(*(F.sum(F.col("h")[i]).alias(f"h{i}") for i in range(1 + 2 * width))).collect()
+    hit, words = np.full((3, width, 2), 0.5), np.ones((3, 1, 2))
+    for r in sums:
+        for k, at in ((r.fold, 1), (2, 1 + width)):
+            hit[k, :, r.toxic] += [r[f"h{at + i}"] for i in range(width)]
+            words[k, 0, r.toxic] += r.h0
+    return hit / words
+
+
+def fold_features(rows: DataFrame, models: list[list[Model]], spark) -> pd.DataFrame:
+    """toxic, and for each confidence the features of every row under the other fold's model: at most about FIT_ROWS rows."""
+    shared = spark.sparkContext.broadcast(models)
+
+    def measure(texts: pa.Array, folds: pa.Array) -> pa.Array:
+        rows = [[x for m in shared.value[1 - fold] for x in features(t.as_py() or b"", m)] for t, fold in zip(texts, folds.to_pylist(), strict=True)]
+        return pa.array(rows, type=pa.list_(pa.float64()))
+
+    measure.__annotations__ = {"texts": pa.Array, "folds": pa.Array, "return": pa.Array}
+    return rows.select("toxic", F.arrow_udf(measure, T.ArrayType(T.DoubleType()))(F.col("text").cast("binary"), F.col("fold")).alias("x")).toPandas()
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """A model from the labelled training rows; one without tokens, scoring 0.5, where there are none of either class."""
+    """A model from the labelled training rows; one that scores every text 0.5 where there are no rows of either class.
+
+    Only rows that in_training allows are read. Evidence is counted in two folds; the curve, and the confidence that gives
+    the best one, come from rows scored by the other fold's evidence; the final evidence is that of both.
+    """
     spark = docs.sparkSession
     usable = labels.where(in_training(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     usable = materialize(usable, "labels")
-    n = usable.count()
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (1 << 20) * min(1.0, fit_rows / max(n, 1)))
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")  # at most about fit_rows ids
-    rows = rows.dropDuplicates(["text"])  # copies of a text are no further evidence
-    total, toxic = rows.agg(F.count("*"), F.sum("toxic")).first()
-    if not total or not toxic or toxic == total:
-        return Model({})
-    docs_with = term_counts(rows, lambda t: set(evidence(t)), classes="toxic").select("term", F.col("n").alias("d"), F.col("n1").alias("d1"))
-    counts = materialize(term_counts(rows, evidence, classes="toxic").join(docs_with, "term"), "evidence")
-    n, n1 = counts.where("substr(term, 1, 1) = X'3D'").agg(F.sum("n"), F.sum("n1")).first()  # all words
-    part1, part0 = n1 / n, 1 - n1 / n
-
-    def doubt_and_odds():
-        prior = lambda c: FLAT + SHARE * F.col(c)
-        p1 = (F.col("n1") + prior("n") * part1) / (n1 + SHARE * n1)
-        p0 = (F.col("n") - F.col("n1") + prior("n") * part0) / (n - n1 + SHARE * (n - n1))
-        doubt = CONFIDENCE * F.sqrt(1 / (F.col("d1") + prior("d")) + 1 / (F.col("d") - F.col("d1") + prior("d")))
-        return F.log(p1 / p0).alias("odds"), doubt.alias("doubt"), p0.alias("chance")
-
-    strong = counts.where(F.col("d") >= LEAST_DOCS).select("term", *doubt_and_odds())
-    strong = strong.where("abs(odds) > doubt").toPandas()  # bounded: evidence in at most about fit_rows documents
-    score = np.where(strong.odds > 0, strong.odds - strong.doubt, np.maximum(strong.odds + strong.doubt, -2.0))
-    scores = {bytes(t): float(s) for t, s in zip(strong.term, score, strict=True)}
-    if not (score > 0).any():
+    share = min(1.0, fit_rows / max(usable.count(), 1))
+    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (1 << 20) * share)
+    fold = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold")  # copies of a text fall into one fold
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic", fold)  # at most about fit_rows ids
+    rows = materialize(rows.dropDuplicates(["text"]), "examples")  # and are no further evidence
+    sizes = rows.groupBy("fold", "toxic").count().collect()
+    if len({(r.fold, r.toxic) for r in sizes}) < 4:
         return Model({})
-    hits = rows.select(hit_column(F.col("text"), Model(scores), spark).alias("x"), "toxic").groupBy("toxic").agg(F.sum("x.words").alias("words"), F.sum("x.hits").alias("hits"))
-    rate = {r.toxic: (r.hits + 0.5) / (r.words + 1) for r in hits.collect()}
-    cost = min(-1e-3, math.log((1 - rate[1]) / (1 - rate[0])))
-    good = score > 0
-    chances = strong.chance.to_numpy()[good]
-    chances = chances * min(1.0, rate[0] / chances.sum())  # each word counts for one of its evidence
-    decay = decay_of(np.append(score[good], cost), np.append(chances, 1 - chances.sum()))
-    model = Model(scores, cost, decay)
-    seen = rows.select(feature_column(F.col("text"), model, spark).alias("x"), "toxic").select("x.bits", "x.best", "toxic").toPandas()
-    return Model(scores, cost, decay, logistic_curve(seen[["bits", "best"]].to_numpy(float), seen.toxic.to_numpy(float)))
+    counts = materialize(evidence_counts(rows), "evidence")
+    words = {c: v or 0 for c, v in counts.where("substr(term, 1, 1) = X'3D'").agg(*(F.sum(c).alias(c) for c in COUNTED)).first().asDict().items()}
+    total = sum(F.col(c) for c in COUNTED if c[0] == "d")
+    table = counts.where(total >= LEAST_DOCS // 2).toPandas()  # bounded: evidence of at most about fit_rows texts
+    terms = table.term.to_numpy()
+    column = lambda what, cls, folds: sum(table[f"{what}{f}_{cls}"].to_numpy(float) for f in folds)
+    sets = []
+    for folds, least in (((0,), LEAST_DOCS // 2), ((1,), LEAST_DOCS // 2), ((0, 1), LEAST_DOCS)):
+        size = [sum(words[f"n{f}_{cls}"] for f in folds) for cls in (0, 1)]
+        sets.append([weigh(terms, column("n", 0, folds), column("n", 1, folds), column("d", 0, folds), column("d", 1, folds), *size, c, least) for c in CONFIDENCES])
+    rates = hit_rates(rows, sets, spark)
+    models = [[settle(w, tuple(r)) for w, r in zip(ws, rs, strict=True)] for ws, rs in zip(sets, rates, strict=True)]
+    seen = fold_features(rows, models[:2], spark)
+    y, x = seen.toxic.to_numpy(float), np.array(seen.x.tolist(), dtype=float).reshape(len(seen), -1)
+    best = None
+    for i, model in enumerate(models[2]):
+        curve = logistic_curve(x[:, 2 * i : 2 * i + 2], y)
+        p = 1 / (1 + np.exp(-np.clip(curve[0] + x[:, 2 * i : 2 * i + 2] @ np.array(curve[1:]), -30, 30)))
+        loss = -float(np.mean(np.where(y > 0, np.log(p + 1e-9), np.log(1 - p + 1e-9))))
+        if best is None or loss < best[0]:
+            best = loss, Model(model.scores, model.cost, model.decay, curve)
+    return best[1]
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
