@@ -1,11 +1,24 @@
-"""The registered queries and their equivalent SQL."""
+"""The registered queries: each operator applied to whole tables, and the equivalent SQL where there is one."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from tessella.plans import graphs, knowledge, memory, relational, search, streams
 
-def oracle_sql():
-    return {}
+MODULES = (relational, search, knowledge, memory, graphs, streams)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 search of the benchmark passages over all documents."""
+    return search.bm25(spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: q for m in MODULES for name, (q, _) in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}

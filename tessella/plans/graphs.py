@@ -1,0 +1,202 @@
+"""Queries of graphs, hypergraphs and plans over the order tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessella.operators import graph, hypergraph, plangraph
+from tessella.runtime import read_table as t
+
+
+def _bought_together(spark, d):
+    """Parts that share two orders or more; an order has a handful of lines."""
+    lines = t(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    a, b = lines.withColumnRenamed("l_partkey", "src"), lines.withColumnRenamed("l_partkey", "dst")
+    return a.join(b, "l_orderkey").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight")).where("weight >= 2").select("src", "dst")
+
+
+def _members(spark, d):
+    orders = t(spark, d, "orders").select(F.col("o_orderkey").alias("edge_id"), F.col("o_orderpriority").alias("edge_type"))
+    return t(spark, d, "lineitem").select(F.col("l_orderkey").alias("edge_id"), F.col("l_partkey").alias("node_id")).join(orders, "edge_id").distinct()
+
+
+def contains_build(spark, d):
+    rows = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return graph.containment(rows.select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("nation"), F.col("c_custkey").alias("customer")), ["region", "nation", "customer"])
+
+
+def degree(spark, d):
+    return graph.degrees(_bought_together(spark, d)).withColumn("centrality", F.round("centrality", 8))
+
+
+def components(spark, d):
+    return graph.components(_bought_together(spark, d))
+
+
+def triangles(spark, d):
+    return graph.triangles(_bought_together(spark, d)).withColumn("clustering", F.round("clustering", 6))
+
+
+def pagerank(spark, d):
+    return graph.pagerank(_bought_together(spark, d), rounds=5).withColumn("rank", F.round("rank", 10))
+
+
+def label_propagation(spark, d):
+    return graph.label_propagation(_bought_together(spark, d), 3)
+
+
+def shortest_path(spark, d):
+    """Steps from the first part of the whole graph along either direction."""
+    e = graph.undirected(_bought_together(spark, d))
+    return graph.distances(e, e.agg(F.min("src").alias("node")), 4)
+
+
+def simple_paths(spark, d):
+    """Paths of up to three steps from the nodes divisible by 50, along edges from the lower to the higher part."""
+    e = _bought_together(spark, d)
+    starts = e.where("src % 50 = 0").select(F.col("src").alias("node")).distinct()
+    return graph.simple_paths(e, starts, 3).select(F.array_join("path", ",").alias("path"))
+
+
+def betweenness(spark, d):
+    e = _bought_together(spark, d)
+    pivots = graph.undirected(e).select(F.col("src").alias("node")).distinct().orderBy("node").limit(20)
+    return graph.betweenness(e, pivots, 6).withColumn("betweenness", F.round("betweenness", 6))
+
+
+def modularity(spark, d):
+    e = _bought_together(spark, d)
+    c = graph.undirected(e).select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node") % 7)
+    return graph.modularity(e, c).select("community", "size", "inner", "degree", F.round("part", 8).alias("part"))
+
+
+def document_groups(spark, d):
+    return _members(spark, d).groupBy("edge_id", "edge_type").agg(F.count("*").alias("size"), F.array_join(F.array_sort(F.collect_list("node_id")).cast("array<string>"), ",").alias("members"))
+
+
+def influence(spark, d):
+    return hypergraph.node_influence(_members(spark, d))
+
+
+def gaps(spark, d):
+    return hypergraph.knowledge_gaps(_members(spark, d), most_others=20).select("edge_id", "node_id", "others", F.round("gap", 6).alias("gap"))
+
+
+def patterns(spark, d):
+    orders = t(spark, d, "orders").select(F.col("o_orderkey").alias("edge_id"), F.col("o_orderpriority").alias("edge_type"))
+    m = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("edge_id"), F.col("l_suppkey").alias("node_id")).join(orders, "edge_id")
+    found = hypergraph.similar_hyperedges(m)
+    links = found.select(F.col("edge_a").alias("edge_id")).unionAll(found.select("edge_b")).groupBy("edge_id").agg(F.count("*").alias("n_links"))
+    return links
+
+
+def diffusion(spark, d):
+    m = _members(spark, d)
+    return hypergraph.rings(m, m.select("node_id").where("node_id % 500 = 1"), 2).groupBy("distance").agg(F.count("*").alias("n"), F.min("node_id").alias("first"))
+
+
+def layer_fusion(spark, d):
+    docs = t(spark, d, "documents")
+    content = docs.select(F.lit("content").alias("layer"), F.col("doc_id").alias("node_id"), (F.least("n_chars", F.lit(5000)) / 5000).alias("score"))
+    structure = t(spark, d, "pages").select(F.lit("structure"), F.col("page_id"), (1 / F.size(F.split("url", "/"))))
+    metadata = t(spark, d, "labels").select(F.lit("metadata"), F.col("doc_id"), F.col("quality").cast("double"))
+    layers = content.unionAll(structure).unionAll(metadata)
+    return hypergraph.fuse_layers(layers, {"content": 1.0, "structure": 0.7, "metadata": 0.4}).withColumn("score", F.round("score", 6))
+
+
+def cluster_best(spark, d):
+    e = t(spark, d, "embeddings").select("vec_id", "label", F.round(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x), 6).alias("score"))
+    return hypergraph.best_of_cluster(e, "label", "score", "vec_id")
+
+
+def kmeans(spark, d):
+    """Clusters of the embeddings; sizes depend on the seed."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    e = t(spark, d, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    return KMeans(k=10, seed=7, maxIter=10).fit(e).transform(e).select("vec_id", F.col("prediction").alias("cluster"))
+
+
+def _plans(spark, d):
+    """Each order is a plan; a line waits for the line before it, and every third for the one before that."""
+    lines = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("node")).agg(F.min("l_partkey").alias("l_partkey"), F.min("l_returnflag").alias("l_returnflag"))
+    e = lines.select("plan_id", F.explode(F.array_compact(F.array(F.col("node") - 1, F.when(F.col("node") % 3 == 0, F.col("node") - 2)))).alias("src"), F.col("node").alias("dst"))
+    return lines, e.join(lines.select("plan_id", F.col("node").alias("src")), ["plan_id", "src"], "left_semi")
+
+
+def topo_levels(spark, d):
+    return plangraph.topological_levels(*_plans(spark, d))
+
+
+def ready_set(spark, d):
+    lines, e = _plans(spark, d)
+    return plangraph.ready_nodes(lines.withColumn("solved", F.col("l_returnflag") == "R"), e)
+
+
+def join_prompts(spark, d):
+    """Lines as plan nodes, parts as prompts; parts of size over 40 are missing from the library."""
+    lines, _ = _plans(spark, d)
+    prompts = t(spark, d, "part").where("p_size <= 40").select(F.col("p_partkey").alias("prompt_id"), F.col("p_name").alias("template"))
+    nodes = lines.select("plan_id", "node", F.when(F.col("node") < 6, F.col("l_partkey")).alias("prompt_id"))
+    return plangraph.attach_prompts(nodes, prompts).groupBy("status").agg(F.count("*").alias("n"), F.countDistinct("plan_id").alias("plans"))
+
+
+_E = """WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
+e AS (SELECT a.l_partkey AS src, b.l_partkey AS dst FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 HAVING count(*) >= 2),
+u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"""
+_M = "WITH m AS (SELECT DISTINCT l_orderkey AS edge_id, o_orderpriority AS edge_type, l_partkey AS node_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+_RANKS = ", ".join(
+    f"r{i} AS (SELECT node, 0.15 / (SELECT count(*) FROM n) + 0.85 * (coalesce((SELECT sum(r / o) FROM s{i} JOIN e ON s{i}.node = e.src WHERE e.dst = n.node), 0) + (SELECT coalesce(sum(r), 0) FROM s{i} WHERE o = 0) / (SELECT count(*) FROM n)) AS r FROM n), s{i + 1} AS MATERIALIZED (SELECT r{i}.node, r, o FROM r{i} JOIN n USING (node))"
+    for i in range(5)
+)
+_P = """WITH l AS (SELECT DISTINCT l_orderkey AS plan_id, l_linenumber AS node FROM lineitem), raw AS (SELECT plan_id, node - 1 AS src, node AS dst FROM l UNION ALL SELECT plan_id, node - 2, node FROM l WHERE node % 3 = 0),
+e AS (SELECT DISTINCT raw.* FROM raw JOIN l ON l.plan_id = raw.plan_id AND l.node = raw.src)"""
+
+QUERIES = {
+    "graph_contains_build": (contains_build, """
+WITH r AS (SELECT DISTINCT 'region:' || n_regionkey AS src, 'nation:' || n_nationkey AS dst FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT DISTINCT 'nation:' || n_nationkey, 'customer:' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT *, (row_number() OVER (PARTITION BY src ORDER BY dst) - 1)::INT AS ord FROM r"""),
+    "graph_degree": (degree, f"{_E}, g AS (SELECT src AS node, count(*) AS degree FROM u GROUP BY 1) SELECT *, round(degree / (greatest((SELECT count(*) FROM g) - 1, 1))::DOUBLE, 8) AS centrality FROM g"),
+    "graph_components": (components, f"{_E}, c AS (SELECT src AS node, src AS r FROM u UNION SELECT dst, r FROM c JOIN u ON c.node = u.src) SELECT node, min(r) AS component FROM c GROUP BY 1"),
+    "graph_triangles": (triangles, f"""{_E}, g AS (SELECT src AS node, count(*) AS degree FROM u GROUP BY 1),
+t AS (SELECT a.src AS x, a.dst AS y, b.dst AS z FROM e a JOIN e b ON a.dst = b.src JOIN e c ON c.src = a.src AND c.dst = b.dst),
+n AS (SELECT node, count(*) AS triangles FROM (SELECT unnest([x, y, z]) AS node FROM t) GROUP BY 1)
+SELECT node, degree, coalesce(triangles, 0) AS triangles, round(CASE WHEN degree > 1 THEN coalesce(triangles, 0) / (degree * (degree - 1) / 2.0) ELSE 0 END, 6) AS clustering FROM g LEFT JOIN n USING (node)"""),
+    "graph_pagerank": (pagerank, f"""{_E}, n AS (SELECT node, (SELECT count(*) FROM e WHERE e.src = x.node) AS o FROM (SELECT DISTINCT src AS node FROM u) x),
+s0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM n) AS r, o FROM n), {_RANKS} SELECT node, round(r, 10) AS rank FROM s5"""),
+    "graph_label_propagation": (label_propagation, None),
+    "graph_shortest_path": (shortest_path, f"""{_E}, p AS (SELECT min(src) AS source, min(src) AS node, 0 AS distance FROM u UNION SELECT source, u.dst, distance + 1 FROM p JOIN u ON p.node = u.src WHERE distance < 4)
+SELECT source, node, min(distance)::INT AS distance FROM p GROUP BY 1, 2"""),
+    "graph_simple_paths3": (simple_paths, f"""{_E}, p AS (SELECT [src, dst] AS path FROM e WHERE src % 50 = 0 UNION ALL SELECT list_append(path, e.dst) FROM p JOIN e ON e.src = path[-1] WHERE len(path) < 4)
+SELECT array_to_string(path, ',') AS path FROM p"""),
+    "graph_betweenness": (betweenness, None),
+    "graph_modularity": (modularity, f"""{_E}, s AS (SELECT src % 7 AS community, count(*) AS degree, sum(CASE WHEN src % 7 = dst % 7 THEN 0.5 ELSE 0 END)::DOUBLE AS "inner", count(DISTINCT src) AS size FROM u GROUP BY 1)
+SELECT community, size, "inner", degree, round("inner" / ((SELECT count(*) FROM u) / 2.0) - pow(degree / (SELECT count(*) FROM u)::DOUBLE, 2), 8) AS part FROM s"""),
+    "hyper_document_groups": (document_groups, f"{_M} SELECT edge_id, edge_type, count(*) AS size, array_to_string(list_sort(list(node_id)), ',') AS members FROM m GROUP BY 1, 2"),
+    "hyper_influence": (influence, f"{_M} SELECT node_id, count(DISTINCT edge_id) AS n_edges, count(DISTINCT edge_type) AS n_types, n_edges * n_types AS influence FROM m GROUP BY 1 HAVING n_edges >= 3"),
+    "hyper_gap": (gaps, f"""{_M}, b AS (SELECT edge_id FROM m GROUP BY 1 HAVING count(*) >= 3), k AS (SELECT node_id, count(*) - 1 AS others FROM m GROUP BY 1 HAVING others <= 20)
+SELECT edge_id, node_id, others, round(1 / (others + 1)::DOUBLE, 6) AS gap FROM m SEMI JOIN b USING (edge_id) JOIN k USING (node_id)"""),
+    "hyper_patterns": (patterns, """
+WITH m AS (SELECT DISTINCT o_orderpriority AS ty, l_orderkey AS id, l_suppkey AS node FROM lineitem JOIN orders ON l_orderkey = o_orderkey), z AS (SELECT id, count(*) AS n FROM m GROUP BY 1),
+p AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM m a JOIN m b ON a.ty = b.ty AND a.node = b.node AND a.id < b.id GROUP BY 1, 2 HAVING c >= 3),
+f AS (SELECT x, y FROM p JOIN z zx ON zx.id = x JOIN z zy ON zy.id = y WHERE c / (zx.n + zy.n - c)::DOUBLE > 0.5)
+SELECT edge_id, count(*) AS n_links FROM (SELECT x AS edge_id FROM f UNION ALL SELECT y FROM f) GROUP BY 1"""),
+    "hyper_diffusion": (diffusion, f"""{_M}, r0 AS (SELECT DISTINCT node_id FROM m WHERE node_id % 500 = 1), r1 AS (SELECT DISTINCT node_id FROM m WHERE edge_id IN (SELECT edge_id FROM m SEMI JOIN r0 USING (node_id))),
+r2 AS (SELECT DISTINCT node_id FROM m WHERE edge_id IN (SELECT edge_id FROM m SEMI JOIN r1 USING (node_id))),
+a AS (SELECT node_id, 0 AS distance FROM r0 UNION ALL SELECT node_id, 1 FROM r1 UNION ALL SELECT node_id, 2 FROM r2), b AS (SELECT node_id, min(distance)::INT AS distance FROM a GROUP BY 1)
+SELECT distance, count(*) AS n, min(node_id) AS first FROM b GROUP BY 1"""),
+    "layer_fusion": (layer_fusion, """
+WITH x AS (SELECT doc_id AS node, least(n_chars, 5000) / 5000.0::DOUBLE AS s FROM documents UNION ALL SELECT page_id, 0.7::DOUBLE / len(string_split(url, '/')) FROM pages UNION ALL SELECT doc_id, 0.4::DOUBLE * quality FROM labels),
+y AS (SELECT node AS node_id, sum(s) AS total FROM x GROUP BY 1) SELECT node_id, round(total / (SELECT max(total) FROM y), 6) AS score FROM y"""),
+    "semantic_cluster_best": (cluster_best, "WITH s AS (SELECT vec_id, label, round(list_sum(embedding::DOUBLE[]), 6) AS score FROM embeddings) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) = 1"),
+    "kmeans_clusters": (kmeans, None),
+    "plan_topo_levels": (topo_levels, f"""{_P.replace('WITH l', 'WITH RECURSIVE l')}, d AS (SELECT plan_id, node, 1 AS level FROM l WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.plan_id = l.plan_id AND e.dst = l.node)
+  UNION SELECT e.plan_id, e.dst, level + 1 FROM d JOIN e ON e.plan_id = d.plan_id AND e.src = d.node) SELECT plan_id, node, max(level)::INT AS level FROM d GROUP BY 1, 2"""),
+    "plan_ready_set": (ready_set, f"""{_P}, s AS (SELECT l_orderkey AS plan_id, l_linenumber AS node, min(l_returnflag) AS f FROM lineitem GROUP BY 1, 2)
+SELECT plan_id, node FROM s WHERE f <> 'R' AND NOT EXISTS (SELECT 1 FROM e JOIN s x ON x.plan_id = e.plan_id AND x.node = e.src WHERE e.plan_id = s.plan_id AND e.dst = s.node AND x.f <> 'R')"""),
+    "plan_join_prompts": (join_prompts, """
+WITH x AS (SELECT l_orderkey AS plan_id, CASE WHEN l_linenumber < 6 THEN min(l_partkey) END AS p FROM lineitem GROUP BY l_orderkey, l_linenumber)
+SELECT CASE WHEN p IS NULL THEN 'no prompt id' WHEN p_name IS NULL THEN 'unknown prompt' ELSE 'ok' END AS status, count(*) AS n, count(DISTINCT plan_id) AS plans FROM x LEFT JOIN part ON p = p_partkey AND p_size <= 40 GROUP BY 1"""),
+}
