@@ -196,7 +196,7 @@ def links(fingerprints: DataFrame, k: int = 4, plan=None) -> DataFrame:
     if crowded.isEmpty():
         placed = placed.select("cell", F.lit(0).alias("part_h"), F.lit(0).alias("part_v"), "visitor", "fp")
     else:
-        placed = placed.withColumn("part_h", F.explode("hs")).select("cell", F.col("part_h").cast("int").alias("part_h"), F.explode("vs").cast("int").alias("part_v"), "visitor", "fp")
+        placed = placed.withColumn("part_h", F.explode("hs")).select("cell", "part_h", F.explode("vs").alias("part_v"), "visitor", "fp")
     met = placed.repartition("cell", "part_h", "part_v").sortWithinPartitions("cell", "part_h", "part_v", "visitor")
     return met.mapInArrow(_compare(k), "src long, dst long")
 
