@@ -24,13 +24,13 @@ from pyspark.sql import types as T
 from tessella.runtime import materialize
 
 #: Labelled rows that the model is fitted on, at most in expectation: a random part beyond it.
-FIT_ROWS = 30_000
+FIT_ROWS = 8_000
 #: The prior: a flat part, and a share of a token's own count, both dealt to the classes by their size.
 FLAT, SHARE = 0.2, 0.02
 CAP = 3  # times that evidence counts in a text
 #: Standard errors, counted in documents, taken off log odds: the one is used whose curve fits best across two folds.
 CONFIDENCES = (1.5, 2.0, 3.0, 4.0)
-LEAST_DOCS = 5
+LEAST_DOCS, LEAST_IN_FOLD = 5, 3
 K = 0.1  # of the extreme-value law, at its usual size
 THRESHOLD = 0.7
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -313,11 +313,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     counts = materialize(evidence_counts(rows), "evidence")
     words = {c: v or 0 for c, v in counts.where("substr(term, 1, 1) = X'3D'").agg(*(F.sum(c).alias(c) for c in COUNTED)).first().asDict().items()}
     total = sum(F.col(c) for c in COUNTED if c[0] == "d")
-    table = counts.where(total >= LEAST_DOCS // 2).toPandas()  # bounded: evidence of at most about fit_rows texts
+    table = counts.where(total >= LEAST_IN_FOLD).toPandas()  # bounded: evidence of at most about fit_rows texts
     terms = table.term.to_numpy()
     column = lambda what, cls, folds: sum(table[f"{what}{f}_{cls}"].to_numpy(float) for f in folds)
     sets = []
-    for folds, least in (((0,), LEAST_DOCS // 2), ((1,), LEAST_DOCS // 2), ((0, 1), LEAST_DOCS)):
+    for folds, least in (((0,), LEAST_IN_FOLD), ((1,), LEAST_IN_FOLD), ((0, 1), LEAST_DOCS)):
         size = [sum(words[f"n{f}_{cls}"] for f in folds) for cls in (0, 1)]
         sets.append([weigh(terms, column("n", 0, folds), column("n", 1, folds), column("d", 0, folds), column("d", 1, folds), *size, c, least) for c in CONFIDENCES])
     rates = hit_rates(rows, sets, spark)
