@@ -168,3 +168,38 @@ def resolve_references(references: DataFrame, chunks: DataFrame, top: int = 3) -
     inside = lambda c, points: F.when(F.contains(F.lower(c), F.col("reference")), points).otherwise(0)
     scored = pairs.withColumn("score", inside(F.col("content"), 10) + inside(F.col("document_name"), 5) + inside(F.col("hierarchy"), 3)).where("score > 0")
     return top_per_key(scored.select("ref_id", "chunk_id", "score"), ["ref_id"], [F.desc("score"), F.col("chunk_id")], top)
+
+
+def structural_search(edges: DataFrame, nodes: DataFrame, keywords: DataFrame, weights: tuple[float, float] = (0.6, 0.2)) -> DataFrame:
+    """(query_id, node, score): share of the query's keywords in a node's text, and its degree centrality.
+
+    Nodes are (node, terms), keywords (query_id, keyword); only nodes that hold a keyword meet a query.
+    """
+    asked = keywords.select("query_id", "keyword").distinct()
+    sizes = asked.groupBy("query_id").agg(F.count("*").alias("n_keywords"))
+    held = nodes.select("node", F.explode(F.array_distinct("terms")).alias("keyword"))
+    hits = asked.join(held, "keyword").groupBy("query_id", "node").agg(F.count("*").alias("hits"))
+    scored = hits.join(sizes, "query_id").join(degrees(edges), "node", "left")
+    return scored.select("query_id", "node", (weights[0] * F.col("hits") / F.col("n_keywords") + weights[1] * F.coalesce("centrality", F.lit(0.0))).alias("score"))
+
+
+def community_search(communities: DataFrame, nodes: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(query_id, community, size, score): share of the keywords found in a community's texts, less for very small and large ones."""
+    sizes = communities.groupBy("community").agg(F.count("*").alias("size"))
+    held = nodes.join(communities, "node").select("community", F.explode(F.array_distinct("terms")).alias("keyword")).distinct()
+    asked = keywords.select("query_id", "keyword").distinct()
+    counts = asked.groupBy("query_id").agg(F.count("*").alias("n_keywords"))
+    hits = asked.join(held, "keyword").groupBy("query_id", "community").agg(F.count("*").alias("hits"))
+    factor = F.when(F.col("size") < 3, 0.5).when(F.col("size") > 50, 0.7).otherwise(1.0)
+    return hits.join(counts, "query_id").join(sizes, "community").select("query_id", "community", "size", (F.col("hits") / F.col("n_keywords") * factor).alias("score"))
+
+
+def descendants(edges: DataFrame, roots: DataFrame, most: int = 3) -> DataFrame:
+    """(root, node, depth, path) of a tree or DAG below the roots, path as text."""
+    e = materialize(edges.select("src", "dst").distinct(), "edges")
+    level = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"), F.col("node").cast("string").alias("path"))
+    found = level
+    for step in range(1, most + 1):
+        level = level.join(e, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), F.lit(step).alias("depth"), F.concat_ws(" > ", "path", F.col("dst").cast("string")).alias("path"))
+        found = found.unionAll(level)
+    return found

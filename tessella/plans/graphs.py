@@ -200,3 +200,105 @@ SELECT plan_id, node FROM s WHERE f <> 'R' AND NOT EXISTS (SELECT 1 FROM e JOIN
 WITH x AS (SELECT l_orderkey AS plan_id, CASE WHEN l_linenumber < 6 THEN min(l_partkey) END AS p FROM lineitem GROUP BY l_orderkey, l_linenumber)
 SELECT CASE WHEN p IS NULL THEN 'no prompt id' WHEN p_name IS NULL THEN 'unknown prompt' ELSE 'ok' END AS status, count(*) AS n, count(DISTINCT plan_id) AS plans FROM x LEFT JOIN part ON p = p_partkey AND p_size <= 40 GROUP BY 1"""),
 }
+
+
+def _part_nodes(spark, d):
+    return t(spark, d, "part").select(F.col("p_partkey").alias("node"), F.split(F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")), r"\s+").alias("terms"))
+
+
+def _keywords(spark, d):
+    return t(spark, d, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.explode(F.split(F.lower("p_type"), r"\s+")).alias("keyword"))
+
+
+def structural(spark, d):
+    from tessella.operators.relational import top_per_key
+
+    s = graph.structural_search(_bought_together(spark, d), _part_nodes(spark, d), _keywords(spark, d)).withColumn("score", F.round("score", 6))
+    return top_per_key(s, ["query_id"], [F.desc("score"), F.col("node")], 5)
+
+
+def communities(spark, d):
+    """Communities are the components of parts bought together."""
+    from tessella.operators.relational import top_per_key
+
+    c = components(spark, d).select("node", F.col("component").alias("community"))
+    s = graph.community_search(c, _part_nodes(spark, d), _keywords(spark, d)).withColumn("score", F.round("score", 6))
+    return top_per_key(s, ["query_id"], [F.desc("score"), F.col("community")], 3)
+
+
+def concept_hierarchy(spark, d):
+    """Regions, their nations and the nations' market segments, as paths."""
+    n = t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    c = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("src"), F.concat_ws("/", "n_name", "c_mktsegment").alias("dst"))
+    return graph.descendants(n.select(F.col("r_name").alias("src"), F.col("n_name").alias("dst")).union(c), t(spark, d, "region").select(F.col("r_name").alias("node")), 2)
+
+
+def induced_edges(spark, d):
+    e = _bought_together(spark, d)
+    return graph.induced(e, t(spark, d, "part").where("p_size <= 25").select(F.col("p_partkey").alias("node"))).select("src", "dst")
+
+
+def personal_pagerank(spark, d):
+    """Rank from the smallest parts on; sums of doubles, so only its rows are compared."""
+    restart = t(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("node"), F.lit(1.0).alias("weight"))
+    e = graph.undirected(_bought_together(spark, d))
+    return graph.pagerank(e, restart, rounds=5).withColumn("rank", F.round("rank", 9))
+
+
+def acyclic_check(spark, d):
+    """Orders as plans whose lines wait for the line before them, and the first also for a line sent back: a cycle."""
+    lines, e = _plans(spark, d)
+    back = lines.where("l_returnflag = 'R'").groupBy("plan_id").agg(F.max("node").alias("src")).join(lines.groupBy("plan_id").agg(F.min("node").alias("dst")), "plan_id").where("src > dst")
+    return plangraph.cyclic_plans(lines, e.unionByName(back))
+
+
+def execute(spark, d):
+    """Plans run level by level; lines sent back fail and stop what comes after."""
+    lines, _ = _plans(spark, d)
+    levels = topo_levels(spark, d)
+    out = plangraph.run_levels(levels, lines.select("plan_id", "node", (F.col("l_returnflag") != "R").alias("ok")))
+    return out.groupBy("status").agg(F.count("*").alias("n"), F.countDistinct("plan_id").alias("plans"))
+
+
+def iterations(spark, d):
+    tasks = t(spark, d, "orders").select("o_orderkey", F.filter(F.split("o_orderpriority", "[ -]+"), lambda x: F.length(x) > 4).alias("iterations"))
+    return plangraph.expand_iterations(tasks)
+
+
+def ensembles(spark, d):
+    e = t(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("weight"), F.avg(F.when(F.col("value") > 5, 1.0).otherwise(0.0)).alias("consistency"))
+    return plangraph.ensemble_weights(e, ["user_id"], "weight", "consistency").select("user_id", "event_type", F.round("final_weight", 6).alias("final_weight"), "mode")
+
+
+_KW = """k AS (SELECT DISTINCT p_partkey AS query_id, unnest(string_split_regex(lower(p_type), '\\s+')) AS keyword FROM part WHERE p_partkey % 50 = 0),
+t AS (SELECT DISTINCT p_partkey AS node, unnest(string_split_regex(lower(concat_ws(' ', p_name, p_type, p_brand)), '\\s+')) AS keyword FROM part), z AS (SELECT query_id, count(*) AS nk FROM k GROUP BY 1)"""
+
+QUERIES |= {
+    "graph_structural_search": (structural, f"""{_E}, {_KW}, g AS (SELECT src AS node, count(*) AS degree FROM u GROUP BY 1), c AS (SELECT node, degree / (greatest((SELECT count(*) FROM g) - 1, 1))::DOUBLE AS centrality FROM g),
+h AS (SELECT query_id, node, count(*) AS hits FROM k JOIN t USING (keyword) GROUP BY 1, 2),
+s AS (SELECT query_id, node, round(0.6::DOUBLE * hits / nk + 0.2::DOUBLE * coalesce(centrality, 0), 6) AS score FROM h JOIN z USING (query_id) LEFT JOIN c USING (node))
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) AS rank FROM s QUALIFY rank <= 5"""),
+    "graph_community_search": (communities, f"""{_E}, {_KW}, w AS (SELECT src AS node, src AS r FROM u UNION SELECT dst, r FROM w JOIN u ON w.node = u.src), c AS (SELECT node, min(r) AS community FROM w GROUP BY 1),
+y AS (SELECT community, count(*) AS size FROM c GROUP BY 1), q AS (SELECT DISTINCT community, keyword FROM t JOIN c USING (node)), h AS (SELECT query_id, community, count(*) AS hits FROM k JOIN q USING (keyword) GROUP BY 1, 2),
+s AS (SELECT query_id, community, size, round(hits / nk::DOUBLE * CASE WHEN size < 3 THEN 0.5 WHEN size > 50 THEN 0.7 ELSE 1 END, 6) AS score FROM h JOIN z USING (query_id) JOIN y USING (community))
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, community) AS rank FROM s QUALIFY rank <= 3"""),
+    "concept_hierarchy": (concept_hierarchy, """
+WITH s AS (SELECT DISTINCT r_name, n_name, n_name || '/' || c_mktsegment AS seg FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT r_name AS root, r_name AS node, 0 AS depth, r_name AS path FROM region UNION ALL SELECT r_name, n_name, 1, r_name || ' > ' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT r_name, seg, 2, r_name || ' > ' || n_name || ' > ' || seg FROM s"""),
+    "graph_induced": (induced_edges, f"{_E} SELECT src, dst FROM e WHERE src IN (SELECT p_partkey FROM part WHERE p_size <= 25) AND dst IN (SELECT p_partkey FROM part WHERE p_size <= 25)"),
+    "graph_personal_pagerank": (personal_pagerank, None),
+    "plan_acyclic_check": (acyclic_check, None),
+    "plan_execute": (execute, f"""{_P.replace('WITH l', 'WITH RECURSIVE l')}, d AS (SELECT plan_id, node, 1 AS level FROM l WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.plan_id = l.plan_id AND e.dst = l.node)
+  UNION SELECT e.plan_id, e.dst, level + 1 FROM d JOIN e ON e.plan_id = d.plan_id AND e.src = d.node), v AS (SELECT plan_id, node, max(level) AS level FROM d GROUP BY 1, 2),
+s AS (SELECT l_orderkey AS plan_id, l_linenumber AS node, min(l_returnflag) <> 'R' AS ok FROM lineitem GROUP BY 1, 2), j AS (SELECT * FROM v JOIN s USING (plan_id, node)),
+x AS (SELECT *, min(level) FILTER (NOT ok) OVER (PARTITION BY plan_id) AS stop FROM j)
+SELECT CASE WHEN level > stop THEN 'skipped' WHEN ok THEN 'done' ELSE 'failed' END AS status, count(*) AS n, count(DISTINCT plan_id) AS plans FROM x GROUP BY 1"""),
+    "task_iterations": (iterations, """
+WITH i AS (SELECT o_orderkey, list_filter(string_split_regex(o_orderpriority, '[ -]+'), lambda x: length(x) > 4) AS v FROM orders)
+SELECT o_orderkey, unnest(CASE WHEN len(v) > 0 THEN v ELSE [NULL] END) AS iteration_value FROM i"""),
+    "ensemble_weights": (ensembles, """
+WITH e AS (SELECT user_id, event_type, count(*) AS w, avg(CASE WHEN value > 5 THEN 1.0 ELSE 0 END) AS c FROM events GROUP BY 1, 2),
+f AS (SELECT *, sum(w * c * c) OVER (PARTITION BY user_id) AS total, avg(c) OVER (PARTITION BY user_id) AS mean FROM e)
+SELECT user_id, event_type, round(CASE WHEN total > 0 THEN w * c * c / total ELSE w END, 6) AS final_weight, CASE WHEN mean >= 0.7 THEN 'selection' ELSE 'synthesis' END AS mode FROM f"""),
+}
