@@ -62,6 +62,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         self.model = self.tokenizer.model
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # ours has each word already
         #: By part without its leading space, and by piece of a part.
         self.parts, self.pieces = Remembered(self._part), Remembered(self._piece)
 
@@ -71,6 +73,8 @@ class WordEncoder:
     def _part(self, part: str) -> bytes:
         if part.isalpha() and COMMON.fullmatch(part):  # a single piece
             return self._piece(" " + part)
+        if part[-1] in ".," and part[:-1].isalpha():
+            return self.parts[part[:-1]] + self.pieces[part[-1]]
         return self._mixed(" " + part)
 
     def _mixed(self, text: str) -> bytes:
