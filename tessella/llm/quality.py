@@ -146,7 +146,7 @@ def fit_groups(rows: DataFrame) -> DataFrame:
     sums = [F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(P)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in PAIRS)]
     for _ in range(STEPS):
         near = _distance(rows, estimate)
-        cut = near.groupBy("grp").agg(F.percentile(_bin("d2"), F.lit(SHARE)).alias("cut"))
+        cut = materialize(near.groupBy("grp").agg(F.percentile(_bin("d2"), F.lit(SHARE)).alias("cut")), "cut")  # small, so the join moves no vectors
         kept = near.join(cut, "grp").where(_bin("d2") <= F.col("cut"))
         estimate = materialize(kept.groupBy("grp").agg(*sums).mapInPandas(_estimates, ESTIMATE), "estimate")
     middle = _distance(rows, estimate).groupBy("grp").agg(F.pow(2.0, (F.percentile(_bin("d2"), F.lit(0.5)) + 0.5) / BINS).alias("middle"))
