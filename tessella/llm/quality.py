@@ -28,7 +28,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 FIELDS = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
 #: Smallest standard deviation of each entry of the vector: keeps the determinant from 0 where a group has no spread,
 #: and a trace of an unusual character from counting as an outlier.
-FLOORS = (0.5, 0.15, 0.06, 0.10, 0.12, 0.07, 0.07)
+FLOORS = (0.5, 0.15, 0.04, 0.10, 0.12, 0.07, 0.07)
 P = len(FLOORS)
 #: Share of a group that the estimate rests on, concentration steps, and rows below which a group is pooled.
 SHARE, STEPS, LEAST = 0.75, 5, 60
