@@ -8,6 +8,8 @@ characters on which two regular-expression libraries may differ go through the l
 from __future__ import annotations
 
 import re
+import threading
+import time
 from array import array
 from functools import cache
 
@@ -22,8 +24,10 @@ SPLIT = re.compile(r" (?=\S)")
 PIECES = regex.compile(public_tokenizers.PATTERN)
 #: Parts of common characters only: ASCII and Latin letters and marks, without rare white space and control characters.
 COMMON = re.compile(r"[\t\n\r -~¡-ɏ]*")
-#: Parts that a worker remembers, twice over, and the longest of them: under 250 MB.
-REMEMBERED, LONGEST = 500_000, 64
+#: Parts that a worker remembers, twice over, and the longest of them: under 200 MB.
+REMEMBERED, LONGEST = 400_000, 64
+#: Seconds without a text after which a worker forgets its words, so that other stages have the memory.
+IDLE_S = 4
 
 
 def _byte_letters() -> dict[int, str]:
@@ -64,6 +68,7 @@ class WordEncoder:
         self.model = self.tokenizer.model
         if hasattr(self.model, "_resize_cache"):
             self.model._resize_cache(0)  # ours has each word already
+        self.used = time.monotonic()
         #: By part without its leading space, and by piece of a part.
         self.parts, self.pieces = Remembered(self._part), Remembered(self._piece)
 
@@ -82,15 +87,30 @@ class WordEncoder:
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join([self.parts[p[1:]] if p[0] == " " and p[1:].isalpha() else self.pieces[p] for p in PIECES.findall(text)])
 
+    def forget(self) -> None:
+        for memory in (self.parts, self.pieces):
+            memory.older = {}
+            memory.clear()
+
+    def forget_when_idle(self) -> None:
+        while True:
+            time.sleep(IDLE_S)
+            if self.parts and time.monotonic() - self.used > IDLE_S:
+                self.forget()
+
     def encode(self, text: str) -> np.ndarray:
         """Token ids of a whole text as unsigned 32-bit integers."""
+        self.used = time.monotonic()
         first, *rest = SPLIT.split(text)
         return np.frombuffer(self._mixed(first) + b"".join(map(self.parts.__getitem__, rest)), dtype=np.uint32)
 
 
 @cache
 def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    """A worker's own encoder of a vocabulary."""
+    made = WordEncoder(path)
+    threading.Thread(target=made.forget_when_idle, daemon=True).start()
+    return made
 
 
 def vocabulary_path(path: str | None = None) -> str:
