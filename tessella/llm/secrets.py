@@ -29,8 +29,10 @@ DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 #: Hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 UUID = re.compile(r"(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}")
-#: Words, numbers, and either joined by separators: names, dates, counters, rules of dashes.
-IDENTIFIER = re.compile(r"[/_=+-]*(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]+)?(?:[/_=+-]+(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]+)?)+")
+#: Words, numbers, and either joined by separators: names, dates, counters, rules of dashes. A run is cut at its separators
+#: first, so that no part is tried in more than one way.
+SEPARATORS = re.compile(r"[/_=+-]+")
+WORD = re.compile(r"[A-Za-z]?[a-z]+|[A-Z]+|[0-9]+")
 #: Characters per token below which a run counts as random. Hex and base-62 runs have 1.3 to 1.7, run-together words over 2.2.
 MAX_CHARS_PER_TOKEN = 2.0
 PLACEHOLDER = "[SECRET]"
@@ -43,8 +45,13 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def is_identifier(run: str) -> bool:
+    first, *rest = SEPARATORS.split(run)
+    return bool(rest) and all(not part or WORD.fullmatch(part) for part in (first, *rest))
+
+
 def is_known(run: str) -> bool:
-    return bool(len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run) or UUID.fullmatch(run) or run.isdigit() or IDENTIFIER.fullmatch(run))
+    return bool(len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run) or UUID.fullmatch(run) or run.isdigit() or is_identifier(run))
 
 
 def find_secrets(text: str, vocabulary: str, most: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
