@@ -2,7 +2,8 @@
 
 The library's own splitting of a text costs more than the merges do. A text is first split at spaces, each part's ids are
 remembered, and new parts go through the vocabulary's published splitting pattern to the library's BPE model. Parts with
-characters on which two regular-expression libraries may differ go through the library whole.
+characters on which two regular-expression libraries may differ go through the library whole, and so do texts that hold an
+added token such as <|endoftext|>.
 """
 
 from __future__ import annotations
@@ -64,7 +65,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        #: Strings that the library turns into one id each, wherever a text holds them.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         if hasattr(self.model, "_resize_cache"):
             self.model._resize_cache(0)  # ours has each word already
@@ -101,6 +103,8 @@ class WordEncoder:
     def encode(self, text: str) -> np.ndarray:
         """Token ids of a whole text as unsigned 32-bit integers."""
         self.used = time.monotonic()
+        if any(a in text for a in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         first, *rest = SPLIT.split(text)
         return np.frombuffer(self._mixed(first) + b"".join(map(self.parts.__getitem__, rest)), dtype=np.uint32)
 

@@ -29,6 +29,16 @@ def test_word_by_word_ids_are_the_library_ids(text):
     assert encoder(vocabulary_path()).encode(text).tolist() == library_ids([text])[0]
 
 
+def test_added_tokens_are_the_library_ids(spark):
+    texts = ["<|endoftext|>", "a<|endoftext|>b", "one two <|endoftext|> three", " <|endoftext|><|endoftext|>\n x", "<|endoftext|", "<|ENDOFTEXT|>", "漢 <|endoftext|>\x85 end", "word <|endoftext|> " * 2000]
+    e = WordEncoder(vocabulary_path())
+    want = library_ids(texts)
+    assert want[0] == [50256] and [e.encode(t).tolist() for t in texts] == want
+    docs = list(enumerate(texts))
+    got = P.pack(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(tuple(r)[:5] for r in got) == sorted(pieces_of(docs))
+
+
 def test_a_full_memory_changes_nothing(monkeypatch):
     import tessella.llm.tokens as tokens
 
