@@ -2,13 +2,16 @@
 
 The outlier test transforms a document's counts into a vector and rejects it when its Mahalanobis distance, under a
 minimum-covariance-determinant estimate of its group, is too large. The estimate covers all documents of the group: each
-concentration step is one grouped aggregation over the vectors, so a group may hold any share of the rows.
+concentration step is one grouped aggregation over the vectors, so a group may hold any share of the rows. Steps go on from
+several starts until the determinant falls no more, and the least one is taken.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,8 +33,14 @@ FIELDS = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
 #: and a trace of an unusual character from counting as an outlier.
 FLOORS = (0.5, 0.15, 0.04, 0.10, 0.12, 0.07, 0.07)
 P = len(FLOORS)
-#: Share of a group that the estimate rests on, concentration steps, and rows below which a group is pooled.
-SHARE, STEPS, LEAST = 0.75, 5, 60
+#: Share of a group that the estimate rests on (the least, so up to half of a group may be junk), rows below which a group is
+#: pooled, and the factor that makes the covariance of a normal group's nearest half that of the group:
+#: SHARE / P(chi-square with 9 degrees of freedom < CHI2_HALF).
+SHARE, LEAST, CONSISTENCY = 0.5, 60, 1.6942
+#: Starts from single rows besides the two from quantiles, and the fall of the logarithm of the determinant below which a
+#: start has converged. It has a lower bound, by FLOORS, so every start ends.
+ROW_STARTS, SETTLED = 3, 0.01
+GRID = 20  # quantiles that the shortest half of each entry is searched on
 #: Medians and cut-off of chi-square with 7 degrees of freedom: the cut-off is exceeded by one normal vector in 1e9.
 CHI2_HALF, CHI2_CUT = 6.3458, 56.1
 BINS = 64  # bins of squared distance per doubling
@@ -101,24 +110,25 @@ def vector(c: str) -> list[Column]:
 
 
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
-ESTIMATE = "grp string, " + ", ".join([f"m{i} double" for i in range(P)] + [f"w{i}_{j} double" for i, j in PAIRS])
+MEAN, INVERSE = [f"m{i}" for i in range(P)], [f"w{i}_{j}" for i, j in PAIRS]
+ESTIMATE = "grp string, start int, logdet double, " + ", ".join(f"{c} double" for c in MEAN + INVERSE)
 
 
 def _estimates(moments: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row a group of counts and moments in, its mean and inverse covariance out."""
+    """One row a group and start of counts and moments in, its mean, inverse covariance and determinant out."""
     for rows in moments:
         out = []
         for r in rows.to_dict("records"):
             mean = np.array([r[f"s{i}"] for i in range(P)]) / r["n"]
             cov = np.diag(np.square(FLOORS))
             for i, j in PAIRS:
-                c = r[f"s{i}_{j}"] / r["n"] - mean[i] * mean[j]
+                c = CONSISTENCY * (r[f"s{i}_{j}"] / r["n"] - mean[i] * mean[j])
                 cov[i, j] += c
                 if i != j:
                     cov[j, i] += c
             inverse = np.linalg.inv(cov)
-            out.append([r["grp"], *mean, *(inverse[i, j] for i, j in PAIRS)])
-        yield pd.DataFrame(out, columns=["grp", *(f"m{i}" for i in range(P)), *(f"w{i}_{j}" for i, j in PAIRS)])
+            out.append([r["grp"], r["start"], np.linalg.slogdet(cov)[1], *mean, *(inverse[i, j] for i, j in PAIRS)])
+        yield pd.DataFrame(out, columns=["grp", "start", "logdet", *MEAN, *INVERSE])
 
 
 def squared_distance(x: list[Column]) -> Column:
@@ -128,7 +138,7 @@ def squared_distance(x: list[Column]) -> Column:
 
 def _distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     total = squared_distance([F.col(f"x{i}") for i in range(P)])
-    return rows.join(estimate, "grp").select(*rows.columns, F.greatest(total, F.lit(1e-9)).alias("d2"))
+    return rows.join(estimate, "grp").select(*rows.columns, "start", F.greatest(total, F.lit(1e-9)).alias("d2"))
 
 
 def _bin(d2: str) -> Column:
@@ -136,21 +146,51 @@ def _bin(d2: str) -> Column:
     return F.floor(F.log2(d2) * BINS)
 
 
+def _starts(rows: DataFrame) -> DataFrame:
+    """Estimates to start from: median and quartiles, the middles of the shortest halves, and single rows.
+
+    The rows are drawn by a hash of their values, so that copies count once. All but the first have the spread of the
+    shortest halves, which half of a group does not move.
+    """
+    x = [f"x{i}" for i in range(P)]
+    marks = F.array(*(F.lit(k / GRID) for k in range(GRID + 1)))
+    drawn = [F.min_by(F.struct(*x), F.xxhash64(F.lit(k), *x)).alias(f"r{k}") for k in range(ROW_STARTS)]
+    at = materialize(rows.groupBy("grp").agg(*(F.percentile(F.round(c, 2), marks).alias(f"q{i}") for i, c in enumerate(x)), *drawn), "quantiles")
+    half = lambda i: F.array_min(F.array(*(F.struct((F.col(f"q{i}")[k + GRID // 2] - F.col(f"q{i}")[k]).alias("width"), ((F.col(f"q{i}")[k] + F.col(f"q{i}")[k + GRID // 2]) / 2).alias("middle")) for k in range(GRID // 2 + 1))))
+    at = at.select("grp", *(f"q{i}" for i in range(P)), *(half(i).alias(f"h{i}") for i in range(P)), *(f"r{k}" for k in range(ROW_STARTS)))
+    quartiles = [F.col(f"q{i}")[3 * GRID // 4] - F.col(f"q{i}")[GRID // 4] for i in range(P)]
+    halves = [F.col(f"h{i}.width") for i in range(P)]
+    centres = [([F.col(f"q{i}")[GRID // 2] for i in range(P)], quartiles), ([F.col(f"h{i}.middle") for i in range(P)], halves)]
+    centres += [([F.col(f"r{k}.x{i}") for i in range(P)], halves) for k in range(ROW_STARTS)]
+    found = []
+    for k, (centre, width) in enumerate(centres):
+        weight = lambda i, j, width=width: 1 / (F.pow(width[i] / 1.349, 2) + FLOORS[i] ** 2) if i == j else F.lit(0.0)
+        columns = [*(c.alias(m) for c, m in zip(centre, MEAN, strict=True)), *(weight(i, j).alias(w) for (i, j), w in zip(PAIRS, INVERSE, strict=True))]
+        found.append(F.struct(F.lit(k).alias("start"), F.lit(math.inf).alias("logdet"), *columns))
+    return materialize(at.select("grp", F.explode(F.array(*found)).alias("e")).select("grp", "e.*"), "estimate")
+
+
 def fit_groups(rows: DataFrame) -> DataFrame:
-    """(grp, mean, inverse covariance, scale) for groups of vectors grp, x0..x6."""
-    at = [F.percentile(F.round(f"x{i}", 2), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i in range(P)]
-    start = rows.groupBy("grp").agg(*at)
-    spread = lambda i: F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + FLOORS[i] ** 2
-    start = start.select("grp", *(F.col(f"q{i}")[1].alias(f"m{i}") for i in range(P)), *((1 / spread(i) if i == j else F.lit(0.0)).alias(f"w{i}_{j}") for i, j in PAIRS))
-    estimate = materialize(start, "estimate")
+    """(grp, mean, inverse covariance, scale) for groups of vectors grp, x0..x6: of several starts, the one of least determinant."""
     sums = [F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(P)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in PAIRS)]
-    for _ in range(STEPS):
-        near = _distance(rows, estimate)
-        cut = materialize(near.groupBy("grp").agg(F.percentile(_bin("d2"), F.lit(SHARE)).alias("cut")), "cut")  # small, so the join moves no vectors
-        kept = near.join(cut, "grp").where(_bin("d2") <= F.col("cut"))
-        estimate = materialize(kept.groupBy("grp").agg(*sums).mapInPandas(_estimates, ESTIMATE), "estimate")
+    active, settled = _starts(rows), []
+    while not active.isEmpty():
+        near = _distance(rows, active)
+        cut = materialize(near.groupBy("grp", "start").agg(F.percentile(_bin("d2"), F.lit(SHARE)).alias("cut")), "cut")  # small, so the join moves no vectors
+        kept = near.join(cut, ["grp", "start"]).where(_bin("d2") <= F.col("cut"))
+        found = kept.groupBy("grp", "start").agg(*sums).mapInPandas(_estimates, ESTIMATE)
+        before = active.select("grp", "start", F.col("logdet").alias("before"))
+        found = materialize(found.join(before, ["grp", "start"]), "estimate")
+        falls = F.col("logdet") < F.col("before") - SETTLED
+        settled.append(found.where(~falls).drop("before"))
+        same = [F.round(c, 6) for c in ("logdet", *MEAN)]  # starts that have met go on as one
+        first = found.where(falls).groupBy("grp", *(c.alias(f"same{i}") for i, c in enumerate(same))).agg(F.min("start").alias("start"))
+        active = materialize(found.where(falls).drop("before").join(first.select("grp", "start"), ["grp", "start"], "left_semi"), "active")
+    ends = reduce(DataFrame.unionByName, settled, active)  # active is empty
+    best = ends.groupBy("grp").agg(F.min_by(F.struct("start", *MEAN, *INVERSE), F.struct("logdet", "start")).alias("e"))
+    estimate = materialize(best.select("grp", "e.*"), "estimate")
     middle = _distance(rows, estimate).groupBy("grp").agg(F.pow(2.0, (F.percentile(_bin("d2"), F.lit(0.5)) + 0.5) / BINS).alias("middle"))
-    return materialize(estimate.join(middle, "grp").withColumn("scale", F.greatest(F.col("middle") / CHI2_HALF, F.lit(1.0))).drop("middle"), "fit")
+    return materialize(estimate.join(middle, "grp").withColumn("scale", F.greatest(F.col("middle") / CHI2_HALF, F.lit(1.0))).drop("middle", "start"), "fit")
 
 
 def group_names(counted: DataFrame) -> DataFrame:

@@ -53,6 +53,18 @@ def test_concentration_finds_the_majority(spark):
     assert all(abs(fit[f"m{i}"]) < 0.3 for i in range(Q.P))
 
 
+def test_a_third_of_junk_copies_goes(spark):
+    """A tight junk group of a third of its source is not kept whole, and the rows beside it stay."""
+    r = np.random.default_rng(5)
+    word = lambda: "".join(r.choice(list("aeinorst"), r.integers(2, 9)))
+    junk = " ".join(word() + "#%$!!" for _ in range(120))
+    rows = [(i, "en", "s", " ".join(word() for _ in range(int(r.integers(30, 400))))) for i in range(400)]
+    rows += [(1000 + i, "en", "s", junk) for i in range(200)]
+    kept = {x.row.doc_id: x.kept for x in Q.judge(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")).collect()}
+    assert not any(kept[1000 + i] for i in range(200))
+    assert sum(kept[i] for i in range(400)) >= 396
+
+
 def test_odd_rows(spark, odd, empty):
     got = Q.judge(odd)
     assert got.count() == odd.count() and not any(r.kept for r in got.where("counts.n_words < 10").collect())
