@@ -25,7 +25,8 @@ from tessella.runtime import materialize
 #: (verdict, host, path). A rule fits its host and all subdomains where the path starts with its own; the longest wins.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 SEEDS = ("spam", "pills", "casino", "viagra", "porn", "xxx", "gambling", "jackpot", "payday", "replica", "phishing", "warez")
-#: Words and tokens under this share of all are left out of the models, which bounds both at 1 / share entries.
+#: Words under this share of all are left out of the word model; tokens under it are not broadcast but joined. Either bounds
+#: what a worker holds at 1 / share entries.
 LEAST_SHARE = 1e-6
 LONGEST_WORD = 20
 SEED_COUNT = 5  # times that a seed counts in the word model at least
@@ -105,8 +106,11 @@ def token_column(host: Column, path: Column, costs: dict[str, float], log_total:
     return F.arrow_udf(segment, T.ArrayType(T.StringType()))(host, path)
 
 
-def bayes_weights(tokens: DataFrame) -> tuple[dict[str, float], float]:
-    """Log odds of block against allow for each token, and of the classes; from a table of tokens and seeded flags."""
+SEED_TOKENS = [mark + s for s in SEEDS for mark in ("h:", "p:")]
+
+
+def bayes_weights(tokens: DataFrame) -> tuple[dict[str, float], DataFrame, float]:
+    """Log odds of block against allow for the common tokens and the seeds, a table (token, odds) of the rare rest, and the log odds of the classes; from a table of tokens and seeded flags."""
     each = tokens.select("seeded", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.sum(F.col("seeded").cast("long")).alias("bad"))
     each = materialize(each, "tokens")
     n, bad, size = each.agg(F.sum("n"), F.sum("bad"), F.count("*")).first()
@@ -114,8 +118,15 @@ def bayes_weights(tokens: DataFrame) -> tuple[dict[str, float], float]:
     urls, bad_urls = tokens.agg(F.count("*"), F.sum(F.col("seeded").cast("long"))).first()
     bad_urls = bad_urls or 0
     odds = (F.log((F.col("bad") + 1) / (bad + size)) - F.log((F.col("n") - F.col("bad") + 1) / (n - bad + size))).alias("odds")
-    weights = {r.token: r.odds for r in each.where(F.col("n") >= LEAST_SHARE * n).select("token", odds).toLocalIterator()}
-    return weights, math.log((bad_urls + 1) / (urls - bad_urls + 1))
+    common = (F.col("n") >= LEAST_SHARE * n) | F.col("token").isin(SEED_TOKENS)
+    weights = {r.token: r.odds for r in each.where(common).select("token", odds).toLocalIterator()}
+    return weights, each.where(~common).select("token", odds), math.log((bad_urls + 1) / (urls - bad_urls + 1))
+
+
+def rare_sums(tokens: DataFrame, rare: DataFrame) -> DataFrame:
+    """(row_id, rare): the summed odds of the rare tokens of each row that has any."""
+    each = tokens.select("row_id", F.explode("tokens").alias("token"))
+    return each.join(rare, "token").groupBy("row_id").agg(F.sum("odds").alias("rare"))
 
 
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -129,9 +140,10 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     host, path = url_parts("url")
     parts = pages.select(F.col("page_id").alias("page_id"), host.alias("host"), path.alias("path"))
     tokens = parts.withColumn("tokens", token_column(F.col("host"), F.col("path"), costs, log_total, spark))
-    seeds = F.array(*(F.lit(mark + s) for s in SEEDS for mark in ("h:", "p:")))
-    tokens = materialize(tokens.withColumn("seeded", F.arrays_overlap("tokens", seeds)), "urls")
-    weights, prior = bayes_weights(tokens)
+    seeds = F.array(*map(F.lit, SEED_TOKENS))
+    tokens = tokens.withColumn("seeded", F.arrays_overlap("tokens", seeds)).withColumn("row_id", F.monotonically_increasing_id())
+    tokens = materialize(tokens, "urls")  # which also fixes the numbers of the rows
+    weights, rare, prior = bayes_weights(tokens)
     shared = spark.sparkContext.broadcast(weights)
 
     def add(lists: pa.Array) -> pa.Array:
@@ -141,6 +153,8 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     add.__annotations__ = {"lists": pa.Array, "return": pa.Array}
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     scored = tokens.withColumn("score", F.arrow_udf(add, T.DoubleType())("tokens"))
+    if not rare.isEmpty():
+        scored = scored.join(rare_sums(tokens, rare), "row_id", "left").withColumn("score", F.col("score") + F.coalesce("rare", F.lit(0.0)))
     return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "score", "tokens")
 
 

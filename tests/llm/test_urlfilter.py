@@ -44,6 +44,20 @@ def test_query_matches_a_plain_version(spark, data):
     assert got == plain_verdicts(pages)
 
 
+def test_rare_tokens_count_in_full(spark, monkeypatch):
+    """Seeds and tokens below the share for the broadcast give the score that they give above it."""
+    rows = [(i, f"x://shop{i % 7}.org/news/{'abcdefg'[i % 7] * 3}") for i in range(60)] + [(100, "x://warez.org/get"), (101, "x://crack.org/get"), (101, "x://crack.org/get"), (102, None)]
+    pages = spark.createDataFrame([(i, u, "<p>warez crack shop news get</p>") for i, u in rows], "page_id long, url string, html string")
+    tokens = spark.createDataFrame([(["h:warez", "p:get"], True), (["h:crack", "p:get"], False), *[(["h:shop"], False)] * 60], "tokens array<string>, seeded boolean")
+    scores = lambda: sorted((r.page_id, round(r.score, 9), r.verdict) for r in U.filter_urls(pages).collect())
+    words = U.word_costs(pages.select("html"))
+    monkeypatch.setattr(U, "word_costs", lambda _: words)  # only the tokens' share is under test
+    whole = scores()
+    monkeypatch.setattr(U, "LEAST_SHARE", 0.2)
+    assert "h:warez" in U.bayes_weights(tokens)[0] and {r.token for r in U.bayes_weights(tokens)[1].collect()} == {"h:crack", "p:get"}
+    assert scores() == whole and len(whole) == len(rows)
+
+
 def test_names_are_segmented():
     costs = {w: 3.0 for w in ("cheap", "pills", "online", "on", "line")}
     assert U.viterbi_words("cheappillsonline", costs, 12.0) == ["cheap", "pills", "online"]
