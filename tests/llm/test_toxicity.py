@@ -29,6 +29,15 @@ def test_segments_match_the_definition():
     assert T.maximal_segments(np.array([])) == [] and T.maximal_segments(np.array([-1.0])) == []
 
 
+def test_a_late_passage_is_found():
+    """Evidence that came often before counts again in the last passage, and each copy of a passage is reported."""
+    model = T.Model({b"=vermin": 2.0, b"=scum": 2.5}, cost=-0.1)
+    passage, gap = "vermin scum vermin scum", "plain " * 200
+    text = (gap + passage + " ") * 5
+    found = T.passages(text.encode(), model)
+    assert [(a, b) for a, b, *_ in found] == [(204 * k + 200, 204 * k + 204) for k in range(5)]
+
+
 def planted(n=900, seed=1):
     r = random.Random(seed)
     word = lambda: "".join(r.choice(["ba", "do", "ki", "lu", "me", "sa"]) for _ in range(r.randrange(1, 4)))
