@@ -19,18 +19,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.llm.rows import named, row_of
 from tessella.operators.components import connected_components
 from tessella.runtime import materialize
 
 #: (first bit, bits, Hamming parity bits r with 2**r - 1 code bits or 0, t). (t + 1) add up to 5 in either plan: k = 4.
-THREE_BLOCKS = ((0, 22, 4, 1), (22, 21, 4, 1), (43, 21, 0, 0))
-#: 27 anchor bits a block in place of 17 to 21: more copies of each fingerprint, fewer chance meetings.
+THREE_BLOCKS = ((0, 22, 4, 1), (22, 21, 4, 1), (43, 21, 4, 0))
+#: 27 anchor bits a block in place of 17 or 18: more copies of each fingerprint, fewer chance meetings. Both plans are exact;
+#: this one is cheaper from about 100 million distinct fingerprints.
 TWO_BLOCKS = ((0, 32, 5, 2), (32, 32, 5, 1))
-#: Distinct fingerprints from which the chance meetings of THREE_BLOCKS cost more than the copies of TWO_BLOCKS. Both are exact.
-MANY_FINGERPRINTS = 100_000_000
 #: A block of one anchor's comparison: so many homes against so many visitors; larger anchors are cut into a grid.
 HOMES, VISITORS = 4096, 131_072
 PAIRS_AT_ONCE = 1 << 20
+PART = 10_000  # fingerprints of a group that meet its row in one place
 
 
 def simhash(text: bytes | None) -> int:
@@ -164,14 +165,13 @@ def _compare(k: int):
     return compare
 
 
-def links(fingerprints: DataFrame, k: int = 4, plan=None) -> DataFrame:
+def links(fingerprints: DataFrame, k: int = 4, plan=THREE_BLOCKS) -> DataFrame:
     """(src, dst) links between distinct fingerprints (column fp) that differ in at most ``k`` bits.
 
     A spanning forest of the links that meet at an anchor stands for all of them, so groups of thousands of near copies
     give one row for each member and anchor, not one for each pair; the connected groups are those of all links.
     """
     fps = materialize(fingerprints.select("fp").distinct(), "fps")
-    plan = plan or (TWO_BLOCKS if fps.count() >= MANY_FINGERPRINTS else THREE_BLOCKS)
     if sum(t + 1 for *_, t in plan) <= k:
         raise ValueError("this plan misses pairs that differ in k bits")
     placed = fps.mapInArrow(_place(plan), "cell long, visitor byte, fp long")
@@ -201,28 +201,45 @@ def links(fingerprints: DataFrame, k: int = 4, plan=None) -> DataFrame:
     return met.mapInArrow(_compare(k), "src long, dst long")
 
 
+def _grouped(marked: DataFrame, key: Column, k: int) -> DataFrame:
+    """(fp, least): of each fingerprint of ``marked``, the smallest ``key`` in its group of linked fingerprints.
+
+    Only fingerprints of groups meet their group's row, and those of large groups in parts of about PART.
+    """
+    distinct = materialize(marked.groupBy("fp").agg(F.min(key).alias("own")), "distinct")
+    groups = materialize(connected_components(links(distinct, k)).select(F.col("node").alias("fp"), "component"), "members")
+    members = materialize(distinct.join(groups, "fp"), "member-keys")
+    firsts = members.groupBy("component").agg(F.min("own").alias("least"), (F.count("*") / PART).cast("long").alias("more"))
+    large = materialize(firsts.where("more > 0").select("component", "more"), "large")  # a row for PART fingerprints or more
+    parted = members.join(large, "component", "left").withColumn("part", F.pmod(F.xxhash64("fp"), F.coalesce("more", F.lit(0)) + 1))
+    spread = firsts.select("component", "least", F.explode(F.sequence(F.lit(0).cast("long"), "more")).alias("part"))
+    named_ = parted.join(spread, ["component", "part"]).select("fp", "least")
+    return named_.unionAll(distinct.join(groups, "fp", "left_anti").select("fp", F.col("own").alias("least")))
+
+
 def near_duplicates(docs: DataFrame, k: int = 4) -> DataFrame:
     """(doc_id, fp, component_id): each row's fingerprint and the smallest doc_id reachable over links of ``k`` bits or fewer.
 
-    Null and blank texts have fingerprint 0 and are linked like any other. Rows that repeat each get a row. A null
-    doc_id is never a component's id unless all its members lack one. Only doc_id and text are read; an empty table
-    gives an empty result.
+    Null and blank texts have fingerprint 0 and are linked like any other; very long texts are read whole. Rows that
+    repeat each get a row. A null doc_id is never a component's id unless all its members lack one. Only doc_id and text
+    are read, whatever other columns there are; an empty table gives an empty result.
     """
     marked = materialize(docs.select("doc_id", simhash_column("text").alias("fp")), "marked")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    groups = connected_components(links(distinct, k))
-    label = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("label"))
-    label = materialize(label, "label")
-    named = label.join(label.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(_grouped(marked, F.col("doc_id"), k), "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose doc_id stands for its group of near copies, once each; rows without a doc_id stay."""
-    found = near_duplicates(docs, k)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null")
-    return named.join(materialize(gone, "gone"), "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns).unionAll(docs.where("doc_id is null"))
+    """One row of each group of near copies, that of the smallest doc_id (null last, ties by place in the table).
+
+    Rows are told apart by their own number, so unlike texts that share a doc_id both stay. Null and blank texts are a
+    group like any other; an empty table stays empty; columns of any name stay as they are.
+    """
+    marked = docs.select(row_of(docs), named("doc_id").alias("doc_id"), simhash_column("text").alias("fp"))
+    marked = materialize(marked.withColumn("row_no", F.monotonically_increasing_id()), "marked")  # which fixes the numbers
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_no")
+    firsts = _grouped(marked.select("doc_id", "fp", "row_no"), place, k).select("least.row_no").distinct()
+    gone = marked.select("row_no").join(firsts, "row_no", "left_anti")
+    return marked.join(materialize(gone, "gone"), "row_no", "left_anti").select("row.*")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

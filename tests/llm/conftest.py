@@ -9,8 +9,8 @@ ODD = [
 @pytest.fixture(scope="session")
 def odd(spark):
     """Nulls, blanks, one very long text, a repeated row, a missing id, and columns whose names our operators use too."""
-    rows = [(i, t, "en" if (i or 0) % 2 else None, None if i == 4 else "s", len(t or ""), "x", 1) for i, t in ODD]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, counts string, size int")
+    rows = [(i, t, "en" if (i or 0) % 2 else None, None if i == 4 else "s", len(t or ""), "x", 1, i) for i, t in ODD]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, counts string, size int, `a.b` long")
 
 
 @pytest.fixture(scope="session")
