@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -27,50 +28,52 @@ LEAST_SHARE, MOST_SHARE = 0.0005, 0.2
 #: (share of the lexicon in a subset, subsets of that share).
 SUBSETS = ((1 / 8, 8), (1 / 32, 12), (1 / 128, 20), (1 / 512, 24))
 LIMITS = [int(share * 2**64) for share, n in SUBSETS for _ in range(n)]
-EMPTY = "...."
-#: Broadcast guard: a lexicon over this many terms means that the texts are far longer than the band is made for.
-MOST_TERMS = 4_000_000
+DIGITS = 16  # hex digits of a subset's hash
+EMPTY = "." * DIGITS
+#: Terms of the lexicon at most, which bounds what is broadcast: where the band holds more, those of least hash, which is a
+#: random lexicon like the subsets drawn from it.
+MOST_TERMS = 1_000_000
 
 
 def terms_of(text: bytes) -> set[bytes]:
     return set(text.lower().split())
 
 
+@lru_cache(200_000)
 def subsets_of(term: bytes) -> tuple[int, ...]:
     """The subsets that hold a term, by a hash seeded with the subset's number."""
     return tuple(k for k, limit in enumerate(LIMITS) if xxhash.xxh64_intdigest(term, k) < limit)
 
 
-def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> dict[bytes, tuple[int, ...]]:
-    """The terms in the band, over all documents, and their subsets. Its size is bounded by the band, not by the corpus."""
+def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> frozenset[bytes]:
+    """Terms in the band, over all documents: all of them, or MOST_TERMS drawn by hash."""
     n = docs.count()
     df = term_counts(docs, terms_of)
     band = materialize(df.where((F.col("n") >= math.ceil(least * n)) & (F.col("n") <= most * n)).select("term"), "lexicon")
-    if (size := band.count()) > MOST_TERMS:
-        raise ValueError(f"the band holds {size} terms; raise its least share")
-    return {bytes(r.term): subsets_of(bytes(r.term)) for r in band.toLocalIterator()}
+    if band.count() > MOST_TERMS:
+        band = band.orderBy(F.xxhash64("term"), "term").limit(MOST_TERMS)
+    return frozenset(bytes(r.term) for r in band.toLocalIterator())
 
 
-def fingerprint(text: str, words: dict[bytes, tuple[int, ...]]) -> str:
-    """Four hex digits a subset, dots where the text has no term of it. Texts without a term in the band use all their terms."""
+def fingerprint(text: str, words: frozenset[bytes]) -> str:
+    """DIGITS hex digits a subset, dots where the text has no term of it. Texts without a term in the band use all their terms."""
     distinct = sorted(terms_of(text.encode()))
-    chosen = [(t, words[t]) for t in distinct if t in words] or [(t, subsets_of(t)) for t in distinct]
     held: dict[int, list[bytes]] = {}
-    for term, subsets in chosen:
-        for k in subsets:
+    for term in [t for t in distinct if t in words] or distinct:
+        for k in subsets_of(term):
             held.setdefault(k, []).append(term)
-    return "".join(f"{xxhash.xxh64_intdigest(b' '.join(held[k])) & 0xFFFF:04x}" if k in held else EMPTY for k in range(len(LIMITS)))
+    return "".join(xxhash.xxh64_hexdigest(b" ".join(held[k])) if k in held else EMPTY for k in range(len(LIMITS)))
 
 
 def likeness(a: str, b: str) -> float:
     if a == b:
         return 1.0
-    pairs = [(a[i : i + 4], b[i : i + 4]) for i in range(0, len(a), 4)]
+    pairs = [(a[i : i + DIGITS], b[i : i + DIGITS]) for i in range(0, len(a), DIGITS)]
     either = [x == y for x, y in pairs if x != EMPTY or y != EMPTY]
     return sum(either) / len(either)
 
 
-def fingerprint_column(text: Column | str, words: dict[bytes, tuple[int, ...]], spark) -> Column:
+def fingerprint_column(text: Column | str, words: frozenset[bytes], spark) -> Column:
     """Fingerprints of a text column under a lexicon; a null text counts as empty."""
     shared = spark.sparkContext.broadcast(words)
 
@@ -90,7 +93,7 @@ def edited(text: str, after: str) -> str:
 def compare_neighbours(docs: DataFrame) -> DataFrame:
     """Each document with its edited text and its next document, in descending doc_id order, the last followed by the first.
 
-    Null texts are empty; null ids come last, ties go by text; repeated rows follow each other; an only document is its
+    Null texts are empty; very long texts are read whole; null ids come last, ties go by text; repeated rows follow each other; an only document is its
     own next; an empty table stays empty. Documents are dealt by ranges of ids; the first of each range is also sent to
     the range before it, which lacks no neighbour then.
     """

@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows of a bucket: more rows make more buckets.
+BUCKET_ROWS = 100_000
+
+
 def bucket_bounds(docs: DataFrame, buckets: int | None = None) -> np.ndarray:
-    """Ids that start buckets 1, 2, ...: one for each shuffle partition, from the doc_id column alone."""
-    n = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
+    """Ids that start buckets 1, 2, ..., from the doc_id column alone: one for each shuffle partition or BUCKET_ROWS rows, whichever are more."""
+    n = buckets or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // BUCKET_ROWS))
+    found = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], max(10_000, 10 * n))).first()[0] or []
     return np.unique(np.array(found, dtype=np.int64))
 
 
