@@ -1,8 +1,9 @@
 """URL filters: allow and block rules by host and path, and for the rest a naive Bayes score of segmented names.
 
 Names run words together; a unigram Viterbi search splits them into the words of the pages themselves. The multinomial
-naive Bayes model is trained on all pages: a URL that holds a seed word is an example to block, any other one to allow,
-so words that keep company with the seeds count against a URL that has none of them.
+naive Bayes model is trained on all pages, by host: a host is an example to block when at least HOST_SHARE of its URLs hold
+a seed word, and then all its pages are, whatever their paths; all other hosts are examples to allow. So the words that
+such hosts use count against URLs without a seed, and a seed that mostly stands on good hosts blocks nothing.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ from tessella.runtime import materialize
 
 #: (verdict, host, path). A rule fits its host and all subdomains where the path starts with its own; the longest wins.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-SEEDS = ("spam", "pills", "casino", "viagra", "porn", "xxx", "gambling", "jackpot", "payday", "replica", "phishing", "warez")
+#: Words of the usual blocklist categories: adult, gambling, advertising and tracking, spam and fraud, piracy.
+SEEDS = ("adult", "porn", "sex", "xxx", "bets", "betting", "casino", "gambling", "jackpot", "ads", "tracker", "spam", "pills", "viagra", "payday", "replica", "phishing", "warez")
+HOST_SHARE = 0.1
 #: Words under this share of all are left out of the word model; tokens under it are not broadcast but joined. Either bounds
 #: what a worker holds at 1 / share entries.
 LEAST_SHARE = 1e-6
 LONGEST_WORD = 20
-SEED_COUNT = 5  # times that a seed counts in the word model at least
+SEED_SHARE = 1e-5  # of all words: what a seed counts in the word model at least, so that it costs the same at any size
 WORD = re.compile(rb"[a-z]+")
 TAG = re.compile(rb"<[^>]*>")
 PART = re.compile(r"[a-z]+|[0-9]+")
@@ -62,8 +65,8 @@ def word_costs(pages: DataFrame) -> tuple[dict[str, float], float]:
     total = counts.agg(F.sum("n")).first()[0] or 0
     kept = {bytes(r.term).decode(): r.n for r in counts.where(F.col("n") >= max(2, LEAST_SHARE * total)).toLocalIterator()}
     for seed in SEEDS:
-        kept[seed] = max(kept.get(seed, 0), SEED_COUNT)
-    log_total = math.log(max(total, 1) + SEED_COUNT * len(SEEDS))
+        kept[seed] = max(kept.get(seed, 0), SEED_SHARE * max(total, 1))
+    log_total = math.log(max(total, 1) * (1 + SEED_SHARE * len(SEEDS)))
     return {w: log_total - math.log(n) for w, n in kept.items()}, log_total
 
 
@@ -110,12 +113,12 @@ SEED_TOKENS = [mark + s for s in SEEDS for mark in ("h:", "p:")]
 
 
 def bayes_weights(tokens: DataFrame) -> tuple[dict[str, float], DataFrame, float]:
-    """Log odds of block against allow for the common tokens and the seeds, a table (token, odds) of the rare rest, and the log odds of the classes; from a table of tokens and seeded flags."""
-    each = tokens.select("seeded", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.sum(F.col("seeded").cast("long")).alias("bad"))
+    """Log odds of block against allow for the common tokens and the seeds, a table (token, odds) of the rare rest, and the log odds of the classes; from a table of tokens and flags ``listed`` of examples to block."""
+    each = tokens.select("listed", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.sum(F.col("listed").cast("long")).alias("bad"))
     each = materialize(each, "tokens")
     n, bad, size = each.agg(F.sum("n"), F.sum("bad"), F.count("*")).first()
     n, bad = n or 0, bad or 0
-    urls, bad_urls = tokens.agg(F.count("*"), F.sum(F.col("seeded").cast("long"))).first()
+    urls, bad_urls = tokens.agg(F.count("*"), F.sum(F.col("listed").cast("long"))).first()
     bad_urls = bad_urls or 0
     odds = (F.log((F.col("bad") + 1) / (bad + size)) - F.log((F.col("n") - F.col("bad") + 1) / (n - bad + size))).alias("odds")
     common = (F.col("n") >= LEAST_SHARE * n) | F.col("token").isin(SEED_TOKENS)
@@ -123,6 +126,12 @@ def bayes_weights(tokens: DataFrame) -> tuple[dict[str, float], DataFrame, float
     return weights, each.where(~common).select("token", odds), math.log((bad_urls + 1) / (urls - bad_urls + 1))
 
 
+def bad_hosts(tokens: DataFrame) -> DataFrame:
+    """(host, listed) of the hosts that are examples to block."""
+    shares = tokens.groupBy("host").agg(F.avg(F.col("seeded").cast("int")).alias("share"))
+    return materialize(shares.where(F.col("share") >= HOST_SHARE).select("host", F.lit(True).alias("listed")), "bad-hosts")
+
+
 def rare_sums(tokens: DataFrame, rare: DataFrame) -> DataFrame:
     """(row_id, rare): the summed odds of the rare tokens of each row that has any."""
     each = tokens.select("row_id", F.explode("tokens").alias("token"))
@@ -133,7 +142,7 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and score (log odds to block) of every url.
 
     Null urls and those without ``://`` have empty parts and no token but the classes' odds; a null html has no words;
-    repeated rows are judged alike; an empty table stays empty; other columns are ignored.
+    very long urls and pages are read whole; repeated rows are judged alike; an empty table stays empty; other columns are ignored.
     """
     spark = pages.sparkSession
     costs, log_total = word_costs(pages.select("html"))
@@ -143,6 +152,7 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     seeds = F.array(*map(F.lit, SEED_TOKENS))
     tokens = tokens.withColumn("seeded", F.arrays_overlap("tokens", seeds)).withColumn("row_id", F.monotonically_increasing_id())
     tokens = materialize(tokens, "urls")  # which also fixes the numbers of the rows
+    tokens = tokens.join(bad_hosts(tokens), "host", "left").withColumn("listed", F.col("listed").isNotNull())
     weights, rare, prior = bayes_weights(tokens)
     shared = spark.sparkContext.broadcast(weights)
 

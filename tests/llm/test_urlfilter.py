@@ -1,6 +1,7 @@
 import math
+import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -17,27 +18,69 @@ def plain_rule(host, path):
     return max(fits, key=lambda r: len(r[0])) if fits else (None, None)
 
 
+def plain_split(name, chance):
+    """The likeliest split, over all last words of each beginning."""
+    best = {0: (0.0, [])}
+    for end in range(1, len(name) + 1):
+        best[end] = max(((best[a][0] + chance(name[a:end]), best[a][1] + [name[a:end]]) for a in range(max(0, end - 20), end)), key=lambda x: x[0])
+    return best[len(name)][1]
+
+
+def plain_tokens(host, path, chance):
+    out = []
+    for mark, text in (("h:", host[: max(host.rfind("."), 0)]), ("p:", path.lower())):
+        for part in re.findall("[a-z]+|[0-9]+", text):
+            out += [mark + "0"] if part.isdigit() else [mark + w for w in plain_split(part, chance)]
+    return out
+
+
 def plain_verdicts(pages):
-    counts = Counter(w for _, _, html in pages for w in U.words_of((html or "").encode()) if len(w) <= U.LONGEST_WORD)
+    counts = Counter(w for _, _, html in pages for w in re.findall("[a-z]+", re.sub("<[^>]*>", " ", html or "").translate({i: i + 32 for i in range(65, 91)})) if len(w) <= 20)
     total = sum(counts.values())
-    kept = {w.decode(): n for w, n in counts.items() if n >= max(2, U.LEAST_SHARE * total)}
-    kept |= {s: max(kept.get(s, 0), U.SEED_COUNT) for s in U.SEEDS}
-    log_total = math.log(max(total, 1) + U.SEED_COUNT * len(U.SEEDS))
-    costs = {w: log_total - math.log(n) for w, n in kept.items()}
+    known = {w: n for w, n in counts.items() if n >= max(2, 1e-6 * total)}
+    for s in U.SEEDS:
+        known[s] = max(known.get(s, 0), 1e-5 * total)
+    whole = total * (1 + 1e-5 * len(U.SEEDS))
+    chance = lambda w: math.log(known[w] / whole) if w in known else -math.log(whole) - len(w) * math.log(10)
     rows = [(i, *plain_parts(u)) for i, u, _ in pages]
-    tokens = [U.url_tokens(h, p, lambda n: tuple(U.viterbi_words(n, costs, log_total))) for _, h, p in rows]
-    bad = [any(t[2:] in U.SEEDS for t in x) for x in tokens]
-    n, b = Counter(t for x in tokens for t in x), Counter(t for x, y in zip(tokens, bad, strict=True) if y for t in x)
-    all_n, all_b, size = sum(n.values()), sum(b.values()), len(n)
-    odds = {t: math.log((b[t] + 1) / (all_b + size)) - math.log((n[t] - b[t] + 1) / (all_n - all_b + size)) for t in n}
-    prior = math.log((sum(bad) + 1) / (len(rows) - sum(bad) + 1))
+    tokens = [plain_tokens(h, p, chance) for _, h, p in rows]
+    by_host = defaultdict(list)
+    for (_, h, _), x in zip(rows, tokens, strict=True):
+        by_host[h].append(any(t[2:] in U.SEEDS for t in x))
+    bad = [sum(by_host[h]) >= 0.1 * len(by_host[h]) for _, h, _ in rows]
+    seen = {True: Counter(), False: Counter()}
+    for x, y in zip(tokens, bad, strict=True):
+        seen[y].update(x)
+    size = len(seen[True] | seen[False])
+    chances = {y: {t: math.log((seen[y][t] + 1) / (seen[y].total() + size)) for t in seen[True] | seen[False]} for y in seen}
+    prior = math.log((sum(bad) + 1) / (len(bad) - sum(bad) + 1))
     out = {}
     for (i, h, p), x in zip(rows, tokens, strict=True):
         rule, verdict = plain_rule(h, p)
-        out[i] = (h, p, rule, verdict or ("block" if prior + sum(odds[t] for t in x) > 0 else "allow"))
+        score = prior + sum(chances[True][t] - chances[False][t] for t in x)
+        out[i] = (h, p, rule, verdict or ("block" if score > 0 else "allow"))
     return out
 
 
+def test_unseeded_pages_of_bad_hosts_are_blocked(spark):
+    """Held-out accuracy: hosts of one trade share words; half of them never show a seed, and are judged by the words alone."""
+    r = random.Random(4)
+    trade, plain_ = ["lucky", "bonus", "palace", "spins", "vegas", "royal"], ["garden", "school", "recipes", "travel", "museum", "music"]
+    rows, truth = [], {}
+    for h in range(120):
+        bad = h % 3 == 0
+        words = r.sample(trade if bad else plain_, 3)
+        host, shows = f"{words[0]}{words[1]}{h}.org", h % 2
+        for i in range(10):
+            seed = "casino" if bad and shows and i < 3 else "info"
+            rows.append((len(rows), f"http://{host}/{seed}/{words[2]}/{i}", f"<p>{' '.join(trade + plain_)} info casino page</p>"))
+            truth[len(rows) - 1] = bad, bad and not shows
+    got = {x.page_id: x.verdict == "block" for x in U.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    hidden = [got[i] for i, (_, h) in truth.items() if h]
+    assert sum(got[i] == b for i, (b, h) in truth.items() if not h) >= 0.95 * sum(not h for _, h in truth.values())
+    assert sum(hidden) >= 0.95 * len(hidden)
+
+
 def test_query_matches_a_plain_version(spark, data):
     pages = [tuple(r) for r in spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url", "html").collect()]
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in U.op4_url_filter(spark, data).collect()}
@@ -48,7 +91,7 @@ def test_rare_tokens_count_in_full(spark, monkeypatch):
     """Seeds and tokens below the share for the broadcast give the score that they give above it."""
     rows = [(i, f"x://shop{i % 7}.org/news/{'abcdefg'[i % 7] * 3}") for i in range(60)] + [(100, "x://warez.org/get"), (101, "x://crack.org/get"), (101, "x://crack.org/get"), (102, None)]
     pages = spark.createDataFrame([(i, u, "<p>warez crack shop news get</p>") for i, u in rows], "page_id long, url string, html string")
-    tokens = spark.createDataFrame([(["h:warez", "p:get"], True), (["h:crack", "p:get"], False), *[(["h:shop"], False)] * 60], "tokens array<string>, seeded boolean")
+    tokens = spark.createDataFrame([(["h:warez", "p:get"], True), (["h:crack", "p:get"], False), *[(["h:shop"], False)] * 60], "tokens array<string>, listed boolean")
     scores = lambda: sorted((r.page_id, round(r.score, 9), r.verdict) for r in U.filter_urls(pages).collect())
     words = U.word_costs(pages.select("html"))
     monkeypatch.setattr(U, "word_costs", lambda _: words)  # only the tokens' share is under test
