@@ -1,7 +1,10 @@
+import math
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import Row
 
 from tessella.llm import mixing as M
 
@@ -51,6 +54,36 @@ def test_rates_solve_the_dual(spark):
     for s in ("a", "b"):
         own = [r for r in got if rows[r.row.doc_id][2] == s]
         assert sum(r.size * r.rate for r in own) == pytest.approx(own[0].target, rel=1e-5)
+        assert [r.rate for r in own] == pytest.approx(plain_rates([r.size for r in own], own[0].target), rel=1e-4)
+
+
+def plain_rates(sizes, target):
+    """Exponential tilts up to 2, by halving an interval of lambdas."""
+    size = np.array(sizes, dtype=float)
+    lo, hi = -1e3, 1e3
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        r = np.minimum(2.0, np.exp(np.clip(mid * size / size.mean(), -700, 700)))
+        lo, hi = (mid, hi) if (size * r).sum() < target else (lo, mid)
+    return r.tolist()
+
+
+def test_tilts_are_exponential_below_the_limit(spark):
+    """A source that gives less than it has: the logarithms of its rates are proportional to the sizes."""
+    rows = [(i, "w " * (1 + i % 40), "a" if i < 200 else "b" if i < 450 else "c") for i in range(700)]
+    got = [r for r in M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), ["doc_id"]).collect() if rows[r.row.doc_id][2] == "b"]
+    slopes = {round(math.log(r.rate) / r.size, 9) for r in got}
+    assert got[0].target < got[0].source_size and len(slopes) == 1 and slopes.pop() < 0
+
+
+def test_many_sources_and_ranks_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(M, "RANKED", 50)
+    rows = [(i, "w " * (1 + i * 7 % 23), f"site{i % 97:03d}" if i % 97 else None) for i in range(1200)]
+    got = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5), ["doc_id"]).collect()
+    texts = {i: (t, s) for i, t, s in rows}
+    view = [Row(doc_id=r.row.doc_id, size=r.size, source_size=r.source_size, target=r.target, taken=r.copies * r.size) for r in got]
+    for taken, target in checked(view, texts).values():
+        assert abs(taken - target) <= max(23, 0.06 * target)
 
 
 def test_odd_rows(spark, odd, empty):
