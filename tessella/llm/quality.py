@@ -2,8 +2,9 @@
 
 The outlier test transforms a document's counts into a vector and rejects it when its Mahalanobis distance, under a
 minimum-covariance-determinant estimate of its group, is too large. The estimate covers all documents of the group: each
-concentration step is one grouped aggregation over the vectors, so a group may hold any share of the rows. Steps go on from
-several starts until the determinant falls no more, and the least one is taken.
+concentration step sums over all its vectors within tasks first, so a group may hold any share of the rows. Starts come from
+samples, as in the published fast algorithm; steps over all rows go on until the determinant falls no more, and the least
+one is taken.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.llm.rows import named, row_of
 from tessella.runtime import materialize
 
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
@@ -37,13 +40,16 @@ P = len(FLOORS)
 #: pooled, and the factor that makes the covariance of a normal group's nearest half that of the group:
 #: SHARE / P(chi-square with 9 degrees of freedom < CHI2_HALF).
 SHARE, LEAST, CONSISTENCY = 0.5, 60, 1.6942
-#: Starts from single rows besides the two from quantiles, and the fall of the logarithm of the determinant below which a
-#: start has converged. It has a lower bound, by FLOORS, so every start ends.
-ROW_STARTS, SETTLED = 3, 0.01
-GRID = 20  # quantiles that the shortest half of each entry is searched on
+#: Starts come from about so many distinct vectors a group, drawn by hash: of RANDOM_STARTS random ones, the KEPT_STARTS of
+#: least determinant on the sample go on over all rows, each until the logarithm of its determinant falls by less than
+#: SETTLED. The logarithm has a lower bound, by FLOORS, so every start ends.
+SAMPLE, RANDOM_STARTS, KEPT_STARTS, SETTLED = 1500, 30, 2, 0.02
 #: Medians and cut-off of chi-square with 7 degrees of freedom: the cut-off is exceeded by one normal vector in 1e9.
 CHI2_HALF, CHI2_CUT = 6.3458, 56.1
 BINS = 64  # bins of squared distance per doubling
+#: Entries are whole numbers of this part, so that sums over any number of tasks are exact: up to 4e10 rows a group.
+UNIT = 1024
+HELD = 200_000  # sums that a task holds before it hands on what it has
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -95,10 +101,10 @@ def base_failed(c: str) -> Column:
 
 
 def vector(c: str) -> list[Column]:
-    """Logarithms of sizes and square roots of shares: near normal for running text."""
+    """Logarithms of sizes and square roots of shares, near normal for running text, in whole UNITs."""
     n = lambda k: F.col(f"{c}.{k}").cast("double")
     share = lambda a, b: F.sqrt(n(a) / F.greatest(n(b), F.lit(1.0)))
-    return [
+    entries = [
         F.log1p(n("n_words")),
         F.log((n("word_chars") + 1) / (n("n_words") + 1)),
         share("n_symbols", "word_chars"),
@@ -107,90 +113,175 @@ def vector(c: str) -> list[Column]:
         share("n_upper", "word_chars"),
         share("n_punct", "word_chars"),
     ]
-
-
-PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
-MEAN, INVERSE = [f"m{i}" for i in range(P)], [f"w{i}_{j}" for i, j in PAIRS]
-ESTIMATE = "grp string, start int, logdet double, " + ", ".join(f"{c} double" for c in MEAN + INVERSE)
+    return [F.round(e * UNIT).cast("int") for e in entries]
+
+
+X = [f"x{i}" for i in range(P)]
+PAIRS = [(i, j) for i in range(P + 1) for j in range(i, P + 1)]
+MOMENTS = [f"s{i}_{j}" for i, j in PAIRS]  # of (1, x0, ..., x6): s0_0 counts rows
+#: mean has P entries, inverse P * P, by rows.
+ESTIMATE = "grp string, start int, logdet double, mean array<double>, inverse array<double>"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors in, one row for each group of a batch out: its vectors as 32-bit numbers."""
+    for batch in batches:
+        names = batch.column("grp").dictionary_encode()
+        at = names.indices.to_numpy(zero_copy_only=False)
+        x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in X]).astype("<i4")
+        order = np.argsort(at, kind="stable")
+        parts = np.split(order, np.flatnonzero(np.diff(at[order])) + 1) if len(order) else []
+        yield pa.RecordBatch.from_pydict({"grp": [names.dictionary[int(at[p[0]])].as_py() for p in parts], "data": [x[p].tobytes() for p in parts]}, schema=pa.schema([("grp", pa.string()), ("data", pa.binary())]))
+
+
+def _distances(batch: pa.RecordBatch) -> Iterator[tuple[str, dict, np.ndarray, np.ndarray]]:
+    """(grp, estimate, vectors, bins of their squared distances) of every block under every estimate of its group."""
+    for grp, data, estimates in zip(*(batch.column(c).to_pylist() for c in ("grp", "data", "estimates")), strict=True):
+        x = np.frombuffer(data, dtype="<i4").reshape(-1, P)
+        for e in estimates:
+            d = x / UNIT - np.array(e["mean"])
+            d2 = np.einsum("ni,ij,nj->n", d, np.array(e["inverse"]).reshape(P, P), d)
+            yield grp, e, x, np.floor(np.log2(np.maximum(d2, 1e-9)) * BINS).astype(np.int64)
+
+
+def _count_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("grp", pa.string()), ("start", pa.int32()), ("bin", pa.int64()), ("n", pa.int64())])
+    sums: Counter = Counter()
+
+    def flush():
+        out = pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*((*k, n) for k, n in sums.items()), strict=True) if sums else [[]] * 4, schema, strict=True)], schema=schema)
+        sums.clear()
+        return out
+
+    for batch in batches:
+        for grp, e, _, bins in _distances(batch):
+            for b, n in zip(*(a.tolist() for a in np.unique(bins, return_counts=True)), strict=True):
+                sums[grp, e["start"], b] += n
+            if len(sums) > HELD:
+                yield flush()
+    yield flush()
+
+
+def _sum_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("grp", pa.string()), ("start", pa.int32()), *((m, pa.int64()) for m in MOMENTS)])
+    upper = tuple(np.array(PAIRS).T)
+    sums: dict[tuple[str, int], np.ndarray] = {}
+
+    def flush():
+        table = np.array(list(sums.values()), dtype=np.int64).reshape(-1, len(MOMENTS))
+        keys = list(zip(*sums, strict=True)) if sums else [[], []]
+        out = pa.RecordBatch.from_arrays([pa.array(keys[0], type=pa.string()), pa.array(keys[1], type=pa.int32()), *(pa.array(c) for c in table.T)], schema=schema)
+        sums.clear()
+        return out
+
+    for batch in batches:
+        for grp, e, x, bins in _distances(batch):
+            near = x[bins <= e["cut"]].astype(np.int64)
+            one = np.column_stack([np.ones(len(near), dtype=np.int64), near])
+            key = grp, e["start"]
+            sums[key] = sums.get(key, 0) + (one.T @ one)[upper]
+            if len(sums) > HELD // 10:
+                yield flush()
+    yield flush()
 
 
 def _estimates(moments: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row a group and start of counts and moments in, its mean, inverse covariance and determinant out."""
+    """One row a group and start of moments in, its mean, inverse covariance and determinant out."""
     for rows in moments:
         out = []
         for r in rows.to_dict("records"):
-            mean = np.array([r[f"s{i}"] for i in range(P)]) / r["n"]
-            cov = np.diag(np.square(FLOORS))
-            for i, j in PAIRS:
-                c = CONSISTENCY * (r[f"s{i}_{j}"] / r["n"] - mean[i] * mean[j])
-                cov[i, j] += c
-                if i != j:
-                    cov[j, i] += c
-            inverse = np.linalg.inv(cov)
-            out.append([r["grp"], r["start"], np.linalg.slogdet(cov)[1], *mean, *(inverse[i, j] for i, j in PAIRS)])
-        yield pd.DataFrame(out, columns=["grp", "start", "logdet", *MEAN, *INVERSE])
+            full = np.zeros((P + 1, P + 1))
+            for (i, j), m in zip(PAIRS, MOMENTS, strict=True):
+                full[i, j] = full[j, i] = float(r[m]) / UNIT ** ((i > 0) + (j > 0))
+            mean = full[0, 1:] / full[0, 0]
+            cov = np.diag(np.square(FLOORS)) + CONSISTENCY * (full[1:, 1:] / full[0, 0] - np.outer(mean, mean))
+            out.append([r["grp"], r["start"], np.linalg.slogdet(cov)[1], mean.tolist(), np.linalg.inv(cov).ravel().tolist()])
+        yield pd.DataFrame(out, columns=["grp", "start", "logdet", "mean", "inverse"])
+
+
+def squared_distance(x: list[Column], mean: Column, inverse: Column) -> Column:
+    d = [v / UNIT - F.get(mean, F.lit(i)) for i, v in enumerate(x)]
+    return sum((F.get(inverse, F.lit(P * i + j)) * d[i] * d[j] for i in range(P) for j in range(P)), F.lit(0.0))
+
+
+def _concentrate(x: np.ndarray, mean: np.ndarray, inverse: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """A concentration step on a sample: (logdet, mean, inverse) of the nearest half."""
+    d = x - mean
+    near = x[np.argpartition(np.einsum("ni,ij,nj->n", d, inverse, d), (len(x) - 1) // 2)[: (len(x) + 1) // 2]]
+    cov = CONSISTENCY * np.cov(near.T, bias=True) + np.diag(np.square(FLOORS))
+    return np.linalg.slogdet(cov)[1], near.mean(0), np.linalg.inv(cov)
+
+
+def _sample_estimates(rows: pd.DataFrame) -> pd.DataFrame:
+    """The best estimates of one group's sample: two steps from each random start, then the best ones to their ends."""
+    x = np.unique(rows[X].to_numpy(), axis=0) / UNIT
+    draw, found = np.random.default_rng(0), []
+    for _ in range(RANDOM_STARTS):
+        own = x[draw.choice(len(x), min(len(x), P + 1), replace=False)]
+        now = 0.0, own.mean(0), np.linalg.inv(np.cov(own.T, bias=True) + np.diag(np.square(FLOORS)))
+        for _ in range(2):
+            now = _concentrate(x, *now[1:])
+        found.append(now)
+    ends = []
+    for now in sorted(found, key=lambda e: e[0])[: 2 * KEPT_STARTS]:
+        while (after := _concentrate(x, *now[1:]))[0] < now[0] - SETTLED / 10:
+            now = after
+        ends.append(now)
+    best = sorted(ends, key=lambda e: e[0])[:KEPT_STARTS]
+    grp = rows["grp"].iloc[0]
+    return pd.DataFrame([[grp, k, math.inf, mean.tolist(), inverse.ravel().tolist()] for k, (_, mean, inverse) in enumerate(best)], columns=["grp", "start", "logdet", "mean", "inverse"])
 
 
-def squared_distance(x: list[Column]) -> Column:
-    d = [v - F.col(f"m{i}") for i, v in enumerate(x)]
-    return sum(((1 if i == j else 2) * F.col(f"w{i}_{j}") * d[i] * d[j] for i, j in PAIRS), F.lit(0.0))
-
+def _starts(rows: DataFrame) -> DataFrame:
+    """Estimates to start from, by group, on samples of distinct vectors, so that copies count once."""
+    value = F.xxhash64(*X)
+    sizes = materialize(rows.groupBy("grp").agg(F.approx_count_distinct(value).alias("size")), "sizes")
+    drawn = rows.join(sizes, "grp").where(F.pmod(value, F.lit(1 << 30)) < (1 << 30) * (SAMPLE / F.col("size"))).select("grp", *X).distinct()
+    return materialize(drawn.groupBy("grp").applyInPandas(_sample_estimates, ESTIMATE), "estimate")
 
-def _distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    total = squared_distance([F.col(f"x{i}") for i in range(P)])
-    return rows.join(estimate, "grp").select(*rows.columns, "start", F.greatest(total, F.lit(1e-9)).alias("d2"))
 
+def _per_group(estimates: DataFrame, *columns: str) -> DataFrame:
+    """(grp, estimates): the few estimates of a group in one row, to meet its blocks."""
+    return estimates.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("start", *columns))).alias("estimates"))
 
-def _bin(d2: str) -> Column:
-    """Whole numbers of few values, so that a group's exact percentile over them needs little memory."""
-    return F.floor(F.log2(d2) * BINS)
 
+def _cuts(blocks: DataFrame, estimates: DataFrame, share: float) -> DataFrame:
+    """(grp, start, cut): the bin that ends the nearest ``share`` of a group."""
+    met = blocks.join(_per_group(estimates, "mean", "inverse"), "grp")
+    counts = met.mapInArrow(_count_bins, "grp string, start int, bin long, n long").groupBy("grp", "start", "bin").agg(F.sum("n").alias("n"))
+    own = W.partitionBy("grp", "start")  # bins, not rows
+    upto = counts.select("*", F.sum("n").over(own.orderBy("bin")).alias("upto"), F.sum("n").over(own).alias("total"))
+    return upto.where(F.col("upto") >= share * F.col("total")).groupBy("grp", "start").agg(F.min("bin").alias("cut"))
 
-def _starts(rows: DataFrame) -> DataFrame:
-    """Estimates to start from: median and quartiles, the middles of the shortest halves, and single rows.
 
-    The rows are drawn by a hash of their values, so that copies count once. All but the first have the spread of the
-    shortest halves, which half of a group does not move.
-    """
-    x = [f"x{i}" for i in range(P)]
-    marks = F.array(*(F.lit(k / GRID) for k in range(GRID + 1)))
-    drawn = [F.min_by(F.struct(*x), F.xxhash64(F.lit(k), *x)).alias(f"r{k}") for k in range(ROW_STARTS)]
-    at = materialize(rows.groupBy("grp").agg(*(F.percentile(F.round(c, 2), marks).alias(f"q{i}") for i, c in enumerate(x)), *drawn), "quantiles")
-    half = lambda i: F.array_min(F.array(*(F.struct((F.col(f"q{i}")[k + GRID // 2] - F.col(f"q{i}")[k]).alias("width"), ((F.col(f"q{i}")[k] + F.col(f"q{i}")[k + GRID // 2]) / 2).alias("middle")) for k in range(GRID // 2 + 1))))
-    at = at.select("grp", *(f"q{i}" for i in range(P)), *(half(i).alias(f"h{i}") for i in range(P)), *(f"r{k}" for k in range(ROW_STARTS)))
-    quartiles = [F.col(f"q{i}")[3 * GRID // 4] - F.col(f"q{i}")[GRID // 4] for i in range(P)]
-    halves = [F.col(f"h{i}.width") for i in range(P)]
-    centres = [([F.col(f"q{i}")[GRID // 2] for i in range(P)], quartiles), ([F.col(f"h{i}.middle") for i in range(P)], halves)]
-    centres += [([F.col(f"r{k}.x{i}") for i in range(P)], halves) for k in range(ROW_STARTS)]
-    found = []
-    for k, (centre, width) in enumerate(centres):
-        weight = lambda i, j, width=width: 1 / (F.pow(width[i] / 1.349, 2) + FLOORS[i] ** 2) if i == j else F.lit(0.0)
-        columns = [*(c.alias(m) for c, m in zip(centre, MEAN, strict=True)), *(weight(i, j).alias(w) for (i, j), w in zip(PAIRS, INVERSE, strict=True))]
-        found.append(F.struct(F.lit(k).alias("start"), F.lit(math.inf).alias("logdet"), *columns))
-    return materialize(at.select("grp", F.explode(F.array(*found)).alias("e")).select("grp", "e.*"), "estimate")
+def _step(blocks: DataFrame, active: DataFrame) -> DataFrame:
+    """One concentration step of every start: the estimate of the nearest half under the last one, and that one's logdet as ``before``."""
+    cut = active.join(_cuts(blocks, active, SHARE), ["grp", "start"])
+    met = blocks.join(_per_group(cut, "mean", "inverse", "cut"), "grp")
+    sums = met.mapInArrow(_sum_moments, "grp string, start int, " + ", ".join(f"{m} long" for m in MOMENTS)).groupBy("grp", "start").agg(*(F.sum(m).alias(m) for m in MOMENTS))
+    found = sums.mapInPandas(_estimates, ESTIMATE)
+    return materialize(found.join(active.select("grp", "start", F.col("logdet").alias("before")), ["grp", "start"]), "estimate")
 
 
 def fit_groups(rows: DataFrame) -> DataFrame:
-    """(grp, mean, inverse covariance, scale) for groups of vectors grp, x0..x6: of several starts, the one of least determinant."""
-    sums = [F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(P)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in PAIRS)]
+    """(grp, mean, inverse, scale) for groups of vectors grp, x0..x6: of several starts, the one of least determinant.
+
+    Vectors are kept as blocks, one row a task and group, so that a step moves estimates to blocks and no vectors.
+    """
+    blocks = materialize(rows.mapInArrow(_blocks, "grp string, data binary"), "blocks")
     active, settled = _starts(rows), []
     while not active.isEmpty():
-        near = _distance(rows, active)
-        cut = materialize(near.groupBy("grp", "start").agg(F.percentile(_bin("d2"), F.lit(SHARE)).alias("cut")), "cut")  # small, so the join moves no vectors
-        kept = near.join(cut, ["grp", "start"]).where(_bin("d2") <= F.col("cut"))
-        found = kept.groupBy("grp", "start").agg(*sums).mapInPandas(_estimates, ESTIMATE)
-        before = active.select("grp", "start", F.col("logdet").alias("before"))
-        found = materialize(found.join(before, ["grp", "start"]), "estimate")
+        found = _step(blocks, active)
         falls = F.col("logdet") < F.col("before") - SETTLED
         settled.append(found.where(~falls).drop("before"))
-        same = [F.round(c, 6) for c in ("logdet", *MEAN)]  # starts that have met go on as one
-        first = found.where(falls).groupBy("grp", *(c.alias(f"same{i}") for i, c in enumerate(same))).agg(F.min("start").alias("start"))
-        active = materialize(found.where(falls).drop("before").join(first.select("grp", "start"), ["grp", "start"], "left_semi"), "active")
+        # starts that have met go on as one
+        same = F.row_number().over(W.partitionBy("grp", F.round("logdet", 6), *(F.round(F.get("mean", F.lit(i)), 6) for i in range(P))).orderBy("start"))
+        active = found.where(falls).drop("before").withColumn("same", same).where("same = 1").drop("same")
     ends = reduce(DataFrame.unionByName, settled, active)  # active is empty
-    best = ends.groupBy("grp").agg(F.min_by(F.struct("start", *MEAN, *INVERSE), F.struct("logdet", "start")).alias("e"))
+    best = ends.groupBy("grp").agg(F.min_by(F.struct("start", "mean", "inverse"), F.struct("logdet", "start")).alias("e"))
     estimate = materialize(best.select("grp", "e.*"), "estimate")
-    middle = _distance(rows, estimate).groupBy("grp").agg(F.pow(2.0, (F.percentile(_bin("d2"), F.lit(0.5)) + 0.5) / BINS).alias("middle"))
-    return materialize(estimate.join(middle, "grp").withColumn("scale", F.greatest(F.col("middle") / CHI2_HALF, F.lit(1.0))).drop("middle", "start"), "fit")
+    middle = F.pow(2.0, (F.col("cut") + 0.5) / BINS)
+    return materialize(estimate.join(_cuts(blocks, estimate, 0.5), ["grp", "start"]).select("grp", "mean", "inverse", F.greatest(middle / CHI2_HALF, F.lit(1.0)).alias("scale")), "fit")
 
 
 def group_names(counted: DataFrame) -> DataFrame:
@@ -212,19 +303,19 @@ def group_names(counted: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """row (a struct of the named columns, all by default), counts (a struct of COUNTS), base_failed, kept and distance.
 
-    Null and blank texts have no words and fail; ties and repeated rows are judged alike; an empty table stays empty.
-    The input's columns stay inside ``row``, so none of their names can clash with ours. The counts of each text are
-    made once, in a written table that the later passes read by column.
+    Null and blank texts have no words and fail; very long texts are counted whole; ties and repeated rows are judged
+    alike; null languages and sources are values of their own; an empty table stays empty. The input's columns stay
+    inside ``row``, so none of their names can clash with ours. The counts of each text are made once, in a written
+    table that the later passes read by column.
     """
-    row = F.struct(*(F.col(c) for c in columns or docs.columns)).alias("row")
-    counted = materialize(docs.select(row, F.col("lang").alias("lang"), F.col("source").alias("source"), text_counts("text").alias("counts")), "counted")
+    counted = materialize(docs.select(row_of(docs, columns), named("lang").alias("lang"), named("source").alias("source"), text_counts("text").alias("counts")), "counted")
     names = materialize(group_names(counted.select("lang", "source", "counts")), "groups").select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "grp")
-    named = counted.join(names, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
-    usable = named.where(~base_failed("counts") & F.col("grp").isNotNull()).select("grp", *(x.alias(f"x{i}") for i, x in enumerate(vector("counts"))))
-    fit = fit_groups(materialize(usable, "vectors"))
-    distance = squared_distance(vector("counts")) / F.col("scale")
+    grouped = counted.join(names, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
+    usable = grouped.where(~base_failed("counts") & F.col("grp").isNotNull()).select("grp", *(x.alias(f"x{i}") for i, x in enumerate(vector("counts"))))
+    fit = fit_groups(usable)
+    distance = squared_distance(vector("counts"), F.col("mean"), F.col("inverse")) / F.col("scale")
     fine = ~base_failed("counts") & (F.coalesce(distance, F.lit(0.0)) <= CHI2_CUT)
-    return named.join(fit, "grp", "left").select("row", "counts", base_failed("counts").alias("base_failed"), fine.alias("kept"), distance.alias("distance"))
+    return grouped.join(fit, "grp", "left").select("row", "counts", base_failed("counts").alias("base_failed"), fine.alias("kept"), distance.alias("distance"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessella.llm import quality as Q
 
@@ -48,9 +49,51 @@ def test_concentration_finds_the_majority(spark):
     r = np.random.default_rng(1)
     x = r.normal(0, 1, (500, Q.P))
     x[:100] += 30
-    df = spark.createDataFrame([("g", *map(float, v)) for v in x], "grp string, " + ", ".join(f"x{i} double" for i in range(Q.P)))
-    fit = Q.fit_groups(df).first()
-    assert all(abs(fit[f"m{i}"]) < 0.3 for i in range(Q.P))
+    fit = Q.fit_groups(vectors(spark, x)).first()
+    assert all(abs(m) < 0.3 for m in fit["mean"])
+
+
+def vectors(spark, x):
+    whole = np.round(x * Q.UNIT).astype(int)
+    return spark.createDataFrame([("g", *map(int, v)) for v in whole], "grp string, " + ", ".join(f"x{i} int" for i in range(Q.P)))
+
+
+def plain_mcd(x, starts, r):
+    """The least determinant, with its mean and covariance, over concentration steps from many random starts."""
+    best = None
+    for _ in range(starts):
+        own = x[r.choice(len(x), Q.P + 2, replace=False)]
+        mean, cov, last = own.mean(0), np.cov(own.T) + np.diag(np.square(Q.FLOORS)), np.inf
+        while True:
+            d = x - mean
+            near = x[np.argsort(np.einsum("ni,ij,nj->n", d, np.linalg.inv(cov), d))[: len(x) // 2]]
+            mean, cov = near.mean(0), Q.CONSISTENCY * np.cov(near.T, bias=True) + np.diag(np.square(Q.FLOORS))
+            logdet = np.linalg.slogdet(cov)[1]
+            if logdet > last - 1e-6:
+                break
+            last = logdet
+        if best is None or logdet < best[0]:
+            best = logdet, mean, cov
+    return best
+
+
+def test_the_estimate_is_as_tight_as_a_plain_search(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(0, 1, (600, Q.P)) @ r.normal(0, 0.5, (Q.P, Q.P))
+    x[:200] = x[200] + 15 + r.normal(0, 0.01, (200, Q.P))  # a third in one far place
+    fit = Q.fit_groups(vectors(spark, x)).first()
+    cov = np.linalg.inv(np.array(fit["inverse"]).reshape(Q.P, Q.P))
+    logdet, mean, _ = plain_mcd(x, 40, r)
+    assert np.linalg.slogdet(cov)[1] <= logdet + 0.3
+    assert np.abs(np.array(fit["mean"]) - mean).max() < 0.3
+
+
+def test_more_groups_and_starts_than_a_task_holds(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    df = vectors(spark, r.normal(0, 1, (300, Q.P))).withColumn("grp", F.concat(F.lit("g"), F.col("x0") % 3))
+    want = sorted(map(tuple, Q.fit_groups(df).collect()))
+    monkeypatch.setattr(Q, "HELD", 10)
+    assert sorted(map(tuple, Q.fit_groups(df.repartition(7)).collect())) == want
 
 
 def test_a_third_of_junk_copies_goes(spark):
