@@ -23,11 +23,11 @@ from pyspark.sql import types as T
 
 from tessella.runtime import materialize
 
-#: Labelled rows that the model is fitted on, at most in expectation: a random part beyond it.
-FIT_ROWS = 8_000
+#: Labelled rows of other and of toxic texts that the model is fitted on, at most in expectation: a random part of a class
+#: beyond it, which the curve's intercept makes up for.
+FIT_ROWS = (6_000, 2_000)
 #: The prior: a flat part, and a share of a token's own count, both dealt to the classes by their size.
 FLAT, SHARE = 0.2, 0.02
-CAP = 3  # times that evidence of a text counts for the log odds; scores count each time
 #: Standard errors, counted in documents, taken off log odds: the one is used whose curve fits best across two folds.
 CONFIDENCES = (1.5, 2.0, 3.0, 4.0)
 LEAST_DOCS, LEAST_IN_FOLD = 5, 3
@@ -37,7 +37,7 @@ EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Lengths of the word beginnings that are evidence too: what inflected forms have in common.
 BEGINNINGS = range(4, 8)
 #: Words whose scores a worker remembers.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 
 
 def evidence_of(word: str) -> list[str]:
@@ -50,23 +50,37 @@ def words_of(text: bytes) -> list[str]:
     return text.decode(errors="replace").lower().split()
 
 
-def evidence(text: bytes) -> list[bytes]:
-    """The evidence of every word of a text, repeats included."""
-    return [e.encode() for w in words_of(text) for e in evidence_of(w)]
+def evidence(text: bytes) -> Counter:
+    """The evidence of a text and how often each occurs."""
+    found: Counter = Counter()
+    for word, n in Counter(words_of(text)).items():
+        for e in evidence_of(word):
+            found[e] += n
+    return found
 
 
 class WordScores(dict):
-    """(score, evidence) of words as they stand in a text, worked out at first sight: the word's own evidence, else its longest beginning's against it."""
+    """Scores of words as they stand in a text, worked out at first sight: that of the word's own evidence, else its longest beginning's against it."""
 
     def __init__(self, scores: dict[bytes, float], cost: float):
         super().__init__()
-        self.scores, self.cost = scores, cost
-
-    def __missing__(self, word: str) -> tuple[float, bytes]:
+        named = {e.decode(): s for e, s in scores.items()}
+        self.whole = {e[1:]: s for e, s in named.items() if e[0] == "="}
+        self.begun = {e[1:]: s for e, s in named.items() if e[0] == "^" and s > 0}
+        self.cost = cost
+
+    def _score(self, w: str) -> float:
+        found = self.whole.get(w)
+        if found is None and len(w) >= BEGINNINGS[0]:
+            for n in range(min(len(w), BEGINNINGS[-1]), BEGINNINGS[0] - 1, -1):
+                if (found := self.begun.get(w[:n])) is not None:
+                    return found
+        return self.cost if found is None else found
+
+    def __missing__(self, word: str) -> float:
         if len(self) >= REMEMBERED:
             self.clear()
-        first, *rest = [e.encode() for e in evidence_of(word)]
-        value = (self.scores[first], first) if first in self.scores else next(((self.scores[e], e) for e in rest if self.scores.get(e, 0) > 0), (self.cost, b""))
+        value = self._score(word.strip(EDGES))
         if len(word) <= 64:
             self[word] = value
         return value
@@ -118,7 +132,8 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 def word_scores(text: bytes, model: Model) -> np.ndarray:
     """A score for each word, wherever it stands and however often its evidence came before."""
-    return np.array([model.words[w][0] for w in words_of(text)], dtype=np.float64)
+    words = words_of(text)
+    return np.fromiter(map(model.words.__getitem__, words), np.float64, len(words))
 
 
 def passages(text: bytes, model: Model) -> list[tuple[int, int, float, float]]:
@@ -184,25 +199,25 @@ COUNTED = [f"{what}{fold}_{cls}" for what in "nd" for fold in (0, 1) for cls in
 
 
 def evidence_counts(rows: DataFrame) -> DataFrame:
-    """term and its counts n (at most CAP a text) and d (texts), by fold and class, from rows of text, toxic and fold."""
+    """term and its counts n (the binary digits of its number in each text, which damps repeats) and d (texts), by fold and class, from rows of text, toxic and fold."""
     schema = pa.schema([("term", pa.binary()), *((c, pa.int64()) for c in COUNTED)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[bytes, np.ndarray] = {}
+        sums: dict[str, list[int]] = {}
 
         def flush():
             table = np.array(list(sums.values()), dtype=np.int64).reshape(-1, len(COUNTED))
-            out = pa.RecordBatch.from_arrays([pa.array(list(sums), type=pa.binary()), *(pa.array(c) for c in table.T)], schema=schema)
+            out = pa.RecordBatch.from_arrays([pa.array([e.encode() for e in sums], type=pa.binary()), *(pa.array(c) for c in table.T)], schema=schema)
             sums.clear()
             return out
 
         for batch in batches:
             for text, toxic, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True):
                 at = 2 * fold + toxic
-                for e, n in Counter(evidence(text or b"")).items():
+                for e, n in evidence(text or b"").items():
                     if e not in sums:
                         sums[e] = [0] * len(COUNTED)
-                    sums[e][at] += min(n, CAP)
+                    sums[e][at] += n.bit_length()
                     sums[e][at + 4] += 1
                 if len(sums) > 300_000:
                     yield flush()
@@ -259,7 +274,7 @@ def hit_rates(rows: DataFrame, sets: list[list[Weights]], spark) -> np.ndarray:
         out = []
         for t, fold in zip(texts, folds.to_pylist(), strict=True):
             words = words_of(t.as_py() or b"")
-            out.append([len(words), *(sum(m.words[w][0] > 0 for w in words) for k in (fold, 2) for m in shared.value[k])])
+            out.append([len(words), *(sum(m.words[w] > 0 for w in words) for k in (fold, 2) for m in shared.value[k])])
         return pa.array(out, type=pa.list_(pa.int64()))
 
     count.__annotations__ = {"texts": pa.Array, "folds": pa.Array, "return": pa.Array}
@@ -285,20 +300,23 @@ def fold_features(rows: DataFrame, models: list[list[Model]], spark) -> pd.DataF
     return rows.select("toxic", F.arrow_udf(measure, T.ArrayType(T.DoubleType()))(F.col("text").cast("binary"), F.col("fold")).alias("x")).toPandas()
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: tuple[int, int] = FIT_ROWS) -> Model:
     """A model from the labelled training rows; one that scores every text 0.5 where there are no rows of either class.
 
     Only rows that in_training allows are read. Evidence is counted in two folds; the curve, and the confidence that gives
-    the best one, come from rows scored by the other fold's evidence; the final evidence is that of both.
+    the best one, come from rows scored by the other fold's evidence; the final evidence is that of both. A row with several
+    labels is toxic if one of them is.
     """
     spark = docs.sparkSession
     usable = labels.where(in_training(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     usable = materialize(usable, "labels")
-    share = min(1.0, fit_rows / max(usable.count(), 1))
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (1 << 20) * share)
-    fold = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold")  # copies of a text fall into one fold
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic", fold)  # at most about fit_rows ids
-    rows = materialize(rows.dropDuplicates(["text"]), "examples")  # and are no further evidence
+    size = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    share = [min(1.0, fit_rows[cls] / max(size.get(cls, 0), 1)) for cls in (0, 1)]
+    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (1 << 20) * F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # at most about the fit_rows' ids
+    # copies of a text are no further evidence, and fall into one fold; where their labels differ, it is toxic
+    rows = rows.groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
+    rows = materialize(rows, "examples")
     sizes = rows.groupBy("fold", "toxic").count().collect()
     if len({(r.fold, r.toxic) for r in sizes}) < 4:
         return Model({})
@@ -322,12 +340,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         p = 1 / (1 + np.exp(-np.clip(curve[0] + x[:, 2 * i : 2 * i + 2] @ np.array(curve[1:]), -30, 30)))
         loss = -float(np.mean(np.where(y > 0, np.log(p + 1e-9), np.log(1 - p + 1e-9))))
         if best is None or loss < best[0]:
-            best = loss, Model(model.scores, model.cost, model.decay, curve)
+            best = loss, Model(model.scores, model.cost, model.decay, (curve[0] + math.log(share[0] / share[1]), *curve[1:]))
     return best[1]
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of every whole text. Null and empty texts have no passage and the score of such texts; equal texts score alike."""
+    """doc_id and score of every whole text. Null and empty texts have no passage and the score of such texts; very long ones are scanned whole; equal texts score alike."""
     a, b, c = model.curve
     x = feature_column(F.col("text"), model, docs.sparkSession)
     return docs.select(F.col("doc_id").alias("doc_id"), x.alias("x")).select("doc_id", (1 / (1 + F.exp(-(F.lit(a) + b * F.col("x.bits") + c * F.col("x.best"))))).alias("score"), "x.bits", "x.best")
