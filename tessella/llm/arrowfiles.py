@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.ordering import bucket_bounds, bucket_of
-from tessella.llm.tokens import encoder, vocabulary_path
+from tessella.llm.tokens import task_encoder, vocabulary_path
 from tessella.runtime import shared_path
 
 LENGTH, BATCH, END_ID = 2048, 256, 2
@@ -31,11 +31,17 @@ def id_type(ids: int) -> pa.DataType:
     return pa.uint16() if ids <= 1 << 16 else pa.uint32()
 
 
+def file_system(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder and its path there; Hadoop's names for object stores are taken too."""
+    scheme, mark, rest = folder.partition("://")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "gs": "gs", "abfss": "abfss"}.get(scheme, scheme) + mark + rest if mark else folder)
+
+
 class ShardWriter:
     """Writes one shard and its index under temporary names; close() gives them their own, so a repeated task can't leave halves."""
 
     def __init__(self, folder: str, name: str, kind: pa.DataType, length: int = LENGTH, batch: int = BATCH):
-        self.files, root = fs.FileSystem.from_uri(folder)
+        self.files, root = file_system(folder)
         self.files.create_dir(root, recursive=True)
         self.path, self.index_path = f"{root}/{name}.arrow", f"{root}/{name}.index.arrow"
         self.mark, self.kind, self.length, self.batch = f".{uuid.uuid4().hex}.tmp", kind, length, batch
@@ -44,18 +50,20 @@ class ShardWriter:
         self.data, self.index = pa.ipc.new_file(self.streams[0], self.schema), pa.ipc.new_file(self.streams[1], INDEX)
         self.waiting, self.waits, self.rows, self.total = [], 0, [], 0
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.rows.append((doc_id, self.total, len(ids)))
-        self.total += len(ids)
-        self.waiting.append(ids.astype(self.kind.to_pandas_dtype()))
-        self.waits += len(ids)
+    def add(self, doc_id: int | None, raw: bytes) -> None:
+        """A document's ids, 32 bits each."""
+        n = len(raw) // 4
+        self.rows.append((doc_id, self.total, n))
+        self.total += n
+        self.waiting.append(raw)
+        self.waits += n
         if self.waits >= self.length * self.batch:
             self._flush(False)
         if len(self.rows) >= 50_000:
             self._flush_index()
 
     def _flush(self, end: bool) -> None:
-        ids = np.concatenate(self.waiting) if self.waiting else np.empty(0, dtype=self.kind.to_pandas_dtype())
+        ids = np.frombuffer(b"".join(self.waiting), dtype=np.uint32).astype(self.kind.to_pandas_dtype())
         step = self.length * self.batch
         whole = len(ids) if end else len(ids) // step * step
         for at in range(0, whole, step):
@@ -64,7 +72,7 @@ class ShardWriter:
             padded[: len(part)] = part
             columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (padded, np.arange(len(padded)) < len(part))]
             self.data.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
-        self.waiting = [ids[whole:]]
+        self.waiting = [ids[whole:].astype(np.uint32).tobytes()]
         self.waits = len(ids) - whole
 
     def _flush_index(self) -> None:
@@ -82,11 +90,20 @@ class ShardWriter:
             self.files.move(p + self.mark, p)
 
 
+    def discard(self) -> None:
+        """Remove what a failed task has written."""
+        for w in self.streams:
+            w.close()
+        for p in (self.path, self.index_path):
+            if self.files.get_file_info(p + self.mark).type != fs.FileType.NotFound:
+                self.files.delete_file(p + self.mark)
+
+
 class ShardReader:
     """Random access to a shard: sequences, masks and any run of ids, by reference to the mapped file where it is local."""
 
     def __init__(self, folder: str, name: str):
-        files, root = fs.FileSystem.from_uri(folder)
+        files, root = file_system(folder)
         local = isinstance(files, fs.LocalFileSystem)
         opened = pa.memory_map if local else files.open_input_file
         self.data = pa.ipc.open_file(opened(f"{root}/{name}.arrow"))
@@ -129,22 +146,28 @@ def write_sequences(docs: DataFrame, folder: str, end_id: int = END_ID, vocabula
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), bucket_of("doc_id", bounds).alias("bucket"))
     dealt = rows.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", "text")
 
+    end = np.array([end_id], dtype=np.uint32).tobytes()
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, writer, now = encoder(path), None, None
-        kind = id_type(encoding.tokenizer.get_vocab_size())
-        done = []
-        for batch in batches:
-            for doc_id, text, bucket in zip(*(batch.column(c) for c in ("doc_id", "text", "bucket")), strict=True):
-                bucket = bucket.as_py()
-                if bucket != now:
-                    if writer:
-                        writer.close()
-                        done.append((now, writer.total))
-                    writer, now = ShardWriter(folder, f"shard-{bucket:06d}", kind, length), bucket
-                writer.add(doc_id.as_py(), np.append(encoding.encode(text.as_py()), np.uint32(end_id)))
-        if writer:
-            writer.close()
-            done.append((now, writer.total))
+        done, writer, now = [], None, None
+        try:
+            with task_encoder(path) as encoding:
+                kind = id_type(encoding.tokenizer.get_vocab_size())
+                for batch in batches:
+                    for doc_id, text, bucket in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("bucket").to_pylist(), strict=True):
+                        if bucket != now:
+                            if writer:
+                                writer.close()
+                                done.append((now, writer.total))
+                            writer, now = ShardWriter(folder, f"shard-{bucket:06d}", kind, length), bucket
+                        writer.add(doc_id, encoding.raw(text.as_py()) + end)
+            if writer:
+                writer.close()
+                done.append((now, writer.total))
+        except BaseException:
+            if writer:
+                writer.discard()
+            raise
         yield pa.RecordBatch.from_pydict({"bucket": [b for b, _ in done], "n": [n for _, n in done]}, schema=pa.schema([("bucket", pa.int32()), ("n", pa.int64())]))
 
     return [(f"shard-{r.bucket:06d}", r.n) for r in sorted(dealt.mapInArrow(write, "bucket int, n long").collect())]

@@ -10,20 +10,21 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.tokens import encoder, vocabulary_path
+from tessella.llm.tokens import task_encoder, vocabulary_path
 from tessella.runtime import materialize
 
 CAPACITY, END_ID = 2048, 0
-SALTS = 64
+RANKED = 20_000  # pieces of a length that one task ranks
 
 
 @dataclass(frozen=True)
@@ -103,45 +104,48 @@ def places(plan: list[Pattern]) -> dict[int, np.ndarray]:
     return {length: np.array(rows, dtype=np.int64) for length, rows in found.items()}
 
 
-PIECES = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("piece", "start", "length", "ids_crc32")] + [T.StructField("ids", T.BinaryType())]))
-PIECES_ARROW = pa.list_(pa.struct([(c, pa.int64()) for c in ("piece", "start", "length", "ids_crc32")] + [("ids", pa.binary())]))
+def cut_lengths(n: int, capacity: int) -> list[tuple[int, int]]:
+    """(start, end) of the pieces of ``n`` ids, each at most ``capacity``; only the first may be shorter."""
+    head = n % capacity
+    return ([(0, head)] if head else []) + [(at, at + capacity) for at in range(head, n, capacity)]
 
 
-def cut(ids: np.ndarray, capacity: int) -> list[np.ndarray]:
-    """Pieces of at most ``capacity``; only the first may be shorter."""
-    head = len(ids) % capacity
-    return ([ids[:head]] if head else []) + [ids[at : at + capacity] for at in range(head, len(ids), capacity)]
+def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 (and ids) of the pieces of each text's ids and the end id; a null text is empty."""
+    path, end = vocabulary_path(vocabulary), np.array([end_id], dtype="<u4").tobytes()
+    names = ("piece", "start", "length", "ids_crc32")
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with task_encoder(path) as encoding:
+            for batch in batches:
+                rows, columns, raws = [], ([], [], [], []), []
+                for row, text in enumerate(batch.column("text")):
+                    raw = memoryview(encoding.raw(text.as_py() or "") + end)
+                    for piece, (a, b) in enumerate(cut_lengths(len(raw) // 4, capacity)):
+                        part = raw[4 * a : 4 * b]
+                        rows.append(row)
+                        for column, value in zip(columns, (piece, a, b - a, zlib.crc32(part)), strict=True):
+                            column.append(value)
+                        if with_ids:
+                            raws.append(bytes(part))
+                found = [batch.column("doc_id").take(pa.array(rows, type=pa.int64())), *(pa.array(c, type=pa.int64()) for c in columns)]
+                yield pa.RecordBatch.from_arrays(found + ([pa.array(raws, type=pa.binary())] if with_ids else []), names=["doc_id", *names] + ["ids"] * with_ids)
 
-def token_pieces(text: Column | str, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None, with_ids: bool = False) -> Column:
-    """array<struct<piece, start, length, ids_crc32, ids>> of a text's ids and the end id; a null text is empty."""
-    path = vocabulary_path(vocabulary)
-
-    def split(texts: pa.Array) -> pa.Array:
-        encode = encoder(path).encode
-        out = []
-        for t in texts:
-            start, rows = 0, []
-            for i, ids in enumerate(cut(np.append(encode(t.as_py() or ""), np.uint32(end_id)), capacity)):
-                raw = ids.astype("<u4").tobytes()
-                rows.append({"piece": i, "start": start, "length": len(ids), "ids_crc32": zlib.crc32(raw), "ids": raw if with_ids else None})
-                start += len(ids)
-            out.append(rows)
-        return pa.array(out, type=PIECES_ARROW)
-
-    split.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(split, PIECES)(text)
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(c, T.LongType()) for c in names)] + [T.StructField("ids", T.BinaryType())] * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(split, schema)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, little-endian 32-bit) of every piece.
 
-    Null and empty texts are packed as their end id alone; repeated rows are packed each; an empty table gives no rows.
-    Columns other than doc_id and text are ignored.
+    Null and empty texts are packed as their end id alone; repeated rows are packed each; an empty table gives no rows;
+    a long text gives as many pieces as it needs. Columns other than doc_id and text are ignored, whatever their names.
+    Pieces of a length are ranked in parts of about RANKED rows each, so that no task ranks more.
     """
-    columns = ["doc_id", *(f"p.{c}" for c in ("piece", "start", "length", "ids_crc32")), *(["p.ids"] if with_ids else [])]
-    pieces = docs.select("doc_id", F.explode(token_pieces("text", capacity, end_id, vocabulary, with_ids)).alias("p")).select(*columns)
-    pieces = materialize(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS))), "pieces")
+    pieces = materialize(token_pieces(docs, capacity, end_id, vocabulary, with_ids), "pieces")
+    columns = pieces.columns
+    salts = 1 + pieces.count() // RANKED  # the count is read from the files' footers
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     parts = materialize(pieces.groupBy("length", "salt").agg(F.count("*").alias("n")), "parts")
     counts = {r.length: r.n for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     at = places(best_two_fit(counts, capacity))
@@ -164,7 +168,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabu
     own = F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1
     ranked = pieces.withColumn("own", own).join(parts.select("length", "salt", before.alias("before")), ["length", "salt"])
     placed = ranked.withColumn("at", where(F.col("length"), F.col("before") + F.col("own")))
-    return placed.select(*(c.removeprefix("p.") for c in columns), "at.sequence_id", "at.offset")
+    return placed.select(*columns, "at.sequence_id", "at.offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -1,34 +1,43 @@
-"""Byte-level BPE token ids by the tokenizers library, with a bounded memory of words.
+"""Byte-level BPE token ids by the tokenizers library, with a bounded memory of pieces.
 
-The library's own splitting of a text costs more than the merges do. A text is first split at spaces, each part's ids are
-remembered, and new parts go through the vocabulary's published splitting pattern to the library's BPE model. Parts with
-characters on which two regular-expression libraries may differ go through the library whole, and so do texts that hold an
-added token such as <|endoftext|>.
+The library's own splitting of a text costs more than the merges do. A text of common characters is cut into pieces by
+the vocabulary's published splitting pattern, written out for these characters, and each piece's ids, made by the
+library's BPE model at first sight, are remembered. Other texts go through the library in parts or whole, and so do texts
+that hold an added token such as <|endoftext|>, and all texts under a tokenizer that is not plain byte-level BPE.
 """
 
 from __future__ import annotations
 
+import json
 import re
-import threading
-import time
+import unicodedata
 from array import array
-from functools import cache
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import public_tokenizers
-import regex
 
 VOCABULARY = "byte_bpe_50k.json"
 #: A space before a visible character always starts a new piece of byte-level BPE's own splitting, so encoding the parts
 #: of a text split there gives the ids of the whole.
 SPLIT = re.compile(r" (?=\S)")
-PIECES = regex.compile(public_tokenizers.PATTERN)
 #: Parts of common characters only: ASCII and Latin letters and marks, without rare white space and control characters.
 COMMON = re.compile(r"[\t\n\r -~¡-ɏ]*")
-#: Parts that a worker remembers, twice over, and the longest of them: under 200 MB.
-REMEMBERED, LONGEST = 400_000, 64
-#: Seconds without a text after which a worker forgets its words, so that other stages have the memory.
-IDLE_S = 4
+#: Pieces that a task remembers, twice over, and the longest of them: under 150 MB.
+REMEMBERED, LONGEST = 300_000, 64
+
+
+def _of_kind(kind: str) -> str:
+    """The common characters of a Unicode category, as a run for a character class."""
+    return "".join(re.escape(chr(i)) for i in [*range(0x21, 0x7F), *range(0xA1, 0x250)] if unicodedata.category(chr(i))[0] == kind)
+
+
+#: The published pattern (public_tokenizers.PATTERN) for common characters, its most frequent cases first.
+PIECES = re.compile(rf" ?[{_of_kind('L')}]+|'(?:[stmd]|re|ve|ll)| ?[^\t\n\r {_of_kind('L')}{_of_kind('N')}]+| ?[{_of_kind('N')}]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+")
+#: What plain byte-level BPE has in its file: anything else goes through the library whole.
+PLAIN_SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+PLAIN_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "ignore_merges": False}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -41,6 +50,12 @@ def _byte_letters() -> dict[int, str]:
 LETTERS = _byte_letters()
 
 
+def is_plain(settings: dict) -> bool:
+    """Whether a tokenizer file splits and merges as this module does."""
+    split, model = settings.get("pre_tokenizer") or {}, settings["model"]
+    return not settings.get("normalizer") and all(split.get(k) == v for k, v in PLAIN_SPLIT.items()) and all(model.get(k, v) == v for k, v in PLAIN_MODEL.items())
+
+
 class Remembered(dict):
     """Values made at first sight. When full, it starts anew and takes over what is still asked for."""
 
@@ -65,56 +80,57 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = is_plain(json.loads(self.tokenizer.to_str()))
         #: Strings that the library turns into one id each, wherever a text holds them.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         if hasattr(self.model, "_resize_cache"):
-            self.model._resize_cache(0)  # ours has each word already
-        self.used = time.monotonic()
-        #: By part without its leading space, and by piece of a part.
-        self.parts, self.pieces = Remembered(self._part), Remembered(self._piece)
+            self.model._resize_cache(0)  # ours has each piece already
+        self.pieces = Remembered(self._piece)
 
     def _piece(self, piece: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(LETTERS))]).tobytes()
-
-    def _part(self, part: str) -> bytes:
-        if part.isalpha() and COMMON.fullmatch(part):  # a single piece
-            return self._piece(" " + part)
-        if part[-1] in ".," and part[:-1].isalpha():
-            return self.parts[part[:-1]] + self.pieces[part[-1]]
-        return self._mixed(" " + part)
-
-    def _mixed(self, text: str) -> bytes:
-        if not COMMON.fullmatch(text):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join([self.parts[p[1:]] if p[0] == " " and p[1:].isalpha() else self.pieces[p] for p in PIECES.findall(text)])
-
-    def forget(self) -> None:
-        for memory in (self.parts, self.pieces):
-            memory.older = {}
-            memory.clear()
-
-    def forget_when_idle(self) -> None:
-        while True:
-            time.sleep(IDLE_S)
-            if self.parts and time.monotonic() - self.used > IDLE_S:
-                self.forget()
+        letters = piece.replace(" ", LETTERS[0x20]) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _common(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, PIECES.findall(text)))
+
+    def raw(self, text: str) -> bytes:
+        """Token ids of a whole text, 32 bits each."""
+        if not self.plain or any(a in text for a in self.added):
+            return self._whole(text)
+        if COMMON.fullmatch(text):
+            return self._common(text)
+        first, *rest = SPLIT.split(text)
+        return b"".join([(self._common if COMMON.fullmatch(p) else self._whole)(p) for p in (first, *(" " + p for p in rest))])
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids of a whole text as unsigned 32-bit integers."""
-        self.used = time.monotonic()
-        if any(a in text for a in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        first, *rest = SPLIT.split(text)
-        return np.frombuffer(self._mixed(first) + b"".join(map(self.parts.__getitem__, rest)), dtype=np.uint32)
+        return np.frombuffer(self.raw(text), dtype=np.uint32)
+
+
+_held: dict[str, WordEncoder] = {}
 
 
-@cache
 def encoder(path: str) -> WordEncoder:
     """A worker's own encoder of a vocabulary."""
-    made = WordEncoder(path)
-    threading.Thread(target=made.forget_when_idle, daemon=True).start()
-    return made
+    if path not in _held:
+        _held[path] = WordEncoder(path)
+    return _held[path]
+
+
+@contextmanager
+def task_encoder(path: str) -> Iterator[WordEncoder]:
+    """The worker's encoder for one task, which forgets its pieces at the end, so that other stages have the memory."""
+    found = encoder(path)
+    try:
+        yield found
+    finally:
+        found.pieces.older = {}
+        found.pieces.clear()
 
 
 def vocabulary_path(path: str | None = None) -> str:

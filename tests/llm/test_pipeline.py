@@ -61,3 +61,16 @@ def test_everything_is_packed(stages):
 
 def test_run_gives_the_last_stage(spark, data, stages):
     assert corpus_pipeline.run(spark, data).count() == stages[-1].count()
+
+
+def test_odd_and_empty_tables_pass_every_stage(spark, data, odd, empty):
+    """Nulls, blanks, a very long text, repeated rows, a missing id and clashing or dotted names; then no rows at all."""
+    for rows in (odd, empty):
+        docs, few = rows, rows.count()
+        for _, stage in corpus_pipeline.STAGES:
+            before, docs = docs.columns, materialize(stage(spark, docs, data))
+            if "sequence_id" not in docs.columns:
+                assert docs.columns == before
+        assert "sequence_id" in docs.columns and (few or docs.count() == 0)
+    for _, stage in corpus_pipeline.STAGES:  # and each stage takes the odd table itself
+        assert stage(spark, odd, data).count() >= 0

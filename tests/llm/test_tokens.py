@@ -62,7 +62,7 @@ def test_shard_round_trip(tmp_path):
     docs = [(i, r.integers(0, 50_000, int(n))) for i, n in enumerate([1, 7, 0, 300, 64, 5])] + [(None, np.array([9]))]
     w = A.ShardWriter(f"file://{tmp_path}", "s", A.id_type(50_257), length=16, batch=2)
     for i, ids in docs:
-        w.add(i, ids)
+        w.add(i, ids.astype(np.uint32).tobytes())
     w.close()
     shard = A.ShardReader(f"file://{tmp_path}", "s")
     flat = np.concatenate([ids for _, ids in docs])
@@ -166,3 +166,28 @@ def test_packing_odd_rows(spark, odd, empty):
     for r in rows:
         assert joined[r.sequence_id][4 * r.offset : 4 * (r.offset + r.length)] == bytes(r.ids)
     assert P.pack(empty).count() == 0
+
+
+def test_other_tokenizers_go_through_the_library_whole(tmp_path):
+    from tokenizers import Tokenizer, normalizers
+
+    t = Tokenizer.from_file(vocabulary_path())
+    t.normalizer = normalizers.Lowercase()
+    t.save(str(tmp_path / "lower.json"))
+    e = WordEncoder(str(tmp_path / "lower.json"))
+    assert not e.plain and e.encode("Hello There").tolist() == library_ids(["hello there"])[0]
+
+
+def test_a_failed_shard_leaves_no_file(tmp_path):
+    w = A.ShardWriter(f"file://{tmp_path}", "s", A.id_type(50_257), length=16, batch=2)
+    w.add(1, np.arange(40, dtype=np.uint32).tobytes())
+    w.discard()
+    assert not list(tmp_path.iterdir())
+
+
+def test_full_length_pieces_are_ranked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(P, "RANKED", 3)
+    docs = [(i, "word " * 40) for i in range(20)]
+    got = P.pack(spark.createDataFrame(docs, "doc_id long, text string"), capacity=8).collect()
+    assert sorted(tuple(r)[:5] for r in got) == sorted(pieces_of(docs, 8))
+    check_places(got, 8)
