@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions.text import ngrams
 
 
+@F.arrow_udf(T.ArrayType(T.BooleanType()))
+def held_by(items: pa.Array, other: pa.Array) -> pa.Array:
+    """For each item of an array whether another array has it, with one set lookup an item."""
+    return pa.array([[x in own for x in a] if (own := set(b or ())) or a else [] for a, b in zip((x or [] for x in items.to_pylist()), other.to_pylist(), strict=True)], type=pa.list_(pa.bool_()))
+
+
 def bleu_unclipped(generated: Column, reference: Column, n: int = 4) -> Column:
     """Geometric mean of the shares of generated n-grams that the reference has anywhere, with the brevity penalty; arrays of tokens in."""
 
     def share(k: int) -> Column:
         g, r = ngrams(generated, k), ngrams(reference, k)
-        return F.when(F.size(g) > 0, F.size(F.filter(g, lambda x: F.array_contains(r, x))) / F.size(g)).otherwise(F.lit(0.0))
+        return F.when(F.size(g) > 0, F.size(F.filter(held_by(g, r), lambda x: x)) / F.size(g)).otherwise(F.lit(0.0))
 
     shares = [share(k) for k in range(1, n + 1)]
     brevity = F.when(F.size(generated) < F.size(reference), F.exp(1 - F.size(reference) / F.size(generated))).otherwise(F.lit(1.0))
@@ -31,27 +39,36 @@ def rouge_n(generated: Column, reference: Column, n: int = 1) -> dict[str, Colum
     return {"p": p, "r": q, "f": F.when(p + q > 0, 2 * p * q / (p + q)).otherwise(F.lit(0.0))}
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays: a fold over ``a`` of one row of the table."""
-    row = F.transform(F.concat(F.array(F.lit("")), b), lambda _: F.lit(0))
-
-    def step(previous: Column, x: Column) -> Column:
-        def cell(state: Column, j: Column) -> Column:
-            diagonal, above = F.get(previous, j - 1), F.get(previous, j)
-            left = F.element_at(state, -1)
-            return F.concat(state, F.array(F.when(F.get(b, j - 1) == x, diagonal + 1).otherwise(F.greatest(above, left))))
+def lcs(a: list, b: list) -> int:
+    """Length of the longest common subsequence, a row of the table at a time as the bits of one whole number."""
+    at: dict = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for x in b:
+        met = row & at.get(x, 0)
+        row = (row + met | row - met) & full
+    return len(a) - row.bit_count()
 
-        return F.when(F.size(b) > 0, F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)), cell)).otherwise(previous)
 
-    return F.element_at(F.aggregate(a, row, step), -1)
+@F.arrow_udf(T.StructType([T.StructField("lcs", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in "prf")]))
+def rouge_l(generated: pa.Array, reference: pa.Array) -> pa.Array:
+    """Longest common subsequence of two token arrays, its share of each, and their F1."""
+    out = []
+    for g, r in zip(generated.to_pylist(), reference.to_pylist(), strict=True):
+        n = lcs(g or [], r or [])
+        p, q = n / len(g) if g else 0.0, n / len(r) if r else 0.0
+        out.append({"lcs": n, "p": p, "r": q, "f": 2 * p * q / (p + q) if p + q > 0 else 0.0})
+    return pa.array(out, type=pa.struct([("lcs", pa.int64()), *((c, pa.float64()) for c in "prf")]))
 
 
 def meteor(generated: Column, reference: Column) -> Column:
     """Set matches over token counts, with the penalty for runs of matched tokens."""
     m = F.size(F.array_intersect(generated, reference))
     p, r = m / F.size(generated), m / F.size(reference)
-    hit = F.transform(generated, lambda x: F.array_contains(reference, x))
-    runs = F.size(F.filter(F.transform(hit, lambda h, i: h & ((i == 0) | ~F.coalesce(F.get(hit, i - 1), F.lit(False)))), lambda s: s))
+    hit = F.array_join(F.transform(held_by(generated, reference), lambda h: F.when(h, "x").otherwise("-")), "")
+    runs = F.regexp_count(hit, F.lit("x+"))
     f = 2 * p * r / (p + r)
     return F.when(m > 0, f * (1 - 0.5 * F.pow(runs / m, 3))).otherwise(F.lit(0.0))
 

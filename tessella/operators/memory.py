@@ -2,11 +2,40 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import terms
-from tessella.operators.relational import top_per_key
+from tessella.operators.blocks import best_rows
+
+
+def _episodic_scores(queries: pa.Table, rows: pa.Table) -> np.ndarray:
+    """Scores of a block of queries (id, lower-case text, terms) against memories (id, entity, query terms, context terms)."""
+    texts, q_terms = queries.column(1).to_pylist(), queries.column(2).to_pylist()
+    asked: dict[str, list[int]] = {}
+    for i, terms_ in enumerate(q_terms):
+        for x in terms_:
+            asked.setdefault(x, []).append(i)
+    q_size = np.array([len(x) for x in q_terms])
+    by_entity: dict[str, np.ndarray] = {}
+    out = np.full((len(texts), rows.num_rows), -np.inf)
+
+    def met(terms_: list[str]) -> np.ndarray:
+        hits = [asked[x] for x in terms_ if x in asked]
+        return np.bincount(np.concatenate(hits), minlength=len(texts)) if hits else np.zeros(len(texts), dtype=np.int64)
+
+    for j, (entity, m, c) in enumerate(zip(*(rows.column(i).to_pylist() for i in (1, 2, 3)), strict=True)):
+        in_m, in_c = met(m), met(c)
+        near = np.flatnonzero(in_m + in_c)
+        if not len(near):
+            continue
+        if entity not in by_entity:
+            by_entity[entity] = np.array([0.0 if entity is None else 0.5 if entity in t else 0.4 if t in entity else 0.0 for t in texts])
+        score = by_entity[entity][near] + 0.3 * in_c[near] / q_size[near] + 0.4 * in_m[near] / np.maximum(q_size[near], len(m))
+        out[near, j] = np.where(score > 0, score, -np.inf)
+    return out
 
 
 def episodic_matches(queries: DataFrame, memory: DataFrame, top_k: int = 5) -> DataFrame:
@@ -14,20 +43,13 @@ def episodic_matches(queries: DataFrame, memory: DataFrame, top_k: int = 5) -> D
 
     Memories are (memory_id, query, entity, context), queries (query_id, text). Score: 0.5 for an entity inside the query,
     else 0.4 for the query inside an entity; 0.3 times the share of the query's terms in the context; 0.4 times the common
-    terms over the larger term set. Pairs meet on their terms, rarest word first by the join's own keys; sums of matches are
-    pre-aggregated, so no row is written for a pair without a common term.
+    terms over the larger term set. Blocks of queries meet blocks of memories, and only each block's best leave a task:
+    no row is written for a pair, however common its terms are.
     """
     q = queries.select("query_id", F.lower("text").alias("q_text"), F.array_distinct(terms("text")).alias("q_terms"))
     m = memory.select("memory_id", F.lower("entity").alias("entity"), F.array_distinct(terms("query")).alias("m_terms"), F.array_distinct(terms("context")).alias("c_terms"))
-    asked = q.select("query_id", F.explode("q_terms").alias("term"))
-    held = m.select("memory_id", F.explode("m_terms").alias("term"), F.lit(1).alias("in_m"), F.lit(0).alias("in_c")).unionAll(m.select("memory_id", F.explode("c_terms").alias("term"), F.lit(0), F.lit(1)))
-    counts = asked.join(held, "term").groupBy("query_id", "memory_id").agg(F.sum("in_m").alias("in_m"), F.sum("in_c").alias("in_c"))
-    sizes = m.select("memory_id", "entity", F.size("m_terms").alias("m_size"))
-    pairs = counts.join(sizes, "memory_id").join(q.select("query_id", "q_text", F.size("q_terms").alias("q_size")), "query_id")
-    entity = F.when(F.contains("q_text", "entity"), 0.5).when(F.contains("entity", "q_text"), 0.4).otherwise(0.0)
-    score = entity + 0.3 * F.col("in_c") / F.col("q_size") + 0.4 * F.col("in_m") / F.greatest("q_size", "m_size")
-    scored = pairs.select("query_id", "memory_id", F.round(score, 6).alias("score")).where("score > 0")
-    return top_per_key(scored, ["query_id"], [F.desc("score"), F.col("memory_id")], top_k)
+    kind = "string" if memory.schema["memory_id"].dataType.typeName() == "string" else "long"
+    return best_rows(q, m, _episodic_scores, top_k, kind).withColumnRenamed("id", "memory_id")
 
 
 def personality_score(query: Column, mode: dict[str, Column], contexts: Column) -> Column:

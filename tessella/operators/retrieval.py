@@ -5,6 +5,8 @@ A search takes a table of queries and a table to search, both distributed; resul
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,105 +14,105 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.text import terms
+from tessella.functions.text import TERM
+from tessella.operators.blocks import best_rows
 from tessella.operators.relational import top_per_key
+from tessella.runtime import materialize
 
-QUERY_BLOCK = 4096
+
+def unit_rows(vectors: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Vectors as rows of length 1; rows of NaN for null, empty and zero vectors and for those of another width."""
+    lists = vectors.combine_chunks()
+    lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    m = np.full((len(lists), width), np.nan)
+    if width and (lengths == width).any():
+        m[lengths == width] = lists.filter(pa.array(lengths == width)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+    norms = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norms > 0, norms, np.nan)
+
+
+def cosines(least: float | None = None):
+    """A scorer of (id, vector) blocks; an id does not meet itself."""
+
+    def score(queries: pa.Table, rows: pa.Table) -> np.ndarray:
+        width = max(queries.column(1).combine_chunks().value_lengths().fill_null(0).to_pylist(), default=0)
+        s = unit_rows(queries.column(1), width) @ unit_rows(rows.column(1), width).T
+        s[queries.column(0).to_numpy()[:, None] == rows.column(0).to_numpy()[None, :]] = np.nan
+        s[np.isnan(s) | (np.round(s, 6) < (least if least is not None else -np.inf))] = -np.inf
+        return s
+
+    return score
 
 
 def vector_search(queries: DataFrame, corpus: DataFrame, top_k: int = 10, least: float | None = None) -> DataFrame:
     """(query_id, id, score, rank): the top_k cosines of each query over all of ``corpus``, itself left out.
 
-    Both tables are (id, vector). Queries are taken in blocks of a fixed size; each task multiplies its rows with a block
-    and hands on the best of each batch, so no pair is written out and nothing but the best is shuffled. Null, empty and
-    zero vectors have no score.
+    Both tables are (id, vector). Blocks of queries meet blocks of rows in one pass; nothing but each block's best is
+    shuffled, and nothing goes through the driver. Null, empty and zero vectors have no score.
     """
-    spark = corpus.sparkSession
-    found = None
-    block_ids, block_rows = [], []
-
-    def scan(ids: np.ndarray, rows: np.ndarray) -> DataFrame:
-        shared = spark.sparkContext.broadcast((ids, rows))
-        schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
-
-        def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            query_ids, query_rows = shared.value
-            for batch in batches:
-                kept = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if v and len(v) == query_rows.shape[1] and any(v)]
-                if not kept:
-                    continue
-                own = np.array([i for i, _ in kept], dtype=np.int64)
-                m = np.array([v for _, v in kept], dtype=np.float64)
-                s = query_rows @ (m / np.linalg.norm(m, axis=1, keepdims=True)).T
-                s[query_ids[:, None] == own[None, :]] = -np.inf
-                if least is not None:
-                    s[s < least] = -np.inf
-                order = np.lexsort((np.broadcast_to(own, s.shape), -np.round(s, 6)), axis=1)[:, :top_k]
-                best = np.take_along_axis(s, order, axis=1)
-                q, _ = np.nonzero(np.isfinite(best))
-                good = np.isfinite(best)
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(own[order][good]), pa.array(best[good])], schema=schema)
-
-        return corpus.select(corpus.columns[0], corpus.columns[1]).mapInArrow(multiply, "query_id long, id long, score double")
-
-    def flush():
-        nonlocal found, block_ids, block_rows
-        m = np.array(block_rows, dtype=np.float64)
-        part = scan(np.array(block_ids, dtype=np.int64), m / np.linalg.norm(m, axis=1, keepdims=True))
-        found = part if found is None else found.unionAll(part)
-        block_ids, block_rows = [], []
-
-    for r in queries.toLocalIterator():  # one block at a time, whatever the number of queries
-        if r[1] and any(r[1]):
-            block_ids.append(r[0])
-            block_rows.append(r[1])
-            if len(block_ids) == QUERY_BLOCK:
-                flush()
-    if block_ids:
-        flush()
-    if found is None:
-        return spark.createDataFrame([], "query_id long, id long, score double, rank int")
-    rounded = found.withColumn("score", F.round("score", 6))
-    return top_per_key(rounded, ["query_id"], [F.desc("score"), F.col("id")], top_k)
+    return best_rows(queries, corpus.select(corpus.columns[0], corpus.columns[1]), cosines(least), top_k)
 
 
 def term_table(docs: DataFrame, doc: str = "doc_id", text: str = "text", bigrams: bool = False) -> DataFrame:
-    """(id, term, tf): term counts of each document."""
-    t = terms(text)
-    if bigrams:
-        pairs = F.when(F.size(t) > 1, F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-        t = F.concat(t, pairs)
-    return docs.select(F.col(doc).alias("id"), F.explode(t).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """(id, term, tf, size): how often each term is in each document, and the document's number of terms.
+
+    Terms are counted within each row, so nothing is shuffled. A table to search is best written once (``materialize``).
+    """
+    schema = pa.schema([("id", pa.int64()), ("term", pa.string()), ("tf", pa.int64()), ("size", pa.int64())])
+    find = re.compile(TERM).findall
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [], [], [], []
+            for i, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = find((value.as_py() or "").lower())
+                counts = Counter(found)
+                if bigrams:
+                    counts.update(f"{a} {b}" for a, b in zip(found, found[1:], strict=False))
+                for column, values in zip(columns, ([i] * len(counts), counts.keys(), counts.values(), [len(found)] * len(counts)), strict=True):
+                    column.extend(values)
+                if len(columns[0]) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                    columns = [], [], [], []
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return docs.select(F.col(doc).cast("long"), text).mapInArrow(count, "id long, term string, tf long, size long")
 
 
-def tfidf_search(queries: DataFrame, docs: DataFrame, top_k: int = 5, bigrams: bool = False) -> DataFrame:
+def search_table(docs: DataFrame, bigrams: bool = False) -> DataFrame:
+    """The written term table of a collection, for one or more searches."""
+    return materialize(term_table(docs, bigrams=bigrams), "terms")
+
+
+def tfidf_search(queries: DataFrame, docs: DataFrame, top_k: int = 5, bigrams: bool = False, table: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, rank) by cosine of TF-IDF vectors; queries are (id, text), documents (doc_id, text).
 
-    idf is ln((1 + N) / (1 + df)) + 1. Norms and products are sums by key, pre-aggregated before their shuffle; the
-    postings that meet no query term only count towards the norms.
+    idf is ln((1 + N) / (1 + df)) + 1. Documents are read once, into ``table``; their norms take one join of all terms,
+    their products only the postings of the queries' terms.
     """
     n = docs.count()
-    tf = term_table(docs, bigrams=bigrams)
-    idf = tf.groupBy("term").agg((F.log((1 + F.lit(n)) / (1 + F.count("*"))) + 1).alias("idf"))
-    weighted = tf.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    q = term_table(queries, "id", "text", bigrams).join(idf, "term").select(F.col("id").alias("query_id"), "term", (F.col("tf") * F.col("idf")).alias("qw"))
+    tf = search_table(docs, bigrams) if table is None else table
+    idf = materialize(tf.groupBy("term").agg((F.log((1 + F.lit(n)) / (1 + F.count("*"))) + 1).alias("idf")), "idf")
+    norms = tf.join(idf, "term").groupBy("id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
+    q = term_table(queries, "id", "text", bigrams).join(idf, "term").select(F.col("id").alias("query_id"), "term", "idf", (F.col("tf") * F.col("idf")).alias("qw"))
+    q = materialize(q, "asked")
     q_norms = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
-    products = q.join(weighted, "term").groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("product"))
+    asked = q.select("term").distinct()
+    products = q.join(tf.join(asked, "term", "left_semi"), "term").groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("tf") * F.col("idf")).alias("product"))
     scored = products.join(norms, "id").join(q_norms, "query_id").select("query_id", "id", F.round(F.col("product") / (F.col("norm") * F.col("q_norm")), 6).alias("score"))
     return top_per_key(scored, ["query_id"], [F.desc("score"), F.col("id")], top_k)
 
 
-def bm25_search(queries: DataFrame, docs: DataFrame, top_k: int = 5, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
+def bm25_search(queries: DataFrame, docs: DataFrame, top_k: int = 5, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, table: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, rank) by Okapi BM25, scores divided by the query's best; negative idfs become floor * mean idf."""
-    sizes = docs.select(F.col("doc_id").alias("id"), F.size(terms("text")).alias("size"))
-    n, mean_size = sizes.agg(F.count("*"), F.avg("size")).first()
-    tf = term_table(docs)
-    raw = tf.groupBy("term").agg(F.log((n - F.count("*") + 0.5) / (F.count("*") + 0.5)).alias("raw"))
-    mean_idf = raw.agg(F.avg("raw")).first()[0] or 0.0
-    idf = raw.select("term", F.when(F.col("raw") < 0, F.lit(floor * mean_idf)).otherwise(F.col("raw")).alias("idf"))
-    q = term_table(queries, "id", "text").select(F.col("id").alias("query_id"), "term", F.col("tf").alias("times"))
-    met = q.join(idf, "term").join(tf, "term").join(sizes, "id")
+    n = docs.count()
+    tf = search_table(docs) if table is None else table
+    raw = materialize(tf.groupBy("term").agg(F.log((n - F.count("*") + 0.5) / (F.count("*") + 0.5)).alias("raw"), F.sum("tf").alias("all")), "idf")
+    mean_idf, total = raw.agg(F.avg("raw"), F.sum("all")).first()
+    mean_size = (total or 0) / max(n, 1)
+    idf = raw.select("term", F.when(F.col("raw") < 0, F.lit(floor * (mean_idf or 0.0))).otherwise(F.col("raw")).alias("idf"))
+    q = materialize(term_table(queries, "id", "text").select(F.col("id").alias("query_id"), "term", F.col("tf").alias("times")).join(idf, "term"), "asked")
+    met = q.join(tf.join(q.select("term").distinct(), "term", "left_semi"), "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / (mean_size or 1.0)))
     summed = met.groupBy("query_id", "id").agg(F.sum(part).alias("raw_score"))
     best = summed.groupBy("query_id").agg(F.max("raw_score").alias("best"))

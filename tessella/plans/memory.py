@@ -34,10 +34,12 @@ def personality(spark, d):
 
 def hybrid_full_outer(spark, d):
     """Symbolic matches merged with TF-IDF matches of the same queries."""
-    asked = _asked(spark, d)
-    ids = _episodes(spark, d).select(F.col("memory_id").alias("doc_id"), F.col("query").alias("text"))
-    sem = retrieval.tfidf_search(asked.select(F.col("query_id").alias("id"), "text"), ids).select("query_id", F.col("id").alias("memory_id"), "score")
-    sym = episodic(spark, d).select("query_id", "memory_id", "score")
+    number = F.col("conv_id") * 1000 + F.col("turn")
+    c = t(spark, d, "conversations").select(number.cast("long").alias("doc_id"), "text", "role")
+    asked = c.where("floor(doc_id / 1000) % 50 = 0")
+    sem = retrieval.tfidf_search(asked.select(F.col("doc_id").alias("id"), "text"), c.select("doc_id", "text")).select("query_id", F.col("id").alias("memory_id"), "score")
+    episodes = c.select(F.col("doc_id").alias("memory_id"), F.col("text").alias("query"), F.col("role").alias("entity"), F.concat_ws(" ", "role", "text").alias("context"))
+    sym = memory.episodic_matches(asked.select(F.col("doc_id").alias("query_id"), "text"), episodes).select("query_id", "memory_id", "score")
     return memory.merge_scores(sem, sym, ["query_id", "memory_id"]).withColumn("score", F.round("score", 5))
 
 
@@ -66,6 +68,16 @@ s AS (SELECT query_id, memory_id, len(list_intersect(qt, mt)) AS in_m, len(list_
 f AS (SELECT query_id, memory_id, round(CASE WHEN contains(q_text, entity) THEN 0.5 WHEN contains(entity, q_text) THEN 0.4 ELSE 0 END + 0.3::DOUBLE * in_c / nq + 0.4::DOUBLE * in_m / greatest(nq, nm), 6) AS score FROM s)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM f WHERE score > 0 QUALIFY rank <= 5"""
 
+def _tfidf_turns() -> str:
+    """TF-IDF over turns, as numbers conv_id * 1000 + turn."""
+    from tessella.plans.search import _tfidf_sql
+
+    sql = _tfidf_sql(False).replace("documents", "turns").replace("benchmark", "asked").replace("doc_id", "turn_no").replace("item_id", "turn_no")
+    return "WITH turns AS (SELECT conv_id * 1000 + turn AS turn_no, text FROM conversations), asked AS (SELECT * FROM turns WHERE turn_no // 1000 % 50 = 0), " + sql.lstrip().removeprefix("WITH")
+
+
+_NUMBERED = _EPISODIC.replace("conv_id || '-' || turn", "conv_id * 1000 + turn")
+
 QUERIES = {
     "memory_symbolic_episodic": (episodic, _EPISODIC),
     "memory_symbolic_personality": (personality, """
@@ -73,7 +85,9 @@ WITH m AS (SELECT * FROM (VALUES ('m1', 'analytical', 'logical', 'INTJ', ['cione
 s AS (SELECT conv_id, turn, mode_id, (CASE WHEN contains(lower(text), p) THEN 0.5 WHEN contains(p, lower(text)) THEN 0.4 ELSE 0 END + CASE WHEN contains(lower(text), lower(b)) THEN 0.5 ELSE 0 END
   + CASE WHEN contains(lower(text), c) THEN 0.4 ELSE 0 END + CASE WHEN len(list_filter(x, lambda y: contains(lower(text), y))) > 0 THEN 0.5 ELSE 0 END)::DOUBLE AS score FROM conversations, m)
 SELECT * FROM s WHERE score > 0"""),
-    "hybrid_memory_full_outer": (hybrid_full_outer, None),
+    "hybrid_memory_full_outer": (hybrid_full_outer, f"""
+WITH a AS MATERIALIZED (SELECT query_id, id AS memory_id, score * 0.7::DOUBLE AS score FROM ({_tfidf_turns()})), b AS MATERIALIZED (SELECT query_id, memory_id, score * (1 - 0.7::DOUBLE) AS score FROM ({_NUMBERED}))
+SELECT query_id, memory_id, round(sum(score), 5) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2"""),
     "memory_save_rejects": (save_rejects, "SELECT concat_ws(',', CASE WHEN role = 'system' THEN 'entity' END, CASE WHEN length(text) < 100 OR trim(text) = '' THEN 'query' END) AS missing, count(*) AS n FROM conversations GROUP BY 1"),
     "temporal_range": (temporal_range, "SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-12 12:00:00' GROUP BY 1"),
     "iteration_counts": (iteration_counts, "SELECT user_id, event_type, count(*) AS iterations, bool_and(value > 1) AS success, arg_max(value, (ts, event_id)) AS last_value FROM events GROUP BY ALL"),

@@ -43,22 +43,29 @@ def similar_earlier_only(spark, d):
     return vectors_similar(spark, d).where("id < query_id")
 
 
+def _both(spark, d):
+    """TF-IDF and BM25 results over one term table."""
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    table = retrieval.search_table(docs)
+    return retrieval.tfidf_search(_asked(spark, d), docs, table=table), retrieval.bm25_search(_asked(spark, d), docs, table=table)
+
+
 def hybrid_fused(spark, d):
-    return retrieval.hybrid_fused(tfidf(spark, d), bm25(spark, d), ["query_id", "id"]).withColumn("score", F.round("score", 5))
+    return retrieval.hybrid_fused(*_both(spark, d), ["query_id", "id"]).withColumn("score", F.round("score", 5))
 
 
 def hybrid_union(spark, d):
-    both = retrieval.hybrid_union(tfidf(spark, d).drop("rank"), bm25(spark, d).drop("rank"))
-    return both.withColumn("score", F.round("score", 5))
+    semantic, symbolic = _both(spark, d)
+    return retrieval.hybrid_union(semantic.drop("rank"), symbolic.drop("rank")).withColumn("score", F.round("score", 5))
 
 
 def rerank_lexical(spark, d):
-    """BM25 results reranked by the share of the query's terms that they hold."""
+    """BM25 results reranked by the share of the query's terms that they hold; a result without its text stays, last."""
     found = bm25(spark, d).select("query_id", F.col("id").alias("doc_id"), "score")
     asked = _asked(spark, d).select(F.col("id").alias("query_id"), F.array_distinct(fx.terms("text")).alias("q"))
     docs = t(spark, d, "documents").select("doc_id", "text")
-    held = found.join(asked, "query_id").join(docs, "doc_id")
-    overlap = F.size(F.array_intersect("q", F.array_distinct(fx.terms("text")))) / F.size("q")
+    held = found.join(asked, "query_id", "left").join(docs, "doc_id", "left")
+    overlap = F.coalesce(F.size(F.array_intersect("q", F.array_distinct(fx.terms("text")))) / F.size("q"), F.lit(0.0))
     scored = held.select("query_id", F.col("doc_id").alias("id"), "score", F.round(overlap, 6).alias("encoder_score"))
     return relational.top_per_key(scored, ["query_id"], [F.desc("encoder_score"), F.desc("score"), F.col("id")], 3)
 
@@ -74,7 +81,7 @@ def _pairs(spark, d):
 
 
 def bleu(spark, d):
-    return _pairs(spark, d).select("conv_id", "turn", F.round(evaluation.bleu_unclipped(F.col("g"), F.col("r"), 2), 6).alias("bleu"))
+    return _pairs(spark, d).select("conv_id", "turn", F.round(evaluation.bleu_unclipped(F.col("g"), F.col("r"), 4), 6).alias("bleu"))
 
 
 def rouge(spark, d):
@@ -83,8 +90,9 @@ def rouge(spark, d):
 
 
 def rouge_l(spark, d):
-    """Longest common subsequence of consecutive turns, by a fold per pair; quadratic in a turn's words, not in rows."""
-    return _pairs(spark, d).select("conv_id", "turn", evaluation.lcs_length(F.col("g"), F.col("r")).alias("lcs"))
+    """Precision, recall and F1 of the longest common subsequence of consecutive turns."""
+    found = _pairs(spark, d).select("conv_id", "turn", evaluation.rouge_l(F.col("g"), F.col("r")).alias("x"))
+    return found.select("conv_id", "turn", "x.lcs", *(F.round(f"x.{c}", 6).alias(f"rougeL_{c}") for c in "prf"))
 
 
 def meteor(spark, d):
@@ -182,9 +190,10 @@ WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lamb
 k AS (SELECT item_id, w, list_filter(w, lambda x: length(x) > 2 AND NOT list_contains([{', '.join(repr(s) for s in STOP)}], lower(x))) AS k FROM w)
 SELECT item_id, array_to_string(CASE WHEN len(k) > 0 THEN k ELSE w END, ' ') AS keywords FROM k"""),
     "bleu": (bleu, f"""{_PAIRS},
-s AS (SELECT conv_id, turn, len(g) AS ng, len(r) AS nr, {_grams('g', 1)} AS g1, {_grams('r', 1)} AS r1, {_grams('g', 2)} AS g2, {_grams('r', 2)} AS r2 FROM q),
-h AS (SELECT *, len(list_filter(g1, lambda x: list_contains(r1, x))) AS h1, len(list_filter(g2, lambda x: list_contains(r2, x))) AS h2 FROM s)
-SELECT conv_id, turn, round(CASE WHEN h1 > 0 AND h2 > 0 THEN CASE WHEN ng < nr THEN exp(1 - nr / ng::DOUBLE) ELSE 1 END * exp((ln(h1 / len(g1)::DOUBLE) + ln(h2 / len(g2)::DOUBLE)) / 2) ELSE 0 END, 6) AS bleu FROM h"""),
+s AS (SELECT conv_id, turn, len(g) AS ng, len(r) AS nr, {', '.join(f"{_grams(x, n)} AS {x}{n}" for x in 'gr' for n in range(1, 5))} FROM q),
+h AS (SELECT *, {', '.join(f"len(list_filter(g{n}, lambda x: list_contains(r{n}, x))) AS h{n}" for n in range(1, 5))} FROM s)
+SELECT conv_id, turn, round(CASE WHEN {' AND '.join(f'h{n} > 0' for n in range(1, 5))} THEN CASE WHEN ng < nr THEN exp(1 - nr / ng::DOUBLE) ELSE 1 END
+  * exp(({' + '.join(f'ln(h{n} / len(g{n})::DOUBLE)' for n in range(1, 5))}) / 4) ELSE 0 END, 6) AS bleu FROM h"""),
     "rouge": (rouge, f"""{_PAIRS},
 s AS (SELECT conv_id, turn, list_distinct({_grams('g', 1)}) AS g1, list_distinct({_grams('r', 1)}) AS r1, list_distinct({_grams('g', 2)}) AS g2, list_distinct({_grams('r', 2)}) AS r2 FROM q),
 h AS (SELECT conv_id, turn, len(list_intersect(g1, r1)) AS b1, len(g1)::DOUBLE AS ng1, len(r1)::DOUBLE AS nr1, len(list_intersect(g2, r2)) AS b2, len(g2)::DOUBLE AS ng2, len(r2)::DOUBLE AS nr2 FROM s),

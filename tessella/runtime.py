@@ -20,10 +20,12 @@ def share_code(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one where it is unset and all run on this machine."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
