@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import graphs, knowledge, memory, relational, search, streams
+from tessella.plans import graphs, knowledge, memory, prompts, relational, search, selection, streams
 
-MODULES = (relational, search, knowledge, memory, graphs, streams)
+MODULES = (relational, search, knowledge, prompts, selection, memory, graphs, streams)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

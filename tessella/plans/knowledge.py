@@ -38,13 +38,6 @@ def references_resolve(spark, d):
     return graph.resolve_references(refs, docs)
 
 
-def markdown_table_parse(spark, d):
-    """Documents written as a Markdown table row and parsed back into cells; rows of another width are dropped."""
-    rows = t(spark, d, "documents").select("doc_id", F.concat(F.lit("| "), "lang", F.lit(" | "), "source", F.lit(" | "), F.regexp_replace(F.substring("text", 1, 30), r"\s+", " "), F.lit(" |")).alias("row"))
-    cells = F.transform(F.split(F.regexp_replace("row", r"^\||\|$", ""), r"\|"), fx.strip)
-    return rows.select("doc_id", cells.alias("c")).where(F.size("c") == 3).select("doc_id", F.col("c")[0].alias("lang"), F.col("c")[1].alias("source"), F.col("c")[2].alias("head"))
-
-
 def prompt_assembly(spark, d):
     """A prompt for each conversation: role, task, and the texts of its first three user turns."""
     c = t(spark, d, "conversations")
@@ -107,9 +100,6 @@ WITH s AS (SELECT item_id AS ref_id, doc_id AS chunk_id,
   CASE WHEN contains(lower(d.text), lower(b.text)) THEN 10 ELSE 0 END + CASE WHEN contains(lower(source), lower(b.text)) THEN 5 ELSE 0 END + CASE WHEN contains(lower(lang), lower(b.text)) THEN 3 ELSE 0 END AS score
   FROM benchmark b, documents d)
 SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY score DESC, chunk_id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 3"""),
-    "markdown_table_parse": (markdown_table_parse, """
-WITH r AS (SELECT doc_id, lang, source, regexp_replace(regexp_replace(substr(text, 1, 30), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS head FROM documents)
-SELECT * FROM r WHERE NOT contains(head, '|')"""),
     "prompt_assembly": (prompt_assembly, """
 WITH x AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) <= 3),
 p AS (SELECT conv_id, 'You are an analyst.' || chr(10) || 'Answer the user.' || chr(10) || 'Context:' || chr(10) || string_agg('- ' || substr(text, 1, 500), chr(10) ORDER BY turn, text) AS p FROM x GROUP BY 1)
