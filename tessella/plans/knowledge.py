@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import text as fx
-from tessella.operators import chunking, graph
+from tessella.operators import chunking, graph, sections
 from tessella.runtime import read_table as t
 
 
@@ -31,6 +32,27 @@ def heading_sections(spark, d):
     return s.select("doc", "section", "level", "hierarchy", F.length("corpus").alias("size"))
 
 
+def _page_lines(spark, d):
+    """Pages as lines of Markdown: titles and links as headings, paragraphs as text, of some pages numbered, of some as a table."""
+    body = F.regexp_replace(F.regexp_replace("html", r"(?s)^.*?<body>", ""), r"\s+", " ")
+    marked = F.regexp_replace(F.regexp_replace(body, r"<(h1|li)[^>]*>", "\n## "), r"<(p|article|div|footer)[^>]*>|</li>|</h1>|<br>", "\n")
+    text = F.regexp_replace(F.regexp_replace(marked, "<[^>]*>", ""), r"[$]", "")
+    rows = t(spark, d, "pages").select(F.concat(F.when(F.col("page_id") % 4 == 0, "CRE").otherwise("PAGE"), F.col("page_id").cast("string"), F.lit("x")).alias("doc"), "page_id", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    number = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("B.1."), F.col("pos").cast("string"), F.lit(" "))).when(F.col("page_id") % 4 == 1, F.concat(F.col("pos").cast("string"), F.lit(". "))).when(F.col("page_id") % 4 == 2, F.lit("Table 7 ")).otherwise("")
+    plain = (F.col("pos") % 3 > 0) & (F.col("line") != "") & ~F.col("line").startswith("##")
+    return rows.select("doc", "page_id", "pos", F.when(plain, F.concat(number, "line")).otherwise(F.col("line")).alias("line"))
+
+
+def hierarchy_chunks(spark, d):
+    """Pages cut along a list of their own headings: the first of level 1, others of level 2 or 3 by their place."""
+    lines = _page_lines(spark, d)
+    heads = lines.where("startswith(line, '## ')").select(F.concat(F.lit("list of "), F.lower("doc")).alias("file"), F.col("pos").alias("idx"), F.expr("trim(substr(line, 4))").alias("heading"), "page_id")
+    first = F.min("idx").over(W.partitionBy("file"))
+    listed = heads.withColumn("level", F.when(F.col("idx") == first, 1).otherwise(2 + F.col("idx") % 2)).where("heading <> ''")
+    found = sections.hierarchy_chunks(lines.select("doc", "pos", "line"), listed)
+    return found.select("doc", "section", "level", "part", "reference", F.sha2(F.concat_ws("|", "hierarchy", "heading", "corpus"), 256).alias("digest"), "content_type")
+
+
 def references_resolve(spark, d):
     """Benchmark passages as references into documents."""
     refs = t(spark, d, "benchmark").select(F.col("item_id").alias("ref_id"), F.col("text").alias("reference"))
@@ -74,8 +96,6 @@ def criteria_eval(spark, d):
 
 def response_metrics(spark, d):
     """Length and words of each turn, and the change against the turn before."""
-    from pyspark.sql import Window as W
-
     w = W.partitionBy("conv_id").orderBy("turn")
     c = t(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("chars"), F.size(fx.terms("text")).alias("terms"))
     return c.withColumn("delta", F.col("chars") - F.lag("chars").over(w))
@@ -88,7 +108,40 @@ def token_estimates(spark, d):
 
 _CHUNKS = "SELECT doc_id, i AS chunk_no, regexp_replace(substr(text, i * 950 + 1, 1000), '^\\s+|\\s+$', '', 'g') AS corpus FROM (SELECT doc_id, text, unnest(range(0, greatest(0, ceil((length(text) - 1000) / 950.0))::INT + 1))::INT AS i FROM documents) WHERE corpus <> ''"
 
+_PAGE_LINES = r"""
+WITH b AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'CRE' ELSE 'PAGE' END || page_id || 'x' AS doc, regexp_replace(regexp_replace(html, '^(?s:.*?)<body>', ''), '[ \t\n\x0B\f\r]+', ' ', 'g') AS h FROM pages),
+m AS (SELECT page_id, doc, replace(regexp_replace(regexp_replace(regexp_replace(h, '<(h1|li)[^>]*>', chr(10) || '## ', 'g'), '<(p|article|div|footer)[^>]*>|</li>|</h1>|<br>', chr(10), 'g'), '<[^>]*>', '', 'g'), '$', '') AS x FROM b),
+s AS (SELECT page_id, doc, string_split(x, chr(10)) AS v FROM m), r AS (SELECT page_id, doc, unnest(v) AS line, unnest(range(0, len(v)))::INT AS pos FROM s),
+l AS (SELECT page_id, doc, pos, CASE WHEN pos % 3 > 0 AND line <> '' AND NOT starts_with(line, '##') THEN CASE page_id % 4 WHEN 0 THEN 'B.1.' || pos || ' ' WHEN 1 THEN pos || '. ' WHEN 2 THEN 'Table 7 ' ELSE '' END || line ELSE line END AS line FROM r)"""
+_STRIP = "regexp_replace({}, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')"
+_HIERARCHY = f"""{_PAGE_LINES},
+g AS (SELECT doc, pos, trim(substr(line, 4)) AS heading, CASE WHEN pos = min(pos) OVER (PARTITION BY doc) THEN 1 ELSE 2 + pos % 2 END AS level FROM l WHERE starts_with(line, '## ')),
+n AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY pos, heading) - 1 AS n, heading, level FROM g WHERE heading <> ''),
+f AS (SELECT doc, heading AS first FROM n WHERE n = 0), begun AS (SELECT doc, min(pos) AS begin FROM l JOIN f USING (doc) WHERE contains(line, '## ' || first) GROUP BY 1),
+c AS (SELECT doc, pos, line, starts_with(line, '## ') AS is_head, sum(starts_with(line, '## ')::INT) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1 AS k FROM l JOIN begun USING (doc) WHERE pos >= begin),
+h AS (SELECT doc, k, {_STRIP.format("substr(line, 4)")} AS heading FROM c WHERE is_head),
+v AS (SELECT h.doc, h.k, h.heading, arg_min(n.level, n.n) AS level FROM h LEFT JOIN n ON n.doc = h.doc AND n.heading = h.heading AND n.n >= h.k GROUP BY 1, 2, 3),
+w AS (SELECT doc, k, level, CASE WHEN level = 1 AND NOT contains(heading, 'Attachment') THEN doc || ' - ' || heading ELSE heading END AS heading FROM v),
+folded AS (SELECT doc, list({{'k': k, 'l': coalesce(level, 8), 'h': heading, 'p': []::VARCHAR[]}} ORDER BY k) AS a FROM w GROUP BY 1),
+prefixes AS (SELECT doc, a, unnest(range(1, len(a) + 1)) AS i FROM folded),
+paths AS (SELECT doc, a[i].k AS k, list_reduce(list_prepend({{'k': -1::HUGEINT, 'l': 0, 'h': '', 'p': []::VARCHAR[]}}, a[1:i]), lambda s, x: {{'k': x.k, 'l': x.l, 'h': x.h, 'p': list_append(CASE WHEN x.l = 1 THEN [] WHEN len(s.p) >= x.l THEN s.p[1:x.l - 1] ELSE s.p END, x.h)}}).p AS path FROM prefixes),
+t AS (SELECT doc, k, {_STRIP.format("line")} AS line, pos FROM c WHERE NOT is_head AND {_STRIP.format("line")} <> ''),
+x AS (SELECT doc, k, line, pos, starts_with(doc, 'CRE') AS cre, first_value(line) OVER o AS head, bool_or(regexp_matches(line, '^[0-9]+\\.')) OVER (PARTITION BY doc, k) AS numbered, row_number() OVER o AS line_no,
+  sum(length(line) + 1) OVER (PARTITION BY doc, k) - 1 AS size FROM t WINDOW o AS (PARTITION BY doc, k ORDER BY pos)),
+y AS (SELECT *, regexp_matches(head, '^(?i:table) [0-9]+') AS is_table FROM x),
+z AS (SELECT *, sum(CASE WHEN line_no = 1 THEN 0 WHEN cre THEN regexp_matches(line, '^([A-Z]+\\.)?[0-9]+\\.[0-9]+')::INT WHEN is_table THEN 0 WHEN numbered THEN regexp_matches(line, '^[0-9]+\\.')::INT WHEN size > 8000 THEN 1 ELSE 0 END)
+  OVER (PARTITION BY doc, k ORDER BY pos ROWS UNBOUNDED PRECEDING) AS part FROM y),
+q AS (SELECT doc, k, part, any_value(cre) AS cre, any_value(is_table) AS is_table, string_agg(line, chr(10) ORDER BY pos) AS corpus FROM z GROUP BY 1, 2, 3)
+SELECT q.doc, q.k::BIGINT AS section, w.level::INT AS level, q.part::INT AS part,
+  concat_ws(', ', q.doc, nullif(regexp_extract(path[-1], '(?i)(attachment [a-z]|chapter [0-9]+)', 1), '')) || ' ' ||
+  CASE WHEN cre THEN 'Para ' || coalesce(nullif(regexp_extract(corpus, '^([A-Z]+\\.)?([0-9]+\\.[0-9]+)', 2), ''), 'auto' || (part + 1)) || coalesce(', ' || nullif(regexp_extract(corpus, '^([A-Z]+)\\.[0-9]+\\.[0-9]+', 1), ''), '')
+    WHEN regexp_matches(corpus, '^(?i:table) [0-9]+') THEN 'Table ' || regexp_extract(corpus, '^(?i:table) ([0-9]+)', 1) WHEN regexp_matches(corpus, '^[0-9]+\\.') THEN 'Para ' || regexp_extract(corpus, '^([0-9]+\\.)', 1)
+    WHEN is_table THEN 'Table Content ' || (part + 1) ELSE 'Orphan ' || (part + 1) END AS reference,
+  sha256(concat_ws('|', q.doc || ' > ' || array_to_string(path, ' > '), w.heading, corpus)) AS digest, CASE WHEN NOT cre AND is_table THEN 'table' ELSE 'paragraph' END AS content_type
+FROM q JOIN w ON w.doc = q.doc AND w.k = q.k JOIN paths p ON p.doc = q.doc AND p.k = q.k"""
+
 QUERIES = {
+    "hierarchy_chunks": (hierarchy_chunks, _HIERARCHY),
     "chunk_length": (chunk_length, f"SELECT *, doc_id || ' Para ' || (chunk_no + 1) || '.' AS reference FROM ({_CHUNKS})"),
     "chunk_meta": (chunk_meta, f"SELECT doc_id, count(*) AS n_chunk, count(DISTINCT chunk_no // 4) AS n_section, sum(length(corpus))::BIGINT AS n_characters FROM ({_CHUNKS}) GROUP BY 1"),
     "chunk_level_groups": (chunk_level_groups, """
