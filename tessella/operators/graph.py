@@ -5,6 +5,8 @@ Edges are (src, dst) rows. Iterative operators write each round to the shared fo
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,12 +80,12 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return state
 
 
-def distances(edges: DataFrame, sources: DataFrame, most: int = 10) -> DataFrame:
-    """(source, node, distance) by breadth-first rounds along directed edges, as far as ``most`` steps."""
+def distances(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """(source, node, distance) by breadth-first rounds along directed edges, until nothing new is reached or for ``most`` steps."""
     e = materialize(edges.select("src", "dst").distinct(), "edges")
     seen = materialize(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("distance")).distinct(), "reached")
     frontier = seen
-    for step in range(1, most + 1):
+    for step in count(1) if most is None else range(1, most + 1):
         found = frontier.join(e, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node")).distinct()
         frontier = materialize(found.join(seen, ["source", "node"], "left_anti").withColumn("distance", F.lit(step)), "frontier")
         if frontier.isEmpty():
@@ -104,12 +106,17 @@ def simple_paths(edges: DataFrame, starts: DataFrame, cutoff: int = 3) -> DataFr
     return found
 
 
-def betweenness(edges: DataFrame, pivots: DataFrame, most: int = 20) -> DataFrame:
-    """(node, betweenness) summed over shortest paths from the pivots: path counts outwards, then dependencies back, by rounds."""
+def sampled_pivots(edges: DataFrame, most: int = 100) -> DataFrame:
+    """(node): up to ``most`` nodes drawn by a hash, all of a smaller graph."""
+    return undirected(edges).select(F.col("src").alias("node")).distinct().orderBy(F.xxhash64("node"), "node").limit(most)
+
+
+def betweenness(edges: DataFrame, pivots: DataFrame) -> DataFrame:
+    """(node, betweenness) summed over all shortest paths from the pivots: path counts outwards, then dependencies back, by rounds."""
     e = materialize(undirected(edges), "undirected")
     level = materialize(pivots.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths")), "level")
     levels, seen = [level], level.select("s", "node")
-    for _ in range(most):
+    while True:
         grown = levels[-1].join(e, F.col("node") == F.col("src")).groupBy("s", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
         level = materialize(grown.join(seen, ["s", "node"], "left_anti"), "level")
         if level.isEmpty():
@@ -170,8 +177,8 @@ def resolve_references(references: DataFrame, chunks: DataFrame, top: int = 3) -
     return top_per_key(scored.select("ref_id", "chunk_id", "score"), ["ref_id"], [F.desc("score"), F.col("chunk_id")], top)
 
 
-def structural_search(edges: DataFrame, nodes: DataFrame, keywords: DataFrame, weights: tuple[float, float] = (0.6, 0.2)) -> DataFrame:
-    """(query_id, node, score): share of the query's keywords in a node's text, and its degree centrality.
+def structural_search(edges: DataFrame, nodes: DataFrame, keywords: DataFrame, weights: tuple[float, float, float] = (0.6, 0.2, 0.2), between: DataFrame | None = None) -> DataFrame:
+    """(query_id, node, score): share of the query's keywords in a node's text, its degree centrality, and its part of the largest ``between``ness where that is given.
 
     Nodes are (node, terms), keywords (query_id, keyword); only nodes that hold a keyword meet a query.
     """
@@ -180,7 +187,13 @@ def structural_search(edges: DataFrame, nodes: DataFrame, keywords: DataFrame, w
     held = nodes.select("node", F.explode(F.array_distinct("terms")).alias("keyword"))
     hits = asked.join(held, "keyword").groupBy("query_id", "node").agg(F.count("*").alias("hits"))
     scored = hits.join(sizes, "query_id").join(degrees(edges), "node", "left")
-    return scored.select("query_id", "node", (weights[0] * F.col("hits") / F.col("n_keywords") + weights[1] * F.coalesce("centrality", F.lit(0.0))).alias("score"))
+    score = weights[0] * F.col("hits") / F.col("n_keywords") + weights[1] * F.coalesce("centrality", F.lit(0.0))
+    if between is not None:
+        b = materialize(between, "between")
+        largest = b.agg(F.max("betweenness")).first()[0] or 1.0
+        scored = scored.join(b, "node", "left")
+        score = score + weights[2] * F.coalesce(F.col("betweenness") / (largest or 1.0), F.lit(0.0))
+    return scored.select("query_id", "node", score.alias("score"))
 
 
 def community_search(communities: DataFrame, nodes: DataFrame, keywords: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.operators import graph, hypergraph, plangraph
+from tessella.functions.text import terms
+from tessella.operators import graph, graphsearch, hypergraph, plangraph, retrieval
 from tessella.runtime import read_table as t
 
 
@@ -46,9 +47,9 @@ def label_propagation(spark, d):
 
 
 def shortest_path(spark, d):
-    """Steps from the first part of the whole graph along either direction."""
+    """Steps from the first part to all that it reaches, along either direction."""
     e = graph.undirected(_bought_together(spark, d))
-    return graph.distances(e, e.agg(F.min("src").alias("node")), 4)
+    return graph.distances(e, e.agg(F.min("src").alias("node")))
 
 
 def simple_paths(spark, d):
@@ -60,14 +61,12 @@ def simple_paths(spark, d):
 
 def betweenness(spark, d):
     e = _bought_together(spark, d)
-    pivots = graph.undirected(e).select(F.col("src").alias("node")).distinct().orderBy("node").limit(20)
-    return graph.betweenness(e, pivots, 6).withColumn("betweenness", F.round("betweenness", 6))
+    return graph.betweenness(e, graph.sampled_pivots(e)).withColumn("betweenness", F.round("betweenness", 6))
 
 
 def modularity(spark, d):
     e = _bought_together(spark, d)
-    c = graph.undirected(e).select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node") % 7)
-    return graph.modularity(e, c).select("community", "size", "inner", "degree", F.round("part", 8).alias("part"))
+    return graph.modularity(e, graph.label_propagation(e, 3).withColumnRenamed("label", "community")).select("community", "size", "inner", "degree", F.round("part", 8).alias("part"))
 
 
 def document_groups(spark, d):
@@ -92,7 +91,7 @@ def patterns(spark, d):
 
 def diffusion(spark, d):
     m = _members(spark, d)
-    return hypergraph.rings(m, m.select("node_id").where("node_id % 500 = 1"), 2).groupBy("distance").agg(F.count("*").alias("n"), F.min("node_id").alias("first"))
+    return hypergraph.rings(m, m.select("node_id").where("node_id % 50 = 0"), 3).groupBy("distance").agg(F.count("*").alias("n"), F.min("node_id").alias("first"))
 
 
 def layer_fusion(spark, d):
@@ -145,11 +144,23 @@ def join_prompts(spark, d):
 _E = """WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
 e AS (SELECT a.l_partkey AS src, b.l_partkey AS dst FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 HAVING count(*) >= 2),
 u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"""
+_LABELS = "l0 AS (SELECT DISTINCT src AS node, src AS label FROM u), " + ", ".join(
+    f"l{i + 1} AS MATERIALIZED (SELECT node, label FROM (SELECT u.src AS node, label, count(*) AS votes FROM u JOIN l{i} ON l{i}.node = u.dst GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY node ORDER BY votes DESC, label) = 1)"
+    for i in range(3)
+)
 _M = "WITH m AS (SELECT DISTINCT l_orderkey AS edge_id, o_orderpriority AS edge_type, l_partkey AS node_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 _RANKS = ", ".join(
     f"r{i} AS (SELECT node, 0.15 / (SELECT count(*) FROM n) + 0.85 * (coalesce((SELECT sum(r / o) FROM s{i} JOIN e ON s{i}.node = e.src WHERE e.dst = n.node), 0) + (SELECT coalesce(sum(r), 0) FROM s{i} WHERE o = 0) / (SELECT count(*) FROM n)) AS r FROM n), s{i + 1} AS MATERIALIZED (SELECT r{i}.node, r, o FROM r{i} JOIN n USING (node))"
     for i in range(5)
 )
+def _personal(rounds: int) -> str:
+    """Rounds of a personalised rank over undirected edges, restarting at ``base``."""
+    return ", ".join(
+        f"q{i} AS (SELECT u.dst AS node, sum(r / o) AS got FROM s{i} JOIN u ON u.src = s{i}.node GROUP BY 1), s{i + 1} AS MATERIALIZED (SELECT n.node, 0.15::DOUBLE * n.base + 0.85::DOUBLE * coalesce(got, 0) AS r, n.o, n.base FROM n LEFT JOIN q{i} USING (node))"
+        for i in range(rounds)
+    )
+
+
 _P = """WITH l AS (SELECT DISTINCT l_orderkey AS plan_id, l_linenumber AS node FROM lineitem), raw AS (SELECT plan_id, node - 1 AS src, node AS dst FROM l UNION ALL SELECT plan_id, node - 2, node FROM l WHERE node % 3 = 0),
 e AS (SELECT DISTINCT raw.* FROM raw JOIN l ON l.plan_id = raw.plan_id AND l.node = raw.src)"""
 
@@ -166,13 +177,14 @@ n AS (SELECT node, count(*) AS triangles FROM (SELECT unnest([x, y, z]) AS node
 SELECT node, degree, coalesce(triangles, 0) AS triangles, round(CASE WHEN degree > 1 THEN coalesce(triangles, 0) / (degree * (degree - 1) / 2.0) ELSE 0 END, 6) AS clustering FROM g LEFT JOIN n USING (node)"""),
     "graph_pagerank": (pagerank, f"""{_E}, n AS (SELECT node, (SELECT count(*) FROM e WHERE e.src = x.node) AS o FROM (SELECT DISTINCT src AS node FROM u) x),
 s0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM n) AS r, o FROM n), {_RANKS} SELECT node, round(r, 10) AS rank FROM s5"""),
-    "graph_label_propagation": (label_propagation, None),
-    "graph_shortest_path": (shortest_path, f"""{_E}, p AS (SELECT min(src) AS source, min(src) AS node, 0 AS distance FROM u UNION SELECT source, u.dst, distance + 1 FROM p JOIN u ON p.node = u.src WHERE distance < 4)
+    "graph_label_propagation": (label_propagation, f"{_E}, {_LABELS} SELECT node, label FROM l3"),
+    "graph_shortest_path": (shortest_path, f"""{_E}, p AS (SELECT min(src) AS source, min(src) AS node, 0 AS distance FROM u UNION SELECT source, u.dst, distance + 1 FROM p JOIN u ON p.node = u.src WHERE distance < 40)
 SELECT source, node, min(distance)::INT AS distance FROM p GROUP BY 1, 2"""),
     "graph_simple_paths3": (simple_paths, f"""{_E}, p AS (SELECT [src, dst] AS path FROM e WHERE src % 50 = 0 UNION ALL SELECT list_append(path, e.dst) FROM p JOIN e ON e.src = path[-1] WHERE len(path) < 4)
 SELECT array_to_string(path, ',') AS path FROM p"""),
     "graph_betweenness": (betweenness, None),
-    "graph_modularity": (modularity, f"""{_E}, s AS (SELECT src % 7 AS community, count(*) AS degree, sum(CASE WHEN src % 7 = dst % 7 THEN 0.5 ELSE 0 END)::DOUBLE AS "inner", count(DISTINCT src) AS size FROM u GROUP BY 1)
+    "graph_modularity": (modularity, f"""{_E}, {_LABELS}, s AS (SELECT a.label AS community, count(*) AS degree, sum(CASE WHEN a.label = b.label THEN 0.5 ELSE 0 END)::DOUBLE AS "inner", count(DISTINCT src) AS size
+  FROM u JOIN l3 a ON a.node = u.src JOIN l3 b ON b.node = u.dst GROUP BY 1)
 SELECT community, size, "inner", degree, round("inner" / ((SELECT count(*) FROM u) / 2.0) - pow(degree / (SELECT count(*) FROM u)::DOUBLE, 2), 8) AS part FROM s"""),
     "hyper_document_groups": (document_groups, f"{_M} SELECT edge_id, edge_type, count(*) AS size, array_to_string(list_sort(list(node_id)), ',') AS members FROM m GROUP BY 1, 2"),
     "hyper_influence": (influence, f"{_M} SELECT node_id, count(DISTINCT edge_id) AS n_edges, count(DISTINCT edge_type) AS n_types, n_edges * n_types AS influence FROM m GROUP BY 1 HAVING n_edges >= 3"),
@@ -183,9 +195,10 @@ WITH m AS (SELECT DISTINCT o_orderpriority AS ty, l_orderkey AS id, l_suppkey AS
 p AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM m a JOIN m b ON a.ty = b.ty AND a.node = b.node AND a.id < b.id GROUP BY 1, 2 HAVING c >= 3),
 f AS (SELECT x, y FROM p JOIN z zx ON zx.id = x JOIN z zy ON zy.id = y WHERE c / (zx.n + zy.n - c)::DOUBLE > 0.5)
 SELECT edge_id, count(*) AS n_links FROM (SELECT x AS edge_id FROM f UNION ALL SELECT y FROM f) GROUP BY 1"""),
-    "hyper_diffusion": (diffusion, f"""{_M}, r0 AS (SELECT DISTINCT node_id FROM m WHERE node_id % 500 = 1), r1 AS (SELECT DISTINCT node_id FROM m WHERE edge_id IN (SELECT edge_id FROM m SEMI JOIN r0 USING (node_id))),
+    "hyper_diffusion": (diffusion, f"""{_M}, r0 AS (SELECT DISTINCT node_id FROM m WHERE node_id % 50 = 0), r1 AS (SELECT DISTINCT node_id FROM m WHERE edge_id IN (SELECT edge_id FROM m SEMI JOIN r0 USING (node_id))),
 r2 AS (SELECT DISTINCT node_id FROM m WHERE edge_id IN (SELECT edge_id FROM m SEMI JOIN r1 USING (node_id))),
-a AS (SELECT node_id, 0 AS distance FROM r0 UNION ALL SELECT node_id, 1 FROM r1 UNION ALL SELECT node_id, 2 FROM r2), b AS (SELECT node_id, min(distance)::INT AS distance FROM a GROUP BY 1)
+r3 AS (SELECT DISTINCT node_id FROM m WHERE edge_id IN (SELECT edge_id FROM m SEMI JOIN r2 USING (node_id))),
+a AS (SELECT node_id, 0 AS distance FROM r0 UNION ALL SELECT node_id, 1 FROM r1 UNION ALL SELECT node_id, 2 FROM r2 UNION ALL SELECT node_id, 3 FROM r3), b AS (SELECT node_id, min(distance)::INT AS distance FROM a GROUP BY 1)
 SELECT distance, count(*) AS n, min(node_id) AS first FROM b GROUP BY 1"""),
     "layer_fusion": (layer_fusion, """
 WITH x AS (SELECT doc_id AS node, least(n_chars, 5000) / 5000.0::DOUBLE AS s FROM documents UNION ALL SELECT page_id, 0.7::DOUBLE / len(string_split(url, '/')) FROM pages UNION ALL SELECT doc_id, 0.4::DOUBLE * quality FROM labels),
@@ -239,7 +252,7 @@ def induced_edges(spark, d):
 
 
 def personal_pagerank(spark, d):
-    """Rank from the smallest parts on; sums of doubles, so only its rows are compared."""
+    """Rank from the smallest parts on."""
     restart = t(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("node"), F.lit(1.0).alias("weight"))
     e = graph.undirected(_bought_together(spark, d))
     return graph.pagerank(e, restart, rounds=5).withColumn("rank", F.round("rank", 9))
@@ -287,8 +300,13 @@ WITH s AS (SELECT DISTINCT r_name, n_name, n_name || '/' || c_mktsegment AS seg
 SELECT r_name AS root, r_name AS node, 0 AS depth, r_name AS path FROM region UNION ALL SELECT r_name, n_name, 1, r_name || ' > ' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey
 UNION ALL SELECT r_name, seg, 2, r_name || ' > ' || n_name || ' > ' || seg FROM s"""),
     "graph_induced": (induced_edges, f"{_E} SELECT src, dst FROM e WHERE src IN (SELECT p_partkey FROM part WHERE p_size <= 25) AND dst IN (SELECT p_partkey FROM part WHERE p_size <= 25)"),
-    "graph_personal_pagerank": (personal_pagerank, None),
-    "plan_acyclic_check": (acyclic_check, None),
+    "graph_personal_pagerank": (personal_pagerank, f"""{_E}, x AS (SELECT DISTINCT src AS node FROM u), b AS (SELECT sum(1) AS total FROM part WHERE p_size = 1),
+n AS (SELECT node, (SELECT count(*) FROM u WHERE u.src = x.node) AS o, (CASE WHEN EXISTS (SELECT 1 FROM part WHERE p_size = 1 AND p_partkey = node) THEN 1.0 ELSE 0 END) / (SELECT total FROM b)::DOUBLE AS base FROM x),
+s0 AS MATERIALIZED (SELECT node, base AS r, o, base FROM n), {_personal(5)} SELECT node, round(r, 9) AS rank FROM s5"""),
+    "plan_acyclic_check": (acyclic_check, f"""{_P.replace('WITH l', 'WITH RECURSIVE l')}, y AS (SELECT l_orderkey AS plan_id, l_linenumber AS node, min(l_returnflag) AS f FROM lineitem GROUP BY 1, 2),
+k AS (SELECT plan_id, max(node) FILTER (f = 'R') AS src, min(node) AS dst FROM y GROUP BY 1), g AS (SELECT * FROM e UNION SELECT plan_id, src, dst FROM k WHERE src > dst),
+w AS (SELECT plan_id, node, 0 AS steps FROM l UNION SELECT g.plan_id, g.dst, steps + 1 FROM w JOIN g ON g.plan_id = w.plan_id AND g.src = w.node WHERE steps < 12)
+SELECT plan_id, count(DISTINCT node) AS n_stuck FROM w WHERE steps = 12 GROUP BY 1"""),
     "plan_execute": (execute, f"""{_P.replace('WITH l', 'WITH RECURSIVE l')}, d AS (SELECT plan_id, node, 1 AS level FROM l WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.plan_id = l.plan_id AND e.dst = l.node)
   UNION SELECT e.plan_id, e.dst, level + 1 FROM d JOIN e ON e.plan_id = d.plan_id AND e.src = d.node), v AS (SELECT plan_id, node, max(level) AS level FROM d GROUP BY 1, 2),
 s AS (SELECT l_orderkey AS plan_id, l_linenumber AS node, min(l_returnflag) <> 'R' AS ok FROM lineitem GROUP BY 1, 2), j AS (SELECT * FROM v JOIN s USING (plan_id, node)),
@@ -302,3 +320,108 @@ WITH e AS (SELECT user_id, event_type, count(*) AS w, avg(CASE WHEN value > 5 TH
 f AS (SELECT *, sum(w * c * c) OVER (PARTITION BY user_id) AS total, avg(c) OVER (PARTITION BY user_id) AS mean FROM e)
 SELECT user_id, event_type, round(CASE WHEN total > 0 THEN w * c * c / total ELSE w END, 6) AS final_weight, CASE WHEN mean >= 0.7 THEN 'selection' ELSE 'synthesis' END AS mode FROM f"""),
 }
+
+
+def _typed_edges(spark, d):
+    kind = F.when((F.col("src") + F.col("dst")) % 3 == 0, "REFERENCES").otherwise("SIMILAR")
+    return _bought_together(spark, d).select("src", "dst", ((F.col("dst") % 5 + 1) / 5).alias("weight"), kind.alias("edge_type"))
+
+
+def simple_path_scores(spark, d):
+    """Paths of up to four steps from parts divisible by 50 to the parts of their brand."""
+    p = t(spark, d, "part").select("p_partkey", "p_brand")
+    pairs = p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("start"), "p_brand").join(p.select(F.col("p_partkey").alias("end"), "p_brand"), "p_brand")
+    found = graphsearch.scored_paths(_typed_edges(spark, d), pairs)
+    return found.select(F.array_join("path", ",").alias("path"), F.round("score", 6).alias("score"))
+
+
+def path_search(spark, d):
+    found = graphsearch.path_search(_typed_edges(spark, d), _part_nodes(spark, d), _keywords(spark, d))
+    return found.select("query_id", F.array_join("path", ",").alias("path"), "references", F.round("score", 6).alias("score"))
+
+
+def _text_nodes(spark, d):
+    """Documents with a vector of their number, and their distinct terms."""
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(terms("text")).alias("terms"))
+    return docs.join(t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label"), "id").select("id", "embedding", "terms", "label")
+
+
+def hypergraph_search(spark, d):
+    """Documents divisible by 50, with their vector and first three terms, over documents in clusters and sources."""
+    n = _text_nodes(spark, d)
+    clusters = n.select(F.concat(F.lit("c"), F.col("label").cast("string")).alias("edge_id"), F.lit("semantic_cluster").alias("edge_type"), F.col("id").alias("node_id")).where("node_id % 3 > 0")
+    sources = t(spark, d, "documents").select(F.concat(F.lit("s"), "source"), F.lit("reference"), "doc_id")
+    asked = n.where("id % 50 = 0").select("id", "embedding", F.slice("terms", 1, 3).alias("terms"))
+    return graphsearch.hypergraph_search(asked, n.select("id", "embedding", "terms"), clusters.unionAll(sources))
+
+
+def semantic_nodes(spark, d):
+    """Vectors of graph nodes alone: documents in the graph, searched by those divisible by 50."""
+    n = _text_nodes(spark, d).select("id", "embedding")
+    return retrieval.vector_search(n.where("id % 50 = 0"), n, 5, least=0.0)
+
+
+LAYER_WORDS = ["steel", "promo", "brand"]
+
+
+def cross_layers(spark, d):
+    """Parts by content, structure, attributes and references for one list of keywords, fused and divided by the best."""
+    path = F.concat_ws(" > ", "p_brand", "p_type")
+    parts = t(spark, d, "part").withColumn("path", path).select(F.col("p_partkey").alias("node_id"), F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), r"\s+").alias("terms"), "path", "p_name", "p_type", "p_brand")
+    e = graph.undirected(_bought_together(spark, d))
+    restart = parts.where("exists(terms, x -> x IN ('steel', 'promo'))").select(F.col("node_id").alias("node"), F.lit(1.0).alias("weight"))
+    ranks = graph.pagerank(e, restart, rounds=3)
+    layers = graphsearch.layer_scores(parts, LAYER_WORDS, "path", ["p_name", "p_type", "p_brand"], ranks)
+    return hypergraph.fuse_layers(layers, {"content": 1.0, "structure": 0.7, "reference": 0.6, "metadata": 0.4}).withColumn("score", F.round("score", 6))
+
+
+def structural_between(spark, d):
+    """Keyword share, degree and sampled betweenness of nodes."""
+    from tessella.operators.relational import top_per_key
+
+    e = _bought_together(spark, d)
+    between = graph.betweenness(e, graph.sampled_pivots(e))
+    s = graph.structural_search(e, _part_nodes(spark, d), _keywords(spark, d), between=between).withColumn("score", F.round("score", 6))
+    return top_per_key(s, ["query_id"], [F.desc("score"), F.col("node")], 5)
+
+
+def schema_check(spark, d):
+    """Customers, orders and suppliers as a graph whose edges are held against a schema."""
+    nodes = t(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"), F.lit("customer").alias("node_type"))
+    nodes = nodes.unionAll(t(spark, d, "orders").where("o_orderkey % 7 > 0").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")), F.when(F.col("o_orderstatus") == "P", "open").otherwise("order")))
+    edges = t(spark, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("dst"), F.when(F.col("o_orderpriority").startswith("1"), "URGENT").otherwise("PLACED").alias("edge_type"))
+    return graphsearch.schema_violations(nodes, edges, ["customer", "order"], {"PLACED": ("customer", "order")})
+
+
+_TYPED = f"{_E}, te AS (SELECT src, dst, (dst % 5 + 1) / 5.0::DOUBLE AS weight, ((src + dst) % 3 = 0)::INT AS ref FROM e)"
+_NODES = "n AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS terms, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS raw, embedding::DOUBLE[] AS v, label, source FROM documents JOIN embeddings ON doc_id = vec_id)"
+
+QUERIES |= {
+    "graph_path_scores": (simple_path_scores, f"""{_TYPED}, p AS (SELECT [src, dst] AS path, weight AS w FROM te WHERE src % 50 = 0 UNION ALL SELECT list_append(path, te.dst), w + weight FROM p JOIN te ON te.src = path[-1] WHERE len(path) < 5)
+SELECT array_to_string(path, ',') AS path, round(w / len(path), 6) AS score FROM p JOIN part a ON a.p_partkey = path[1] JOIN part b ON b.p_partkey = path[-1] AND a.p_brand = b.p_brand"""),
+    "graph_path_search": (path_search, f"""{_TYPED}, {_KW}, hit AS (SELECT DISTINCT query_id, node FROM k JOIN t USING (keyword)), st AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY node) <= 10),
+p AS (SELECT [src, dst] AS path, ref AS r FROM te WHERE src IN (SELECT node FROM st) UNION ALL SELECT list_append(path, te.dst), r + ref FROM p JOIN te ON te.src = path[-1] WHERE len(path) < 4),
+f AS (SELECT a.query_id, path, r FROM p JOIN st a ON a.node = path[1] JOIN st b ON b.query_id = a.query_id AND b.node = path[-1] AND b.node > a.node),
+m AS (SELECT f.query_id, path, r, count(DISTINCT t.keyword) AS matches FROM (SELECT *, unnest(path) AS node FROM f) f JOIN t USING (node) JOIN k ON k.query_id = f.query_id AND k.keyword = t.keyword GROUP BY 1, 2, 3)
+SELECT query_id, array_to_string(path, ',') AS path, r AS "references", round(matches / (0.5::DOUBLE * len(path)) * (1 + 0.2::DOUBLE * r), 6) AS score FROM m"""),
+    "hypergraph_search": (hypergraph_search, f"""
+WITH {_NODES}, c AS (SELECT id, CASE WHEN id % 3 > 0 THEN 1.2 ELSE 1.1 END::DOUBLE AS w FROM n),
+s AS (SELECT a.id AS query_id, b.id, round((0.7::DOUBLE * coalesce(list_cosine_similarity(a.v, b.v), 0) + 0.3::DOUBLE * len(list_intersect(q.q, b.terms)) / greatest(1, len(q.q))) * w, 6) AS score
+  FROM n a JOIN (SELECT doc_id AS id, list_transform(range(1, least(len(x), 3) + 1), lambda i: x[i]) AS q FROM (SELECT id AS doc_id, list_filter(raw, lambda y, i: list_position(raw, y) = i) AS x FROM n)) q ON q.id = a.id JOIN n b ON a.id % 50 = 0 AND a.id <> b.id JOIN c ON c.id = b.id)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 5"""),
+    "graph_semantic_search": (semantic_nodes, f"""
+WITH {_NODES}, s AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM n a JOIN n b ON a.id % 50 = 0 AND a.id <> b.id)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0 QUALIFY rank <= 5"""),
+    "cross_layer_fusion": (cross_layers, f"""{_E}, pt AS (SELECT p_partkey AS node, list_distinct(string_split_regex(lower(p_name || ' ' || p_type), '\\s+')) AS terms, p_brand || ' > ' || p_type AS path, p_name, p_type, p_brand FROM part),
+x AS (SELECT DISTINCT src AS node FROM u), rs AS (SELECT node FROM pt WHERE list_has_any(terms, ['steel', 'promo'])), tot AS (SELECT count(*) AS total FROM rs),
+n AS (SELECT node, (SELECT count(*) FROM u WHERE u.src = x.node) AS o, (CASE WHEN node IN (SELECT node FROM rs) THEN 1.0 ELSE 0 END) / (SELECT total FROM tot)::DOUBLE AS base FROM x), s0 AS MATERIALIZED (SELECT node, base AS r, o, base FROM n), {_personal(3)},
+hits AS (SELECT node, len(list_intersect(terms, ['steel', 'promo', 'brand'])) / 3.0::DOUBLE AS content, CASE WHEN contains(lower(path), 'steel') OR contains(lower(path), 'promo') OR contains(lower(path), 'brand') THEN 1 / 3.0::DOUBLE ELSE 0 END AS structure,
+  list_sum(list_transform([p_name, p_type, p_brand], lambda a: (contains(lower(a), 'steel') OR contains(lower(a), 'promo') OR contains(lower(a), 'brand'))::INT)) AS metadata FROM pt),
+al AS (SELECT node, content AS s FROM hits WHERE content > 0 UNION ALL SELECT node, 0.7::DOUBLE * structure FROM hits WHERE structure > 0 UNION ALL SELECT node, 0.4::DOUBLE * metadata FROM hits WHERE metadata > 0 UNION ALL SELECT node, 0.6::DOUBLE * r FROM s3),
+y AS (SELECT node AS node_id, sum(s) AS total FROM al GROUP BY 1) SELECT node_id, round(total / (SELECT max(total) FROM y), 6) AS score FROM y"""),
+    "graph_structural_between": (structural_between, None),
+    "graph_schema_check": (schema_check, """
+WITH n AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'P' THEN 'open' ELSE 'order' END AS ty FROM orders WHERE o_orderkey % 7 > 0),
+e AS (SELECT CASE WHEN o_orderpriority LIKE '1%' THEN 'unknown edge type' WHEN ty IS NULL OR c_custkey IS NULL THEN 'missing end' WHEN ty <> 'order' THEN 'wrong ends' END AS problem FROM orders LEFT JOIN n ON k = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey
+  UNION ALL SELECT 'unknown node type' FROM n WHERE ty = 'open') SELECT problem, count(*) AS n FROM e WHERE problem IS NOT NULL GROUP BY 1"""),
+}
