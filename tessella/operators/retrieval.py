@@ -36,6 +36,8 @@ def cosines(least: float | None = None):
 
     def score(queries: pa.Table, rows: pa.Table) -> np.ndarray:
         width = max(queries.column(1).combine_chunks().value_lengths().fill_null(0).to_pylist(), default=0)
+        if not width:  # no query has a vector
+            return np.full((queries.num_rows, rows.num_rows), -np.inf)
         s = unit_rows(queries.column(1), width) @ unit_rows(rows.column(1), width).T
         s[queries.column(0).to_numpy()[:, None] == rows.column(0).to_numpy()[None, :]] = np.nan
         s[np.isnan(s) | (np.round(s, 6) < (least if least is not None else -np.inf))] = -np.inf

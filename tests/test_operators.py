@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as fx
 from tessella.functions import vectors
-from tessella.operators import chunking, evaluation, graph, hypergraph, memory, plangraph, relational, retrieval
+from tessella.operators import blocks, chunking, evaluation, graph, hypergraph, memory, plangraph, relational, retrieval, sections
 from tessella.operators.components import connected_components
 from tessella.sources import files
 
@@ -70,7 +70,8 @@ def test_vector_search_in_blocks(spark, monkeypatch):
     r = random.Random(1)
     rows = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(120)] + [(200, None), (201, [0.0] * 8), (202, [])]
     e = spark.createDataFrame(rows, "id long, v array<float>")
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(blocks, "QUERIES", 3)
+    monkeypatch.setattr(blocks, "ROWS", 11)
     got = defaultdict(list)
     for x in retrieval.vector_search(e.where("id < 8"), e, 5).orderBy("query_id", "rank").collect():
         got[x.query_id].append(x.id)
@@ -97,8 +98,8 @@ def test_limits_tell_zero_from_none(spark):
 
 
 def test_lcs_and_bleu(spark):
-    df = spark.createDataFrame([(list("abcbdab"), list("bdcaba")), (["x"], [])], "g array<string>, r array<string>")
-    assert [r[0] for r in df.select(evaluation.lcs_length(F.col("g"), F.col("r"))).collect()] == [4, 0]
+    df = spark.createDataFrame([(list("abcbdab"), list("bdcaba")), (["x"], []), (None, ["y"])], "g array<string>, r array<string>")
+    assert [(r[0].lcs, round(r[0].p, 6), round(r[0].r, 6)) for r in df.select(evaluation.rouge_l(F.col("g"), F.col("r"))).collect()] == [(4, round(4 / 7, 6), round(4 / 6, 6)), (0, 0.0, 0.0), (0, 0.0, 0.0)]
     same = spark.createDataFrame([(["a", "b", "c", "d"], ["a", "b", "c", "d"]), (["a", "b"], ["c", "d"])], "g array<string>, r array<string>")
     assert [r[0] for r in same.select(evaluation.bleu_unclipped(F.col("g"), F.col("r"))).collect()] == [1.0, 0.0]
 
@@ -110,6 +111,92 @@ def test_betweenness_of_a_path(spark):
     assert got == {1: 0.0, 2: 4.0, 3: 4.0, 4: 0.0}  # each pair counted from both ends
 
 
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = last[j] + 1 if x == y else max(row[j], last[j + 1])
+    return row[-1]
+
+
+def test_lcs_matches_the_table():
+    r = random.Random(2)
+    for _ in range(300):
+        a, b = ([r.choice("abcd") for _ in range(r.randrange(0, 30))] for _ in range(2))
+        assert evaluation.lcs(a, b) == plain_lcs(a, b)
+
+
+def plain_betweenness(nodes, near):
+    """Over all ordered pairs of ends, the share of shortest paths through a node."""
+    total = dict.fromkeys(nodes, 0.0)
+    for s in nodes:
+        order, distance, paths, before = [s], {s: 0}, {s: 1}, defaultdict(list)
+        for v in order:
+            for w in near[v]:
+                if w not in distance:
+                    distance[w] = distance[v] + 1
+                    paths[w] = 0
+                    order.append(w)
+                if distance[w] == distance[v] + 1:
+                    paths[w] += paths[v]
+                    before[w].append(v)
+        share = dict.fromkeys(order, 0.0)
+        for w in reversed(order):
+            for v in before[w]:
+                share[v] += paths[v] / paths[w] * (1 + share[w])
+            if w != s:
+                total[w] += share[w]
+    return total
+
+
+def test_betweenness_matches_a_plain_version(spark):
+    r = random.Random(8)
+    edges = {tuple(sorted(r.sample(range(25), 2))) for _ in range(34)} | {(i, i + 1) for i in range(30, 42)}
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    e = spark.createDataFrame(sorted(edges), "src long, dst long")
+    got = {x.node: x.betweenness for x in graph.betweenness(e, graph.sampled_pivots(e)).collect()}
+    want = plain_betweenness(sorted(near), near)
+    assert got == pytest.approx({n: want[n] for n in got}) and {n for n, v in want.items() if v} <= set(got)
+    assert max(x.distance for x in graph.distances(graph.undirected(e), spark.createDataFrame([(30,)], "node long")).collect()) == 12
+
+
+def test_streams_over_folders_and_nothing(spark, tmp_path, data):
+    """A table of three files, one of a single file, and an empty one."""
+    from tessella.streaming import events
+
+    whole = spark.read.parquet(f"{data}/events.parquet")
+    whole.repartition(3).write.parquet(str(tmp_path / "a" / "events.parquet"))
+    whole.where("false").write.parquet(str(tmp_path / "none" / "events.parquet"))
+    n = {}
+    for folder in (str(tmp_path / "a"), data, str(tmp_path / "none")):
+        s = events.first_of(events.read_events(spark, folder, "events.parquet"), ["event_id"])
+        counts = events.windowed_counts(events.read_events(spark, folder, "events.parquet"), ["event_type"], "1 day")
+        n[folder] = events.run_available(s).count(), sum(r.n for r in events.run_available(counts, "complete").collect())
+    assert list(n.values()) == [(whole.count(), whole.count())] * 2 + [(0, 0)]
+
+
+def test_merge_keeps_rows_of_either_side(spark):
+    a = spark.createDataFrame([(1, "x"), (2, None)], "id long, t string")
+    assert memory.merge_scores(a.selectExpr("id", "1.0D AS score"), a.selectExpr("id + 1 AS id", "0.5D AS score"), ["id"]).count() == 3
+
+
+def test_sections_follow_the_list(spark):
+    """A repeated heading takes the level of its next entry, a skipped level is added, a table stays whole, numbers are labels."""
+    text = ["front", "## Scope", "1. one", "2. two", "## Rules", "Table 3 x", "1. y", "## Deep", "plain", "## Rules", "9. last", "## Attachment B", "z"]
+    listed = [(1, "1", " Scope "), (2, "2", "Rules"), (3, "3", "Deep"), (4, "1", "Rules"), (5, "1", "Attachment B"), (6, "x", "Bad"), (7, "1", None)]
+    lines = spark.createDataFrame([("doc", i, x) for i, x in enumerate(text)], "doc string, pos int, line string")
+    headings = spark.createDataFrame([("the DOC list", i, level, h) for i, level, h in listed] + [("other", 1, "1", "Scope")], "file string, idx int, level string, heading string")
+    got = [(r.hierarchy, r.reference, r.corpus) for r in sections.hierarchy_chunks(lines, headings).orderBy("section", "part").collect()]
+    assert got == [
+        ("doc > doc - Scope", "doc Para 1.", "1. one"), ("doc > doc - Scope", "doc Para 2.", "2. two"), ("doc > doc - Scope > Rules", "doc Table 3", "Table 3 x\n1. y"),
+        ("doc > doc - Scope > Rules > Deep", "doc Orphan 1", "plain"), ("doc > doc - Rules", "doc Para 9.", "9. last"), ("doc > Attachment B", "doc, Attachment B Orphan 1", "z"),
+    ]
+
+
 def test_plan_levels_with_a_cycle(spark):
     nodes = spark.createDataFrame([("p", i) for i in range(1, 7)] + [("q", 1), ("q", 2)], "plan_id string, node int")
     edges = spark.createDataFrame([("p", a, b) for a, b in ((1, 2), (1, 3), (2, 4), (3, 5), (4, 5), (5, 6))] + [("q", 1, 2), ("q", 2, 1)], "plan_id string, src int, dst int")
