@@ -69,3 +69,10 @@ def merge_scores(semantic: DataFrame, symbolic: DataFrame, keys: list[str], weig
         return symbolic.select(*keys, "score")
     a, b = semantic.select(*keys, F.col("score").alias("sem")), symbolic.select(*keys, F.col("score").alias("sym"))
     return a.join(b, keys, "full_outer").select(*keys, (F.coalesce("sem", F.lit(0.0)) * weight + F.coalesce("sym", F.lit(0.0)) * (1 - weight)).alias("score"))
+
+
+def context_rows(tasks: DataFrame, contexts: Column) -> DataFrame:
+    """(query, entity, context, task_id): a memory for each retrieved context of a task, numbered from 0."""
+    rows = tasks.select("task_id", F.posexplode(contexts).alias("item", "context"))
+    name = F.concat(F.lit("context_for_task_"), F.col("task_id").cast("string"), F.lit("_item_"), F.col("item").cast("string"))
+    return rows.select(F.concat(F.lit("task "), F.col("task_id").cast("string")).alias("query"), name.alias("entity"), "context", "task_id")

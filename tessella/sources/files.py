@@ -75,3 +75,68 @@ def export_json(df: DataFrame, path: str) -> None:
     """JSON lines, arrays as strings."""
     text = [F.to_json(f.name).alias(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name) for f in df.schema]
     df.select(*text).write.mode("overwrite").json(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """CSV with values coerced to the schema; what does not fit becomes null."""
+    return spark.read.csv(path, header=True, schema=schema, escape='"', multiLine=True)
+
+
+def delete_table(spark: SparkSession, path: str) -> bool:
+    """Delete a table's folder or file; whether there was one."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+def routed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files by extension: (accepted with a route, rejected with a reason). Markdown and text pass, PDF is to be converted."""
+    route = F.when(F.lower("extension").isin("md", "txt"), "read").when(F.lower("extension") == "pdf", "convert")
+    marked = files.withColumn("route", route)
+    return marked.where("route IS NOT NULL"), marked.where("route IS NULL").drop("route").withColumn("reason", F.concat(F.lit("unsupported: "), F.coalesce(F.nullif("extension", F.lit("")), F.lit("no extension"))))
+
+
+def resolve_graph(spark: SparkSession, graph: str | tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Node and edge tables from a path or as they are."""
+    return read_graph(spark, graph) if isinstance(graph, str) else graph
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table, or an empty one of the schema where there is none."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+PLAN = "struct<nodes: map<string, struct<prompt_id: string, task_summary: string>>, edges: array<struct<source: string, target: string>>>"
+
+
+def plan_tables(plans: DataFrame, key: str = "plan_id", text: str = "json") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, rejects) of plans given as JSON; a plan without nodes or edges, or that is no JSON, is a reject with its reason."""
+    read = plans.select(key, F.from_json(text, PLAN).alias("p"))
+    reason = F.when(F.col("p.nodes").isNull() & F.col("p.edges").isNull(), "not a plan").when(F.col("p.nodes").isNull(), "no nodes").when(F.col("p.edges").isNull(), "no edges")
+    good = read.where(reason.isNull())
+    nodes = good.select(key, F.explode("p.nodes").alias("node", "n")).select(key, "node", "n.prompt_id", "n.task_summary")
+    edges = good.select(key, F.explode("p.edges").alias("e")).select(key, F.col("e.source").alias("src"), F.col("e.target").alias("dst"))
+    return nodes, edges, read.select(key, reason.alias("reason")).where("reason IS NOT NULL")
+
+
+LIBRARY = "map<string, map<string, map<string, struct<description: string, template: string>>>>"
+
+
+def library_rows(libraries: DataFrame, text: str = "json") -> DataFrame:
+    """(application, category, action, description, template) of a prompt library given as nested JSON."""
+    a = libraries.select(F.explode(F.from_json(text, LIBRARY)).alias("application", "c"))
+    b = a.select("application", F.explode("c").alias("category", "x"))
+    return b.select("application", "category", F.explode("x").alias("action", "t")).select("application", "category", "action", "t.description", "t.template")
