@@ -336,7 +336,9 @@ def simple_path_scores(spark, d):
 
 
 def path_search(spark, d):
-    found = graphsearch.path_search(_typed_edges(spark, d), _part_nodes(spark, d), _keywords(spark, d))
+    e = _typed_edges(spark, d)
+    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", "edge_type"))
+    found = graphsearch.path_search(both, _part_nodes(spark, d), _keywords(spark, d))
     return found.select("query_id", F.array_join("path", ",").alias("path"), "references", F.round("score", 6).alias("score"))
 
 
@@ -399,9 +401,11 @@ _NODES = "n AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(text
 QUERIES |= {
     "graph_path_scores": (simple_path_scores, f"""{_TYPED}, p AS (SELECT [src, dst] AS path, weight AS w FROM te WHERE src % 50 = 0 UNION ALL SELECT list_append(path, te.dst), w + weight FROM p JOIN te ON te.src = path[-1] WHERE len(path) < 5)
 SELECT array_to_string(path, ',') AS path, round(w / len(path), 6) AS score FROM p JOIN part a ON a.p_partkey = path[1] JOIN part b ON b.p_partkey = path[-1] AND a.p_brand = b.p_brand"""),
-    "graph_path_search": (path_search, f"""{_TYPED}, {_KW}, hit AS (SELECT DISTINCT query_id, node FROM k JOIN t USING (keyword)), st AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY node) <= 10),
-p AS (SELECT [src, dst] AS path, ref AS r FROM te WHERE src IN (SELECT node FROM st) UNION ALL SELECT list_append(path, te.dst), r + ref FROM p JOIN te ON te.src = path[-1] WHERE len(path) < 4),
-f AS (SELECT a.query_id, path, r FROM p JOIN st a ON a.node = path[1] JOIN st b ON b.query_id = a.query_id AND b.node = path[-1] AND b.node > a.node),
+    "graph_path_search": (path_search, f"""{_E}, te AS (SELECT src, dst, ((src + dst) % 3 = 0)::INT AS ref FROM u), {_KW}, hit AS (SELECT DISTINCT query_id, node FROM k JOIN t USING (keyword)),
+st AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY node) <= 10),
+p AS (SELECT [src, dst] AS path, ref AS r FROM te WHERE src IN (SELECT node FROM st) UNION ALL SELECT list_append(path, te.dst), r + ref FROM p JOIN te ON te.src = path[-1] AND NOT list_contains(path, te.dst) WHERE len(path) < 4),
+f AS (SELECT a.query_id, path, r FROM p JOIN st a ON a.node = path[1] JOIN st b ON b.query_id = a.query_id AND b.node = path[-1] AND b.node > a.node
+  QUALIFY row_number() OVER (PARTITION BY a.query_id, list_sort(path) ORDER BY r DESC, path) = 1),
 m AS (SELECT f.query_id, path, r, count(DISTINCT t.keyword) AS matches FROM (SELECT *, unnest(path) AS node FROM f) f JOIN t USING (node) JOIN k ON k.query_id = f.query_id AND k.keyword = t.keyword GROUP BY 1, 2, 3)
 SELECT query_id, array_to_string(path, ',') AS path, r AS "references", round(matches / (0.5::DOUBLE * len(path)) * (1 + 0.2::DOUBLE * r), 6) AS score FROM m"""),
     "hypergraph_search": (hypergraph_search, f"""
