@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import graphs, knowledge, memory, prompts, relational, search, selection, storage, streams
+from tessella.plans import graphs, groups, knowledge, memory, prompts, relational, search, selection, storage, streams
 
-MODULES = (relational, search, knowledge, prompts, selection, memory, graphs, storage, streams)
+MODULES = (relational, search, knowledge, prompts, selection, memory, graphs, groups, storage, streams)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
