@@ -140,6 +140,10 @@ SELECT q.doc, q.k::BIGINT AS section, w.level::INT AS level, q.part::INT AS part
   sha256(concat_ws('|', q.doc || ' > ' || array_to_string(path, ' > '), w.heading, corpus)) AS digest, CASE WHEN NOT cre AND is_table THEN 'table' ELSE 'paragraph' END AS content_type
 FROM q JOIN w ON w.doc = q.doc AND w.k = q.k JOIN paths p ON p.doc = q.doc AND p.k = q.k"""
 
+#: For each depth, the last heading of that depth or above; it is in a path if it is of that depth itself.
+_LAST_HEADS = ", ".join(f"last_value(CASE WHEN level <= {i} THEN {{'level': level, 'title': title}} END IGNORE NULLS) OVER w AS h{i}" for i in range(1, 7))
+_OWN_HEADS = ", ".join(f"CASE WHEN level >= {i} AND h{i}.level = {i} THEN h{i}.title END" for i in range(1, 7))
+
 QUERIES = {
     "hierarchy_chunks": (hierarchy_chunks, _HIERARCHY),
     "chunk_length": (chunk_length, f"SELECT *, doc_id || ' Para ' || (chunk_no + 1) || '.' AS reference FROM ({_CHUNKS})"),
@@ -147,7 +151,14 @@ QUERIES = {
     "chunk_level_groups": (chunk_level_groups, """
 WITH h AS (SELECT concat_ws(' > ', lang, CASE WHEN n_chars > 1000 THEN source END, CASE WHEN n_chars > 5000 THEN 'long' END) AS hierarchy, n_chars FROM documents)
 SELECT len(string_split(hierarchy, ' > '))::INT AS level, count(*) AS n, count(DISTINCT hierarchy) AS paths, sum(n_chars)::BIGINT AS chars FROM h GROUP BY 1"""),
-    "heading_sections": (heading_sections, None),
+    "heading_sections": (heading_sections, f"""
+WITH l AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+m AS (SELECT doc, pos, CASE WHEN pos % 5 = 0 THEN repeat('#', (pos // 5 % 3 + 1)::INT) || ' ' || substr(regexp_replace(line, '[^A-Za-z ]', '', 'g'), 1, 20) || pos ELSE line END AS line FROM l),
+x AS (SELECT doc, pos, line, length(regexp_extract(line, '^(#{{1,6}}) +(.*)$', 1))::INT AS level, trim(regexp_extract(line, '^(#{{1,6}}) +(.*)$', 2)) AS title FROM m),
+n AS (SELECT *, sum((level > 0)::INT) OVER (PARTITION BY doc ORDER BY pos)::BIGINT AS section FROM x),
+h AS (SELECT doc, section, level, {_LAST_HEADS} FROM n WHERE level > 0 WINDOW w AS (PARTITION BY doc ORDER BY section)),
+b AS (SELECT doc, section, length(regexp_replace(string_agg(line, chr(10) ORDER BY pos), '^[ \\t-\\r]+|[ \\t-\\r]+$', '', 'g')) AS size FROM n WHERE level = 0 GROUP BY 1, 2)
+SELECT doc, section, level, concat_ws(' > ', {_OWN_HEADS}) AS hierarchy, coalesce(size, 0) AS size FROM h LEFT JOIN b USING (doc, section)"""),
     "references_resolve": (references_resolve, """
 WITH s AS (SELECT item_id AS ref_id, doc_id AS chunk_id,
   CASE WHEN contains(lower(d.text), lower(b.text)) THEN 10 ELSE 0 END + CASE WHEN contains(lower(source), lower(b.text)) THEN 5 ELSE 0 END + CASE WHEN contains(lower(lang), lower(b.text)) THEN 3 ELSE 0 END AS score
