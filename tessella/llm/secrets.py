@@ -65,10 +65,12 @@ def find_secrets(text: str, vocabulary: str, most: float = MAX_CHARS_PER_TOKEN)
     runs = list(CANDIDATE.finditer(text))
     if runs:
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-        based = sorted(found)
+        based, at, reach = sorted(found), 0, -1
         for m in runs:
             a, b = m.span()
-            if any(x < b and a < y for x, _, y in based) or is_known(m[0]):
+            while at < len(based) and based[at][0] < b:  # reach: where the farthest of all spans that start before b ends
+                reach, at = max(reach, based[at][2]), at + 1
+            if reach > a or is_known(m[0]):
                 continue
             if b - a <= most * len(encoding(vocabulary).encode_ordinary(m[0])):
                 found.append((a, 3, b))
@@ -114,7 +116,11 @@ def redacted(text: Column | str, vocabulary: str | None = None, most: float = MA
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
-    """doc_id and the secrets of its whole text. Null and empty texts have none; repeated rows each give a row."""
+    """doc_id and the secrets of its whole text.
+
+    Null and empty texts have none; very long texts are read whole, in time linear in their length; repeated rows and ids
+    each give a row; an empty table stays empty; other columns, whatever their names, are ignored.
+    """
     return docs.select("doc_id", secret_spans("text").alias("found"))
 
 
