@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import arrowfiles, chat, imatch, merkle, mixing, packing, quality, secrets, simhash, toxicity, urlfilter
+from tessella.llm import arrowfiles, chat, collocations, imatch, merkle, mixing, packing, quality, secrets, simhash, toxicity, urlfilter
 
 
 def queries():
@@ -17,9 +17,10 @@ def queries():
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_arrow_files": arrowfiles.op9_arrow_files,
         "op10_pack": packing.op10_pack,
+        "op12_collocations": collocations.op12_collocations,
         "op13_merkle": merkle.op13_merkle,
     }
 
 
 def oracle_sql():
-    return {"op2_chat_format": chat.OP2_SQL, "op13_merkle": merkle.OP13_SQL}
+    return {"op2_chat_format": chat.OP2_SQL, "op12_collocations": collocations.OP12_SQL, "op13_merkle": merkle.OP13_SQL}
