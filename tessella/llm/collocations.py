@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.bytewords import BETWEEN_PIECES, BETWEEN_WORDS, IN_WORD, split_bytes
 from tessella.operators.relational import top_per_key
 from tessella.runtime import materialize, shared_path
 
@@ -35,12 +36,10 @@ CHUNK = 8 << 20
 #: Copies of the counts that phrases look up their parts in, so that a common first word is not one key.
 SALTS = 8
 
-_UPPER = bytes(range(65, 91))
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
-_TABLE = bytes.maketrans(_UPPER, _UPPER.lower())
-_KIND = np.zeros(256, dtype=np.uint8)  # 0: in a word, 1: between words, 2: between pieces
-_KIND[list(b" \t")] = 1
-_KIND[list(_BREAKS)] = 2
+_KIND = np.full(256, IN_WORD, dtype=np.uint8)
+_KIND[list(b" \t")] = BETWEEN_WORDS
+_KIND[list(_BREAKS)] = BETWEEN_PIECES
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 COUNTED = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("start", pa.int32()), ("n", pa.int64())])
@@ -48,15 +47,8 @@ COUNTED = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.
 
 def split_words(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Codes of all words in order, the words by code, and the number of the piece that each is in."""
-    raw = np.frombuffer(b"\n".join(texts).translate(_TABLE), dtype=np.uint8)
-    kind = _KIND[raw]
-    inside = kind == 0
-    edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
-    starts, ends = edges[::2], edges[1::2]
-    offsets = np.zeros(len(starts) + 1, dtype=np.int64)
-    np.cumsum(ends - starts, out=offsets[1:])
-    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])]).dictionary_encode()
-    return words.indices.to_numpy(), words.dictionary, np.cumsum(kind == 2)[starts]
+    raw, codes, words, starts, _ = split_bytes(b"\n".join(texts), _KIND)
+    return codes, words, np.cumsum(_KIND[raw] == BETWEEN_PIECES)[starts]
 
 
 def word_hashes(words: list[bytes], lang: str) -> np.ndarray:

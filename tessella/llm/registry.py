@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import arrowfiles, chat, collocations, imatch, merkle, mixing, packing, quality, secrets, simhash, toxicity, urlfilter
+from tessella.llm import arrowfiles, chat, collocations, imatch, langid, merkle, mixing, packing, quality, secrets, simhash, toxicity, urlfilter
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_arrow_files": arrowfiles.op9_arrow_files,
         "op10_pack": packing.op10_pack,
+        "op11_langid": langid.op11_langid,
         "op12_collocations": collocations.op12_collocations,
         "op13_merkle": merkle.op13_merkle,
     }
