@@ -48,8 +48,7 @@ def episodic_matches(queries: DataFrame, memory: DataFrame, top_k: int = 5) -> D
     """
     q = queries.select("query_id", F.lower("text").alias("q_text"), F.array_distinct(terms("text")).alias("q_terms"))
     m = memory.select("memory_id", F.lower("entity").alias("entity"), F.array_distinct(terms("query")).alias("m_terms"), F.array_distinct(terms("context")).alias("c_terms"))
-    kind = "string" if memory.schema["memory_id"].dataType.typeName() == "string" else "long"
-    return best_rows(q, m, _episodic_scores, top_k, kind).withColumnRenamed("id", "memory_id")
+    return best_rows(q, m, _episodic_scores, top_k).withColumnRenamed("id", "memory_id")
 
 
 def personality_score(query: Column, mode: dict[str, Column], contexts: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Choosing among candidates, scoring sets of vectors, and batches under a budget."""
+"""Choosing among candidates, and scoring sets of vectors."""
 
 from __future__ import annotations
 
@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from tessella.functions.text import characters, jaccard
 from tessella.functions.vectors import cosine
 
-#: Rows of a part within which batches are filled; no batch runs over its end.
-PART = 10_000
-
-
 def candidate_sets(rows: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
     """(keys, texts, sets): the answers to each prompt, in order, and their sets of characters; a prompt has a few answers."""
     gathered = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, text))).alias("x"))
@@ -50,26 +46,6 @@ def vector_set_score(reference: Column, generated: Column) -> dict[str, Column]:
     return {"p": p, "r": r, "f": 2 * p * r / (p + r + 1e-8)}
 
 
-def budget_batches(rows: DataFrame, key: str, order: str, tokens: str, budget: int = 8000, buffer: float = 0.9) -> DataFrame:
-    """(key, part, n, skipped, batch_size, batches): batches filled in order until the budget or the batch size is reached.
-
-    Texts over the budget are skipped. The batch size is the buffered budget over the mean tokens of the part, at least 1.
-    A key's rows come in parts of PART ids, so a large key is spread over tasks.
-    """
-    parted = rows.select(key, F.floor(F.col(order) / PART).alias("part"), F.struct(F.col(order).alias("o"), F.col(tokens).cast("long").alias("t")).alias("x"))
-    fits = F.filter(F.sort_array("x"), lambda s: s.t <= budget)
-    lists = parted.groupBy(key, "part").agg(F.collect_list("x").alias("x")).select(key, "part", F.size("x").alias("n"), F.transform(fits, lambda s: s.t).alias("x"))
-    mean = F.aggregate("x", F.lit(0).cast("long"), lambda s, v: s + v) / F.size("x")
-    sized = lists.withColumn("batch_size", F.when(F.size("x") > 1, F.greatest(F.lit(1), F.floor(budget * buffer / F.greatest(mean, F.lit(1.0))).cast("int"))).otherwise(1))
-    start = F.struct(F.lit(0).alias("batches"), F.lit(0).alias("held"), F.lit(0).cast("long").alias("used"))
-
-    def add(s: Column, v: Column) -> Column:
-        new = (s.batches == 0) | (s.held >= F.col("batch_size")) | (s.used + v > budget)
-        return F.struct((s.batches + new.cast("int")).alias("batches"), F.when(new, 1).otherwise(s.held + 1).alias("held"), F.when(new, v).otherwise(s.used + v).alias("used"))
-
-    return sized.select(key, "part", "n", (F.col("n") - F.size("x")).alias("skipped"), "batch_size", F.aggregate("x", start, add).batches.alias("batches"))
-
-
 def dependency_context(nodes: DataFrame, edges: DataFrame, results: DataFrame) -> DataFrame:
     """Nodes (plan_id, node) with the results of the nodes that they wait for, in order; an empty array for none."""
     met = edges.join(results.select("plan_id", F.col("node").alias("src"), "result"), ["plan_id", "src"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import text as fx
-from tessella.operators import evaluation, relational, retrieval
+from tessella.operators import batching, evaluation, relational, retrieval
 from tessella.operators import selection as s
 from tessella.plans import search
 from tessella.runtime import read_table as t
@@ -67,7 +67,15 @@ def retrieval_quality(spark, d):
 
 def token_batches(spark, d):
     docs = t(spark, d, "documents").select("source", "doc_id", fx.estimated_tokens("text").alias("tokens"))
-    return s.budget_batches(docs, "source", "doc_id", "tokens")
+    return batching.budget_batches(docs, "source", "doc_id", "tokens")[1]
+
+
+def token_batch_numbers(spark, d):
+    """The batch of each text, and the tokens of that batch."""
+    docs = t(spark, d, "documents").select("source", "doc_id", fx.estimated_tokens("text").alias("tokens"))
+    each = batching.budget_batches(docs, "source", "doc_id", "tokens")[0].join(docs, ["source", "doc_id"])
+    sums = each.groupBy("source", "batch").agg(F.sum("tokens").alias("batch_tokens"))
+    return each.select("source", "doc_id", "batch").join(sums, ["source", "batch"])
 
 
 def vector_retrieve(spark, d):
@@ -111,6 +119,15 @@ WITH c AS (SELECT conv_id, turn, text, list_distinct(list_filter(string_split(te
 m AS (SELECT a.conv_id, a.i, any_value(a.text) AS text, coalesce(avg({_JACCARD}) FILTER (a.i <> b.i), 0) AS mean, count(*) AS n FROM c a JOIN c b USING (conv_id) GROUP BY 1, 2)"""
 _COS = "list_cosine_similarity(x.v, y.v)"
 
+#: The plain loop, one text of each source a step: w gives each text its batch.
+_BATCHES = """
+WITH RECURSIVE d AS (SELECT source, doc_id, length(text) // 4 AS t FROM documents),
+z AS (SELECT source, count(*) AS n, count(*) FILTER (t > 8000) AS skipped, CASE WHEN count(*) > 1 THEN greatest(1, floor(7200 / greatest(avg(t), 1)))::INT ELSE 1 END AS size FROM d GROUP BY 1),
+o AS (SELECT d.source, doc_id, t, size, row_number() OVER (PARTITION BY d.source ORDER BY doc_id) AS i FROM d JOIN z USING (source) WHERE t <= 8000),
+w AS (SELECT source, doc_id, t, size, i, 0::BIGINT AS batch, 1::BIGINT AS held, t::BIGINT AS used FROM o WHERE i = 1
+  UNION ALL SELECT o.source, o.doc_id, o.t, o.size, o.i, CASE WHEN w.used + o.t > 8000 OR w.held >= o.size THEN w.batch + 1 ELSE w.batch END,
+    CASE WHEN w.used + o.t > 8000 OR w.held >= o.size THEN 1 ELSE w.held + 1 END, CASE WHEN w.used + o.t > 8000 OR w.held >= o.size THEN o.t ELSE w.used + o.t END FROM w JOIN o ON o.source = w.source AND o.i = w.i + 1)"""
+
 QUERIES = {
     "answer_consistency": (consistency, f"{_MEANS} SELECT conv_id, any_value(n)::INT AS n, round(CASE WHEN any_value(n) > 1 THEN avg(mean) ELSE 1 END, 6) AS consistency FROM m GROUP BY 1"),
     "best_of_n": (best_of_n, f"{_MEANS} SELECT conv_id, i::INT AS place, sha256(text) AS digest FROM m QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY round(mean, 9) DESC, i) = 1"),
@@ -136,14 +153,10 @@ w AS (SELECT source, good, rank IS NOT NULL AS found, unnest({search._TERMS}) AS
 c AS (SELECT source, count(*) FILTER (good AND found) AS both_, count(*) FILTER (good) AS n FROM p GROUP BY 1)
 SELECT source, retrieved, hits, round(CASE WHEN retrieved > 0 THEN hits / retrieved::DOUBLE ELSE 0 END, 6) AS precision, round(CASE WHEN wanted > 0 THEN hits / wanted::DOUBLE ELSE 0 END, 6) AS recall,
   round(coalesce(1 / first::DOUBLE, 0), 6) AS mrr, round(CASE WHEN n > 0 THEN both_ / n::DOUBLE ELSE 0 END, 6) AS term_recall FROM m LEFT JOIN c USING (source)"""),
-    "token_budget_batches": (token_batches, """
-WITH g AS (SELECT source, doc_id // 10000 AS part, list({'t': length(text) // 4, 'i': doc_id} ORDER BY doc_id) AS a FROM documents GROUP BY 1, 2),
-f AS (SELECT source, part, len(a) AS n, list_transform(list_filter(a, lambda x: x.t <= 8000), lambda x: x.t) AS x FROM g),
-z AS (SELECT *, CASE WHEN len(x) > 1 THEN greatest(1, floor(7200 / greatest(list_sum(x) / len(x)::DOUBLE, 1)))::INT ELSE 1 END AS size FROM f),
-h AS (SELECT *, list_reduce(list_prepend({'b': 0::BIGINT, 'h': 0::BIGINT, 'u': 0::BIGINT, 's': size::BIGINT}, list_transform(x, lambda v: {'b': 0::BIGINT, 'h': 0::BIGINT, 'u': v::BIGINT, 's': 0::BIGINT})),
-  lambda s, v: {'b': CASE WHEN s.b = 0 OR s.h >= s.s OR s.u + v.u > 8000 THEN s.b + 1 ELSE s.b END, 'h': CASE WHEN s.b = 0 OR s.h >= s.s OR s.u + v.u > 8000 THEN 1 ELSE s.h + 1 END,
-    'u': CASE WHEN s.b = 0 OR s.h >= s.s OR s.u + v.u > 8000 THEN v.u ELSE s.u + v.u END, 's': s.s}) AS e FROM z)
-SELECT source, part, n::INT AS n, (n - len(x))::INT AS skipped, size AS batch_size, e.b::INT AS batches FROM h"""),
+    "token_budget_batches": (token_batches, f"""{_BATCHES}
+SELECT z.source, z.n, z.skipped, z.size AS batch_size, coalesce(max(w.batch) + 1, 0) AS batches FROM z LEFT JOIN w USING (source) GROUP BY ALL"""),
+    "token_batch_numbers": (token_batch_numbers, f"""{_BATCHES}
+SELECT source, doc_id, batch, (sum(t) OVER (PARTITION BY source, batch))::BIGINT AS batch_tokens FROM w"""),
     "vector_retrieve": (vector_retrieve, """
 WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score, a.embedding AS q, b.embedding AS v
   FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
