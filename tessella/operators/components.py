@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.runtime import materialize
+from tessella.runtime import materialize, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,6 +37,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         if state is not None and now == state or now[0] == 0:
             break
         state = now
-        e = materialize(_small_star(_large_star(e)), "edges")
+        past, e = e, materialize(_small_star(_large_star(e)), "edges")
+        release(past)
     nodes = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators.components import connected_components
 from tessella.operators.relational import top_per_key
-from tessella.runtime import materialize
+from tessella.runtime import materialize, release
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -65,7 +65,8 @@ def pagerank(edges: DataFrame, restart: DataFrame | None = None, damping: float
         dangling = state.join(out, F.col("node") == F.col("src"), "left_anti").agg(F.sum("rank")).first()[0] or 0.0
         sent = e.join(out, "src").join(state.select(F.col("node").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
         flow = damping * (F.coalesce("got", F.lit(0.0)) + dangling * F.col("base"))
-        state = materialize(state.join(sent, F.col("node") == F.col("dst"), "left").select("node", "base", ((1 - damping) * F.col("base") + flow).alias("rank")), "rank")
+        past, state = state, materialize(state.join(sent, F.col("node") == F.col("dst"), "left").select("node", "base", ((1 - damping) * F.col("base") + flow).alias("rank")), "rank")
+        release(past)
     return state.select("node", "rank")
 
 
@@ -76,7 +77,8 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     for _ in range(rounds):
         votes = both.join(state.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), "label").agg(F.count("*").alias("votes"))
         best = votes.groupBy("node").agg(F.max(F.struct("votes", (-F.col("label")).alias("smallest"))).alias("m"))
-        state = materialize(best.select("node", (-F.col("m.smallest")).alias("label")), "labels")
+        past, state = state, materialize(best.select("node", (-F.col("m.smallest")).alias("label")), "labels")
+        release(past)
     return state
 
 

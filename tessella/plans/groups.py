@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import terms
 from tessella.operators import communities, graph
+from tessella.operators.louvain import louvain_communities
 from tessella.plans.graphs import _bought_together
 from tessella.runtime import materialize
 from tessella.runtime import read_table as t
@@ -19,6 +20,14 @@ def greedy_communities(spark, d):
     return found.join(parts, "community").select("node", "community", "size", "part")
 
 
+def louvain(spark, d):
+    """Each part with its community by Louvain's method, the community's size and its part of the modularity."""
+    e = materialize(_bought_together(spark, d), "bought-together")
+    found = materialize(louvain_communities(e), "louvain")
+    parts = graph.modularity(e, found).select("community", "size", F.round("part", 8).alias("part"))
+    return found.join(parts, "community").select("node", "community", "size", "part")
+
+
 def reference_chains(spark, d):
     """Returned lines lead on to the next line of their order, lines of every third part to the one before."""
     lines = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("p"), F.min("l_returnflag").alias("f"))
@@ -41,6 +50,7 @@ def topic_keywords(spark, d):
 #: Greedy merges depend on ties; tests hold them against the rule that no merge is left that gains.
 QUERIES = {
     "graph_greedy_communities": (greedy_communities, None),
+    "graph_louvain": (louvain, None),
     "reference_chains": (reference_chains, """
 WITH RECURSIVE l AS (SELECT l_orderkey AS o, l_linenumber AS n, min(l_partkey) AS p, min(l_returnflag) AS f FROM lineitem GROUP BY 1, 2),
 e AS (SELECT l.o, l.n AS src, k.n AS dst FROM l JOIN l k ON l.o = k.o AND (l.f = 'R' AND k.n = l.n + 1 OR l.p % 3 = 0 AND k.n = l.n - 1)),
