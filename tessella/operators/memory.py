@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import terms
 from tessella.operators.blocks import best_rows
+from tessella.runtime import materialize
 
 
 def _episodic_scores(queries: pa.Table, rows: pa.Table) -> np.ndarray:
@@ -61,7 +62,8 @@ def personality_score(query: Column, mode: dict[str, Column], contexts: Column)
 
 
 def merge_scores(semantic: DataFrame, symbolic: DataFrame, keys: list[str], weight: float = 0.7) -> DataFrame:
-    """Weighted sum over a full outer join; if one side is empty the other is returned unweighted."""
+    """Weighted sum over a full outer join; if one side is empty the other is returned unweighted. Either side is computed once."""
+    semantic, symbolic = materialize(semantic.select(*keys, "score"), "semantic"), materialize(symbolic.select(*keys, "score"), "symbolic")
     if symbolic.isEmpty():
         return semantic.select(*keys, "score")
     if semantic.isEmpty():

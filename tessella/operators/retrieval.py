@@ -59,8 +59,10 @@ def term_table(docs: DataFrame, doc: str = "doc_id", text: str = "text", bigrams
     """(id, term, tf, size): how often each term is in each document, and the document's number of terms.
 
     Terms are counted within each row, so nothing is shuffled. A table to search is best written once (``materialize``).
+    Ids are numbers or texts.
     """
-    schema = pa.schema([("id", pa.int64()), ("term", pa.string()), ("tf", pa.int64()), ("size", pa.int64())])
+    kind = "string" if docs.schema[doc].dataType.typeName() == "string" else "long"
+    schema = pa.schema([("id", pa.string() if kind == "string" else pa.int64()), ("term", pa.string()), ("tf", pa.int64()), ("size", pa.int64())])
     find = re.compile(TERM).findall
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +80,7 @@ def term_table(docs: DataFrame, doc: str = "doc_id", text: str = "text", bigrams
                     columns = [], [], [], []
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return docs.select(F.col(doc).cast("long"), text).mapInArrow(count, "id long, term string, tf long, size long")
+    return docs.select(F.col(doc).cast(kind), text).mapInArrow(count, f"id {kind}, term string, tf long, size long")
 
 
 def search_table(docs: DataFrame, bigrams: bool = False) -> DataFrame:
