@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -27,7 +28,7 @@ from tessella.llm.bytewords import BETWEEN_PIECES, BETWEEN_WORDS, IN_WORD, split
 from tessella.operators.relational import top_per_key
 from tessella.runtime import materialize, shared_path
 
-SHARDS, LEAST, LONGEST, TOP = 4, 30, 4, 2000
+SHARDS, LEAST, LONGEST, TOP = 2, 30, 4, 2000
 #: Bytes of the table of steps, which is broadcast at each step; more keep it sparse where over a few million phrases are frequent.
 SLOTS = 1 << 24
 NEVER = 255
@@ -78,11 +79,13 @@ def distinct_grams(codes: np.ndarray, at: np.ndarray, size: int, words: int) ->
     ids, span = codes[at].astype(np.int64), words
     for i in range(1, size):
         if span * words >= 1 << 62:
-            known, ids = np.unique(ids, return_inverse=True)
+            ids, known = pd.factorize(ids)
             span = len(known)
         ids, span = ids * words + codes[at + i], span * words
-    _, first, counts = np.unique(ids, return_index=True, return_counts=True)
-    return at[first], counts
+    kinds, known = pd.factorize(ids)
+    first = np.empty(len(known), dtype=np.int64)
+    first[kinds[::-1]] = at[::-1]
+    return first, np.bincount(kinds, minlength=len(known))
 
 
 def count_chunk(texts: list[bytes], lang: str, step: int, cycle: int, steps: np.ndarray, longest: int) -> Iterator[pa.RecordBatch]:
@@ -95,6 +98,7 @@ def count_chunk(texts: list[bytes], lang: str, step: int, cycle: int, steps: np.
         return pa.RecordBatch.from_arrays([pa.repeat(lang, each), pa.repeat(pa.scalar(size, pa.int32()), each), phrases.cast(pa.string()), pa.array(starts, type=pa.int32()), pa.array(counts, type=pa.int64())], schema=COUNTED)
 
     if step < cycle and n:
+        yield rows([0], 0, pa.array([b""], pa.large_binary()), [n])
         yield rows(np.zeros(len(words), dtype=np.int32), 1, words, np.bincount(codes, minlength=len(words)))
     own = word_hashes(words.to_pylist(), lang)
     hashes, own = own[codes], own
@@ -117,7 +121,7 @@ def count_chunk(texts: list[bytes], lang: str, step: int, cycle: int, steps: np.
 
 
 def count_shard(shard: DataFrame, step: int, cycle: int, steps, longest: int, chunk: int) -> DataFrame:
-    """(lang, size, phrase, start, n) of each task's chunks of a shard (lang, text); ``steps`` is the broadcast table."""
+    """(lang, size, phrase, start, n) of each task's chunks of a shard (lang, text), the number of words as size 0; ``steps`` is the broadcast table."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, held = {}, 0
@@ -181,14 +185,16 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         shared = spark.sparkContext.broadcast(steps)
         now = count_shard(shards.where(F.col("shard") == step % cycle), step, cycle, shared, longest, chunk).withColumn("reached", F.lit(False))
         now = now if state is None else now.unionByName(state)
-        counts = materialize(now.groupBy("lang", "size", "phrase", "start").agg(F.sum("n").alias("n"), F.max("reached").alias("reached")), "counts")
+        counts = now.groupBy("lang", "size", "phrase", "start").agg(F.sum("n").alias("n"), F.max("reached").alias("reached"))
+        ends, frequent = F.col("start") + (cycle - 1), F.col("n") >= least
+        counts = materialize(counts.where((ends > step) | frequent | (F.col("size") == 0)), "counts")
         shared.destroy()
-        ends = F.col("start") + (cycle - 1)
-        done.append(counts.where((ends == step) & (F.col("n") >= least)).select("lang", "size", "phrase", F.col("n").alias("f")))
+        ended = counts.where(ends == step)
+        done.append(ended.where("size > 0").select("lang", "size", "phrase", F.col("n").alias("f")))
         if step == cycle - 1:
-            sizes = counts.where("size = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-        state = counts.where(ends > step).withColumn("reached", F.col("n") >= least)
-        if mark_reached(counts.where((F.col("n") >= least) & ~F.col("reached") & (F.col("size") < longest)), steps, step):
+            sizes = ended.where("size = 0").select("lang", "n")
+        state = counts.where(ends > step).withColumn("reached", frequent)
+        if mark_reached(counts.where(frequent & ~F.col("reached") & F.col("size").between(1, longest - 1)), steps, step):
             last = max(last, step + cycle)
         step += 1
     return materialize(reduce(DataFrame.unionByName, done), "phrases"), sizes
