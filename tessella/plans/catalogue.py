@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import graphs, groups, knowledge, memory, prompts, relational, search, selection, storage, streams, vectorstore
+from tessella.plans import graphs, groups, knowledge, memory, prompts, relational, search, selection, storage, streams, times, vectorstore
 
-MODULES = (relational, search, knowledge, prompts, selection, memory, graphs, groups, storage, streams, vectorstore)
+MODULES = (relational, search, knowledge, prompts, selection, memory, graphs, groups, storage, streams, times, vectorstore)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
