@@ -33,7 +33,7 @@ SHARDS, LEAST, LONGEST, TOP = 2, 30, 4, 2000
 SLOTS = 1 << 24
 NEVER = 255
 #: Bytes of text of one language that a task counts at once.
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 #: Copies of the counts that phrases look up their parts in, so that a common first word is not one key.
 SALTS = 8
 
