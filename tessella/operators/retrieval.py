@@ -31,28 +31,29 @@ def unit_rows(vectors: pa.ChunkedArray, width: int) -> np.ndarray:
     return m / np.where(norms > 0, norms, np.nan)
 
 
-def cosines(least: float | None = None):
-    """A scorer of (id, vector) blocks; an id does not meet itself."""
+def cosines(least: float | None = None, itself: bool = False):
+    """A scorer of (id, vector) blocks; an id does not meet itself unless ``itself`` is set, as where the two are ids of different things."""
 
     def score(queries: pa.Table, rows: pa.Table) -> np.ndarray:
         width = max(queries.column(1).combine_chunks().value_lengths().fill_null(0).to_pylist(), default=0)
         if not width:  # no query has a vector
             return np.full((queries.num_rows, rows.num_rows), -np.inf)
         s = unit_rows(queries.column(1), width) @ unit_rows(rows.column(1), width).T
-        s[queries.column(0).to_numpy()[:, None] == rows.column(0).to_numpy()[None, :]] = np.nan
+        if not itself:
+            s[queries.column(0).to_numpy()[:, None] == rows.column(0).to_numpy()[None, :]] = np.nan
         s[np.isnan(s) | (np.round(s, 6) < (least if least is not None else -np.inf))] = -np.inf
         return s
 
     return score
 
 
-def vector_search(queries: DataFrame, corpus: DataFrame, top_k: int = 10, least: float | None = None) -> DataFrame:
-    """(query_id, id, score, rank): the top_k cosines of each query over all of ``corpus``, itself left out.
+def vector_search(queries: DataFrame, corpus: DataFrame, top_k: int = 10, least: float | None = None, itself: bool = False) -> DataFrame:
+    """(query_id, id, score, rank): the top_k cosines of each query over all of ``corpus``, without the row of its own id unless ``itself`` is set.
 
     Both tables are (id, vector). Blocks of queries meet blocks of rows in one pass; nothing but each block's best is
     shuffled, and nothing goes through the driver. Null, empty and zero vectors have no score.
     """
-    return best_rows(queries, corpus.select(corpus.columns[0], corpus.columns[1]), cosines(least), top_k)
+    return best_rows(queries, corpus.select(corpus.columns[0], corpus.columns[1]), cosines(least, itself), top_k)
 
 
 def term_table(docs: DataFrame, doc: str = "doc_id", text: str = "text", bigrams: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions.text import terms
-from tessella.operators import graph, graphsearch, hypergraph, plangraph, retrieval
+from tessella.operators import graph, graphretrieve, graphsearch, hypergraph, plangraph, retrieval
 from tessella.runtime import read_table as t
 
 
@@ -429,3 +429,25 @@ WITH n AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'P' THEN 'open' ELS
 e AS (SELECT CASE WHEN o_orderpriority LIKE '1%' THEN 'unknown edge type' WHEN ty IS NULL OR c_custkey IS NULL THEN 'missing end' WHEN ty <> 'order' THEN 'wrong ends' END AS problem FROM orders LEFT JOIN n ON k = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey
   UNION ALL SELECT 'unknown node type' FROM n WHERE ty = 'open') SELECT problem, count(*) AS n FROM e WHERE problem IS NOT NULL GROUP BY 1"""),
 }
+
+
+def retrieve(spark, d):
+    """Paths, single parts and components for the words of every fiftieth part's type, fused by reciprocal ranks."""
+    parts = _part_nodes(spark, d)
+    asked = t(spark, d, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.split(F.lower("p_type"), r"\s+").alias("terms"))
+    e = _bought_together(spark, d).select("src", "dst", F.lit(1.0).alias("weight"), F.when((F.col("src") + F.col("dst")) % 3 == 0, "REFERENCES").otherwise("SIMILAR").alias("edge_type"))
+    groups = components(spark, d).select("node", F.col("component").alias("community"))
+    return graphretrieve.graph_retrieve(asked, parts, e, graphretrieve.Retrieval(("path", "structural", "community"), "rrf"), groups)
+
+
+def _retrieve_sql() -> str:
+    whole = lambda name, k: QUERIES[name][1].replace(f"QUALIFY rank <= {k}", "")
+    return f"""
+WITH a AS (SELECT query_id, replace(path, ',', ' > ') AS item, 'path' AS method, score FROM ({QUERIES["graph_path_search"][1]}) UNION ALL
+  SELECT query_id, node::VARCHAR, 'structural', score FROM ({whole("graph_structural_search", 5)}) UNION ALL SELECT query_id, 'community ' || community, 'community', score FROM ({whole("graph_community_search", 3)})),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, method ORDER BY score DESC, item) AS place FROM a),
+f AS (SELECT query_id, item, string_agg(method, ',' ORDER BY method) AS method, round(sum(1 / (60 + place)::DOUBLE), 6) AS score FROM r GROUP BY 1, 2)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item, method) AS rank FROM f QUALIFY rank <= 10"""
+
+
+QUERIES["graph_retrieve"] = (retrieve, _retrieve_sql())

@@ -6,8 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import text as fx
-from tessella.operators import chunking, graph, sections
+from tessella.operators import building, chunking, graph, sections
 from tessella.runtime import read_table as t
+from tessella.runtime import shared_path
 
 
 def chunk_length(spark, d):
@@ -106,6 +107,19 @@ def token_estimates(spark, d):
     return docs.withColumn("batch", F.greatest(F.lit(1), F.floor(7200 / (F.col("tokens") / F.col("n")))).cast("int"))
 
 
+def build_base(spark, d):
+    """A base of two thirds of the documents, brought up to all of them: chunks and characters of each, and the run that built it."""
+    docs = t(spark, d, "documents").select(F.format_string("doc-%012d", "doc_id").alias("path"), "doc_id", "text")
+    found = docs.select("path", F.col("path").alias("document_name"), F.octet_length("text").cast("long").alias("size"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("modified"))
+    base = shared_path(spark, "base")
+    options = building.Options(size=1000, overlap=50, embedding="hash-64")
+    read = lambda todo: docs.join(todo.select("path"), "path", "left_semi").select("path", "text")
+    for part in (found.where("CAST(substring(path, 5) AS BIGINT) % 3 > 0"), found):
+        building.build(spark, part, read, base, options)
+    chunks = building.read_base(spark, base, "chunks").groupBy("document_name").agg(F.count("*").alias("n_chunk"), F.sum(F.length("corpus")).alias("n_characters"))
+    return chunks.join(building.manifest(spark, base).select("document_name", "run"), "document_name").select(F.substring("document_name", 5, 12).cast("long").alias("doc_id"), "n_chunk", "n_characters", "run")
+
+
 _CHUNKS = "SELECT doc_id, i AS chunk_no, regexp_replace(substr(text, i * 950 + 1, 1000), '^\\s+|\\s+$', '', 'g') AS corpus FROM (SELECT doc_id, text, unnest(range(0, greatest(0, ceil((length(text) - 1000) / 950.0))::INT + 1))::INT AS i FROM documents) WHERE corpus <> ''"
 
 _PAGE_LINES = r"""
@@ -147,6 +161,7 @@ _OWN_HEADS = ", ".join(f"CASE WHEN level >= {i} AND h{i}.level = {i} THEN h{i}.t
 QUERIES = {
     "hierarchy_chunks": (hierarchy_chunks, _HIERARCHY),
     "chunk_length": (chunk_length, f"SELECT *, doc_id || ' Para ' || (chunk_no + 1) || '.' AS reference FROM ({_CHUNKS})"),
+    "build_base": (build_base, f"SELECT doc_id, count(*) AS n_chunk, sum(length(corpus))::BIGINT AS n_characters, CASE WHEN doc_id % 3 > 0 THEN 1 ELSE 2 END::BIGINT AS run FROM ({_CHUNKS}) GROUP BY 1"),
     "chunk_meta": (chunk_meta, f"SELECT doc_id, count(*) AS n_chunk, count(DISTINCT chunk_no // 4) AS n_section, sum(length(corpus))::BIGINT AS n_characters FROM ({_CHUNKS}) GROUP BY 1"),
     "chunk_level_groups": (chunk_level_groups, """
 WITH h AS (SELECT concat_ws(' > ', lang, CASE WHEN n_chars > 1000 THEN source END, CASE WHEN n_chars > 5000 THEN 'long' END) AS hierarchy, n_chars FROM documents)

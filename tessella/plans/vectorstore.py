@@ -39,9 +39,7 @@ def index_search(spark, d):
 def semantic_texts(spark, d):
     """The five nearest documents of each benchmark passage by their embeddings."""
     docs, asked = _embedded(t(spark, d, "documents"), "doc_id"), _embedded(t(spark, d, "benchmark"), "item_id")
-    # ids of passages and documents are of two kinds: none is left out as its own
-    found = retrieval.vector_search(asked.withColumn("id", -F.col("id") - 1), docs, 5)
-    return found.withColumn("query_id", -F.col("query_id") - 1)
+    return retrieval.vector_search(asked, docs, 5, itself=True)
 
 
 def hybrid_embedded(spark, d):
