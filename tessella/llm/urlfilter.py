@@ -1,9 +1,11 @@
 """URL filters: allow and block rules by host and path, and for the rest a naive Bayes score of segmented names.
 
 Names run words together; a unigram Viterbi search splits them into the words of the pages themselves. The multinomial
-naive Bayes model is trained on all pages, by host: a host is an example to block when at least HOST_SHARE of its URLs hold
-a seed word, and then all its pages are, whatever their paths; all other hosts are examples to allow. So the words that
-such hosts use count against URLs without a seed, and a seed that mostly stands on good hosts blocks nothing.
+naive Bayes model is trained on all pages, by host, and what makes a host an example to block is what it says, in its pages'
+texts as well as in its URLs: at least HOST_SHARE of its URLs hold a seed word, or at least TEXT_SHARE of its pages' texts do
+and seed words are TEXT_TIMES as frequent in them as in the texts of all pages. Then all its pages are examples, whatever their
+URLs; those of all other hosts are examples to allow. So hosts whose names tell nothing are found by their texts, the words
+that such hosts use count against URLs without a seed, and a seed that mostly stands on good hosts blocks nothing.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 #: Words of the usual blocklist categories: adult, gambling, advertising and tracking, spam and fraud, piracy.
 SEEDS = ("adult", "porn", "sex", "xxx", "bets", "betting", "casino", "gambling", "jackpot", "ads", "tracker", "spam", "pills", "viagra", "payday", "replica", "phishing", "warez")
 HOST_SHARE = 0.1
+TEXT_SHARE, TEXT_TIMES = 0.5, 2
 #: Words under this share of all are left out of the word model; tokens under it are not broadcast but joined. Either bounds
 #: what a worker holds at 1 / share entries.
 LEAST_SHARE = 1e-6
@@ -126,10 +129,28 @@ def bayes_weights(tokens: DataFrame) -> tuple[dict[str, float], DataFrame, float
     return weights, each.where(~common).select("token", odds), math.log((bad_urls + 1) / (urls - bad_urls + 1))
 
 
+def seed_counts(html: Column | str) -> Column:
+    """struct<seeds, words>: how many words of a page's text there are, and how many are seeds."""
+    seeds = {x.encode() for x in SEEDS}
+    kind = pa.struct([("seeds", pa.int64()), ("words", pa.int64())])
+
+    def count(pages: pa.Array) -> pa.Array:
+        found = [words_of(p.as_buffer().to_pybytes() if p.is_valid else b"") for p in pages]
+        return pa.array([{"seeds": sum(w in seeds for w in x), "words": len(x)} for x in found], type=kind)
+
+    count.__annotations__ = {"pages": pa.Array, "return": pa.Array}
+    return F.arrow_udf(count, "struct<seeds: bigint, words: bigint>")(html)
+
+
 def bad_hosts(tokens: DataFrame) -> DataFrame:
-    """(host, listed) of the hosts that are examples to block."""
-    shares = tokens.groupBy("host").agg(F.avg(F.col("seeded").cast("int")).alias("share"))
-    return materialize(shares.where(F.col("share") >= HOST_SHARE).select("host", F.lit(True).alias("listed")), "bad-hosts")
+    """(host, listed) of the hosts that are examples to block; from (host, seeded, text)."""
+    hosts = tokens.groupBy("host").agg(
+        F.avg(F.col("seeded").cast("int")).alias("urls"), F.avg((F.col("text.seeds") > 0).cast("int")).alias("pages"), F.sum("text.seeds").alias("seeds"), F.sum("text.words").alias("words")
+    )
+    hosts = materialize(hosts, "hosts")
+    seeds, words = hosts.agg(F.sum("seeds"), F.sum("words")).first()
+    said = (F.col("pages") >= TEXT_SHARE) & (F.col("seeds") * float(words or 1) >= TEXT_TIMES * F.col("words") * float(seeds or 1))
+    return materialize(hosts.where((F.col("urls") >= HOST_SHARE) | said).select("host", F.lit(True).alias("listed")), "bad-hosts")
 
 
 def rare_sums(tokens: DataFrame, rare: DataFrame) -> DataFrame:
@@ -147,7 +168,7 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     spark = pages.sparkSession
     costs, log_total = word_costs(pages.select("html"))
     host, path = url_parts("url")
-    parts = pages.select(F.col("page_id").alias("page_id"), host.alias("host"), path.alias("path"))
+    parts = pages.select(F.col("page_id").alias("page_id"), host.alias("host"), path.alias("path"), seed_counts("html").alias("text"))
     tokens = parts.withColumn("tokens", token_column(F.col("host"), F.col("path"), costs, log_total, spark))
     seeds = F.array(*map(F.lit, SEED_TOKENS))
     tokens = tokens.withColumn("seeded", F.arrays_overlap("tokens", seeds)).withColumn("row_id", F.monotonically_increasing_id())
