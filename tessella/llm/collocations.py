@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.bytewords import BETWEEN_PIECES, BETWEEN_WORDS, IN_WORD, split_bytes
@@ -43,7 +43,8 @@ _KIND[list(b" \t")] = BETWEEN_WORDS
 _KIND[list(_BREAKS)] = BETWEEN_PIECES
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
-COUNTED = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("start", pa.int32()), ("n", pa.int64())])
+COUNTED = pa.schema([("key", pa.string()), ("n", pa.int64())])
+CHUNKS = pa.schema([("lang", pa.string()), ("codes", pa.binary()), ("words", pa.binary()), ("shard", pa.int32())])
 
 
 def split_words(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -88,22 +89,62 @@ def distinct_grams(codes: np.ndarray, at: np.ndarray, size: int, words: int) ->
     return first, np.bincount(kinds, minlength=len(known))
 
 
-def count_chunk(texts: list[bytes], lang: str, step: int, cycle: int, steps: np.ndarray, longest: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases of a language that are active in this step, one row for each."""
-    codes, words, piece = split_words(texts)
-    n = len(codes)
+def coded_chunks(docs: DataFrame, cycle: int, chunk: int) -> DataFrame:
+    """(lang, codes, words, shard): texts of a language by about ``chunk`` bytes, as the words' codes and the words by code.
 
-    def rows(starts: list, size: int, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
-        each = len(phrases)
-        return pa.RecordBatch.from_arrays([pa.repeat(lang, each), pa.repeat(pa.scalar(size, pa.int32()), each), phrases.cast(pa.string()), pa.array(starts, type=pa.int32()), pa.array(counts, type=pa.int64())], schema=COUNTED)
+    A code is doubled, and odd for the first word of a piece. Texts are dealt to shards in turn.
+    """
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, held, turn = {}, {}, 0
+
+        def flush(lang: str, shard: int) -> pa.RecordBatch:
+            codes, words, piece = split_words(waiting.pop((lang, shard)))
+            doubled = codes.astype(np.int32) * 2 + (np.diff(piece, prepend=-1) != 0)
+            return pa.RecordBatch.from_pydict({"lang": [lang], "codes": [doubled.astype("<i4").tobytes()], "words": [b" ".join(words.to_pylist())], "shard": [shard]}, schema=CHUNKS)
 
-    if step < cycle and n:
-        yield rows([0], 0, pa.array([b""], pa.large_binary()), [n])
-        yield rows(np.zeros(len(words), dtype=np.int32), 1, words, np.bincount(codes, minlength=len(words)))
-    own = word_hashes(words.to_pylist(), lang)
-    hashes, own = own[codes], own
-    reach = reached_at(own, steps)[codes].astype(np.int16) if n else np.zeros(0, np.int16)
-    last = hashes
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+                raw, k = text.as_buffer().to_pybytes(), (lang, turn % cycle)
+                turn += 1
+                waiting.setdefault(k, []).append(raw)
+                held[k] = held.get(k, 0) + len(raw)
+                if held[k] >= chunk:
+                    yield flush(*k)
+                    held[k] = 0
+                if len(waiting) > 64:  # many languages: none waits for long
+                    for k in list(waiting):
+                        yield flush(*k)
+                    held.clear()
+        for k in list(waiting):
+            yield flush(*k)
+
+    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(code, "lang string, codes binary, words binary, shard int")
+
+
+def count_chunk(codes: np.ndarray, words: list[bytes], lang: str, step: int, cycle: int, steps: np.ndarray, longest: int) -> Iterator[pa.RecordBatch]:
+    """(key, n) of the phrases of a chunk that are active in this step, and the number of its words as a phrase of size 0.
+
+    A key is the start of the cycle and the size, a character each, the phrase, and the language: see ``read_key``.
+    """
+    piece, codes = np.cumsum(codes & 1), codes >> 1
+    n, table = len(codes), pa.array(words, pa.large_binary())
+    space, end = pa.scalar(b" ", pa.large_binary()), pa.scalar(b"\t" + lang.encode(), pa.large_binary())
+
+    def rows(starts: np.ndarray, size: int, parts: list[pa.Array], counts: np.ndarray) -> pa.RecordBatch:
+        heads = pa.array([f"{chr(33 + i)}{size}".encode() for i in range(int(starts.max()) + 1)], pa.large_binary())
+        keys = pc.binary_join_element_wise(heads.take(pa.array(starts)), *parts, end, space)
+        return pa.RecordBatch.from_arrays([keys.cast(pa.string()), pa.array(counts, type=pa.int64())], schema=COUNTED)
+
+    if not n:
+        return
+    if step < cycle:
+        yield rows(np.zeros(1, dtype=np.int16), 0, [pa.array([b""], pa.large_binary())], np.array([n]))
+        yield rows(np.zeros(len(words), dtype=np.int16), 1, [table], np.bincount(codes, minlength=len(words)))
+    own = word_hashes(words, lang)
+    last = hashes = own[codes]
+    reach = reached_at(own, steps)[codes].astype(np.int16)
     for size in range(2, min(longest, n) + 1):
         start = np.maximum(reach[:-1], reach[1:]) + 1  # reach: of the phrases one shorter
         start[piece[size - 1 :] != piece[: n - size + 1]] = NEVER + 1
@@ -111,8 +152,7 @@ def count_chunk(texts: list[bytes], lang: str, step: int, cycle: int, steps: np.
         at = np.flatnonzero(known & (start <= step) & (step < start + cycle))
         if len(at):
             first, counts = distinct_grams(codes, at, size, len(words))
-            parts = [words.take(pa.array(codes[first + i])) for i in range(size)]
-            yield rows(start[first], size, pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())), counts)
+            yield rows(start[first], size, [table.take(pa.array(codes[first + i])) for i in range(size)], counts)
         if size == longest or not known.any():
             break
         hashes = longer_hash(hashes[:-1], last[size - 1 :])
@@ -120,24 +160,23 @@ def count_chunk(texts: list[bytes], lang: str, step: int, cycle: int, steps: np.
         reach[known] = np.maximum(reached_at(hashes[known], steps), start[known] - 1)
 
 
-def count_shard(shard: DataFrame, step: int, cycle: int, steps, longest: int, chunk: int) -> DataFrame:
-    """(lang, size, phrase, start, n) of each task's chunks of a shard (lang, text), the number of words as size 0; ``steps`` is the broadcast table."""
+def read_key(key: str = "key") -> dict[str, Column]:
+    """The parts of a key."""
+    phrase = F.expr(f"substring({key}, 4, locate(' \t', {key}) - 4)")
+    lang = F.expr(f"substring({key}, locate(' \t', {key}) + 2)")
+    return {"start": F.ascii(key) - 33, "size": F.ascii(F.substring(key, 2, 1)) - 48, "phrase": phrase, "lang": lang}
+
+
+def count_shard(shard: DataFrame, step: int, cycle: int, steps, longest: int) -> DataFrame:
+    """(key, n) of each chunk of a shard; ``steps`` is the broadcast table."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, held = {}, 0
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                raw = text.as_buffer().to_pybytes()
-                waiting.setdefault(lang, []).append(raw)
-                held += len(raw)
-                if held >= chunk:
-                    for k, texts in waiting.items():
-                        yield from count_chunk(texts, k, step, cycle, steps.value, longest)
-                    waiting, held = {}, 0
-        for k, texts in waiting.items():
-            yield from count_chunk(texts, k, step, cycle, steps.value, longest)
+            for lang, codes, words in zip(*(batch.column(c) for c in ("lang", "codes", "words")), strict=True):
+                known = words.as_py().split(b" ")
+                yield from count_chunk(np.frombuffer(codes.as_buffer(), dtype="<i4"), known, lang.as_py(), step, cycle, steps.value, longest)
 
-    return shard.select("lang", "text").mapInArrow(count, "lang string, size int, phrase string, start int, n long")
+    return shard.select("lang", "codes", "words").mapInArrow(count, "key string, n long")
 
 
 def mark_reached(phrases: DataFrame, steps: np.ndarray, step: int) -> bool:
@@ -172,29 +211,30 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     Null texts count as empty, null languages as ``und``; very long texts are counted whole, repeated rows each time; an
     empty table gives empty tables; other columns, whatever their names, are ignored.
     """
-    if longest * cycle >= NEVER:
-        raise ValueError("too many steps for a byte")
+    if longest * cycle > 90 or longest > 9:
+        raise ValueError("too many steps or too long phrases for a key")
     spark = docs.sparkSession
     path = shared_path(spark, "shards")
-    dealt = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"), (F.monotonically_increasing_id() % cycle).cast("int").alias("shard"))
-    dealt.write.partitionBy("shard").parquet(path)
-    shards = spark.read.schema("lang string, text string, shard int").parquet(path)
+    coded_chunks(docs, cycle, chunk).write.partitionBy("shard").parquet(path)
+    shards = spark.read.schema("lang string, codes binary, words binary, shard int").parquet(path)
     steps = np.full(slots, NEVER, dtype=np.uint8)
+    part = read_key()
+    ends, frequent = part["start"] + (cycle - 1), F.col("n") >= least
     state, done, sizes, step, last = None, [], None, 0, cycle - 1
     while step <= last:
         shared = spark.sparkContext.broadcast(steps)
-        now = count_shard(shards.where(F.col("shard") == step % cycle), step, cycle, shared, longest, chunk).withColumn("reached", F.lit(False))
+        now = count_shard(shards.where(F.col("shard") == step % cycle), step, cycle, shared, longest).withColumn("reached", F.lit(False))
         now = now if state is None else now.unionByName(state)
-        counts = now.groupBy("lang", "size", "phrase", "start").agg(F.sum("n").alias("n"), F.max("reached").alias("reached"))
-        ends, frequent = F.col("start") + (cycle - 1), F.col("n") >= least
-        counts = materialize(counts.where((ends > step) | frequent | (F.col("size") == 0)), "counts")
+        counts = now.groupBy("key").agg(F.sum("n").alias("n"), F.max("reached").alias("reached"))
+        counts = materialize(counts.where((ends > step) | frequent | (part["size"] == 0)), "counts")
         shared.destroy()
         ended = counts.where(ends == step)
-        done.append(ended.where("size > 0").select("lang", "size", "phrase", F.col("n").alias("f")))
+        done.append(ended.where(part["size"] > 0).select(part["lang"].alias("lang"), part["size"].alias("size"), part["phrase"].alias("phrase"), F.col("n").alias("f")))
         if step == cycle - 1:
-            sizes = ended.where("size = 0").select("lang", "n")
+            sizes = ended.where(part["size"] == 0).select(part["lang"].alias("lang"), "n")
         state = counts.where(ends > step).withColumn("reached", frequent)
-        if mark_reached(counts.where(frequent & ~F.col("reached") & F.col("size").between(1, longest - 1)), steps, step):
+        fresh = counts.where(frequent & ~F.col("reached") & part["size"].between(1, longest - 1))
+        if mark_reached(fresh.select(part["lang"].alias("lang"), part["phrase"].alias("phrase")), steps, step):
             last = max(last, step + cycle)
         step += 1
     return materialize(reduce(DataFrame.unionByName, done), "phrases"), sizes
