@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import terms
 from tessella.operators import graph, graphretrieve, graphsearch, hypergraph, plangraph, retrieval
+from tessella.operators.connectivity import connectivity, distances_from
 from tessella.runtime import read_table as t
 
 
@@ -48,8 +49,8 @@ def label_propagation(spark, d):
 
 def shortest_path(spark, d):
     """Steps from the first part to all that it reaches, along either direction."""
-    e = graph.undirected(_bought_together(spark, d))
-    return graph.distances(e, e.agg(F.min("src").alias("node")))
+    e = _bought_together(spark, d)
+    return distances_from(e, e.agg(F.least(F.min("src"), F.min("dst")).alias("node")))
 
 
 def simple_paths(spark, d):
@@ -351,7 +352,7 @@ def _text_nodes(spark, d):
 def hypergraph_search(spark, d):
     """Documents divisible by 50, with their vector and first three terms, over documents in clusters and sources."""
     n = _text_nodes(spark, d)
-    clusters = n.select(F.concat(F.lit("c"), F.col("label").cast("string")).alias("edge_id"), F.lit("semantic_cluster").alias("edge_type"), F.col("id").alias("node_id")).where("node_id % 3 > 0")
+    clusters = n.select(F.concat(F.lit("c"), F.col("label").cast("string")).alias("edge_id"), F.lit("semantic_cluster").alias("edge_type"), F.col("id").alias("node_id"))
     sources = t(spark, d, "documents").select(F.concat(F.lit("s"), "source"), F.lit("reference"), "doc_id")
     asked = n.where("id % 50 = 0").select("id", "embedding", F.slice("terms", 1, 3).alias("terms"))
     return graphsearch.hypergraph_search(asked, n.select("id", "embedding", "terms"), clusters.unionAll(sources))
@@ -409,7 +410,7 @@ f AS (SELECT a.query_id, path, r FROM p JOIN st a ON a.node = path[1] JOIN st b
 m AS (SELECT f.query_id, path, r, count(DISTINCT t.keyword) AS matches FROM (SELECT *, unnest(path) AS node FROM f) f JOIN t USING (node) JOIN k ON k.query_id = f.query_id AND k.keyword = t.keyword GROUP BY 1, 2, 3)
 SELECT query_id, array_to_string(path, ',') AS path, r AS "references", round(matches / (0.5::DOUBLE * len(path)) * (1 + 0.2::DOUBLE * r), 6) AS score FROM m"""),
     "hypergraph_search": (hypergraph_search, f"""
-WITH {_NODES}, c AS (SELECT id, CASE WHEN id % 3 > 0 THEN 1.2 ELSE 1.1 END::DOUBLE AS w FROM n),
+WITH {_NODES}, c AS (SELECT id, 1.2::DOUBLE AS w FROM n),
 s AS (SELECT a.id AS query_id, b.id, round((0.7::DOUBLE * coalesce(list_cosine_similarity(a.v, b.v), 0) + 0.3::DOUBLE * len(list_intersect(q.q, b.terms)) / greatest(1, len(q.q))) * w, 6) AS score
   FROM n a JOIN (SELECT doc_id AS id, list_transform(range(1, least(len(x), 3) + 1), lambda i: x[i]) AS q FROM (SELECT id AS doc_id, list_filter(raw, lambda y, i: list_position(raw, y) = i) AS x FROM n)) q ON q.id = a.id JOIN n b ON a.id % 50 = 0 AND a.id <> b.id JOIN c ON c.id = b.id)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 5"""),
@@ -451,3 +452,19 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item, me
 
 
 QUERIES["graph_retrieve"] = (retrieve, _retrieve_sql())
+
+
+def connected(spark, d):
+    """Connectivity among every tenth part: distances over all parts, clustering and centrality among themselves."""
+    e = _bought_together(spark, d)
+    m = connectivity(e, t(spark, d, "part").where("p_partkey % 10 < 3").select(F.col("p_partkey").alias("node")))
+    return m.select("nodes", "pairs", *(F.round(c, 6).alias(c) for c in ("mean_distance", "score", "clustering", "centrality")))
+
+
+QUERIES["graph_connectivity"] = (connected, f"""{_E}, c AS (SELECT DISTINCT src AS node FROM u WHERE src % 10 < 3), k AS (SELECT count(*) AS n FROM c),
+p AS (SELECT node AS source, node, 0 AS distance FROM c UNION SELECT source, u.dst, distance + 1 FROM p JOIN u ON p.node = u.src WHERE distance < 40),
+m AS (SELECT source, node, min(distance) AS distance FROM p WHERE source <> node AND node IN (SELECT node FROM c) GROUP BY 1, 2), a AS (SELECT count(*) // 2 AS pairs, avg(distance) AS mean_distance FROM m),
+i AS (SELECT src, dst FROM u WHERE src IN (SELECT node FROM c) AND dst IN (SELECT node FROM c)), g AS (SELECT src AS node, count(*) AS d FROM i GROUP BY 1),
+t AS (SELECT x.src AS node, count(*) / 2 AS t FROM i x JOIN i y ON x.dst = y.src JOIN i z ON y.dst = z.src AND z.dst = x.src GROUP BY 1),
+f AS (SELECT sum(CASE WHEN d > 1 THEN coalesce(t, 0) / (d * (d - 1) / 2.0::DOUBLE) ELSE 0 END) AS cl, sum(d) AS d FROM g LEFT JOIN t USING (node))
+SELECT n AS nodes, pairs, round(mean_distance, 6) AS mean_distance, round(1 / mean_distance, 6) AS score, round(coalesce(cl, 0) / n::DOUBLE, 6) AS clustering, round(coalesce(d, 0) / (n * (n - 1))::DOUBLE, 6) AS centrality FROM a, k, f""")
