@@ -49,8 +49,11 @@ def triangles(edges: DataFrame) -> DataFrame:
     return counted.withColumn("clustering", F.when(pairs > 0, F.col("triangles") / pairs).otherwise(F.lit(0.0)))
 
 
-def pagerank(edges: DataFrame, restart: DataFrame | None = None, damping: float = 0.85, rounds: int = 10) -> DataFrame:
-    """(node, rank) after a fixed number of rounds; ``restart`` (node, weight) makes it personalised. Dangling rank restarts."""
+def pagerank(edges: DataFrame, restart: DataFrame | None = None, damping: float = 0.85, rounds: int = 10, tolerance: float | None = None) -> DataFrame:
+    """(node, rank) after a fixed number of rounds; ``restart`` (node, weight) makes it personalised. Dangling rank restarts.
+
+    With a ``tolerance`` rounds go on until ranks change by less than that a node on average; if ``rounds`` do not suffice it is an error.
+    """
     e = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
     out = materialize(e.groupBy("src").agg(F.count("*").alias("out")), "out")
     nodes = materialize(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), "nodes")
@@ -65,8 +68,13 @@ def pagerank(edges: DataFrame, restart: DataFrame | None = None, damping: float
         dangling = state.join(out, F.col("node") == F.col("src"), "left_anti").agg(F.sum("rank")).first()[0] or 0.0
         sent = e.join(out, "src").join(state.select(F.col("node").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
         flow = damping * (F.coalesce("got", F.lit(0.0)) + dangling * F.col("base"))
-        past, state = state, materialize(state.join(sent, F.col("node") == F.col("dst"), "left").select("node", "base", ((1 - damping) * F.col("base") + flow).alias("rank")), "rank")
+        after = state.join(sent, F.col("node") == F.col("dst"), "left").select("node", "base", ((1 - damping) * F.col("base") + flow).alias("rank"), F.col("rank").alias("before"))
+        past, state = state, materialize(after, "rank")
         release(past)
+        if tolerance is not None and (state.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] or 0.0) < n * tolerance:
+            return state.select("node", "rank")
+    if tolerance is not None and n:
+        raise RuntimeError(f"ranks have not settled in {rounds} rounds")
     return state.select("node", "rank")
 
 
@@ -82,6 +90,27 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return state
 
 
+def settled_labels(edges: DataFrame, limit: int = 200) -> DataFrame:
+    """(node, label) by label propagation to its end: every node has a label that no other label beats among its neighbours.
+
+    In a round a half of the nodes, drawn anew, take their neighbours' commonest label, the smallest on a tie, but only where it beats
+    their own. So neighbours seldom change at once, and labels do not swing. Over ``limit`` rounds it is an error, not a result.
+    """
+    both = materialize(undirected(edges), "undirected")
+    state = materialize(both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
+    for turn in range(limit):
+        votes = both.join(state.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), "label").agg(F.count("*").alias("votes"))
+        best = votes.groupBy("node").agg(F.max(F.struct("votes", (-F.col("label")).alias("smallest"))).alias("m"))
+        own = state.join(votes, ["node", "label"], "left").select("node", "label", F.coalesce("votes", F.lit(0)).alias("own"))
+        wishes = materialize(own.join(best, "node").where("m.votes > own").select("node", (-F.col("m.smallest")).alias("wish")), "wishes")
+        if wishes.isEmpty():
+            return state
+        drawn = wishes.where(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0)
+        past, state = state, materialize(state.join(drawn, "node", "left").select("node", F.coalesce("wish", "label").alias("label")), "labels")
+        release(past, wishes)
+    raise RuntimeError(f"labels have not settled in {limit} rounds")
+
+
 def distances(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
     """(source, node, distance) by breadth-first rounds along directed edges, until nothing new is reached or for ``most`` steps."""
     e = materialize(edges.select("src", "dst").distinct(), "edges")

@@ -468,3 +468,12 @@ i AS (SELECT src, dst FROM u WHERE src IN (SELECT node FROM c) AND dst IN (SELEC
 t AS (SELECT x.src AS node, count(*) / 2 AS t FROM i x JOIN i y ON x.dst = y.src JOIN i z ON y.dst = z.src AND z.dst = x.src GROUP BY 1),
 f AS (SELECT sum(CASE WHEN d > 1 THEN coalesce(t, 0) / (d * (d - 1) / 2.0::DOUBLE) ELSE 0 END) AS cl, sum(d) AS d FROM g LEFT JOIN t USING (node))
 SELECT n AS nodes, pairs, round(mean_distance, 6) AS mean_distance, round(1 / mean_distance, 6) AS score, round(coalesce(cl, 0) / n::DOUBLE, 6) AS clustering, round(coalesce(d, 0) / (n * (n - 1))::DOUBLE, 6) AS centrality FROM a, k, f""")
+
+
+def settled_labels(spark, d):
+    """Each part's label when labels have settled, and how many parts have it."""
+    found = graph.settled_labels(_bought_together(spark, d))
+    return found.join(found.groupBy("label").agg(F.count("*").alias("size")), "label").select("node", "label", "size")
+
+
+QUERIES["graph_settled_labels"] = (settled_labels, None)

@@ -209,7 +209,10 @@ h AS (SELECT conv_id, turn, len(list_intersect(g1, r1)) AS b1, len(g1)::DOUBLE A
 k AS (SELECT conv_id, turn, b1 / ng1 AS p1, b1 / nr1 AS q1, CASE WHEN ng2 > 0 THEN b2 / ng2 ELSE 0 END AS p2, CASE WHEN nr2 > 0 THEN b2 / nr2 ELSE 0 END AS q2 FROM h)
 SELECT conv_id, turn, round(p1, 6) AS rouge1_p, round(q1, 6) AS rouge1_r, round(CASE WHEN p1 + q1 > 0 THEN 2 * p1 * q1 / (p1 + q1) ELSE 0 END, 6) AS rouge1_f,
   round(p2, 6) AS rouge2_p, round(q2, 6) AS rouge2_r, round(CASE WHEN p2 + q2 > 0 THEN 2 * p2 * q2 / (p2 + q2) ELSE 0 END, 6) AS rouge2_f FROM k"""),
-    "rougeL": (rouge_l, None),
+    "rougeL": (rouge_l, f"""{_PAIRS},
+l AS (SELECT conv_id, turn, len(g)::DOUBLE AS ng, len(r)::DOUBLE AS nr, list_max(list_reduce([{{'row': list_transform(r, lambda y: 0), 'x': ''}}] || list_transform(g, lambda x: {{'row': []::INT[], 'x': x}}),
+  lambda a, b: {{'row': list_transform([list_transform(range(1, len(r) + 1), lambda j: greatest(a.row[j], (CASE WHEN j > 1 THEN a.row[j - 1] ELSE 0 END) + (r[j] = b.x)::INT))], lambda t: list_transform(range(1, len(r) + 1), lambda j: list_max(t[1:j])))[1], 'x': b.x}}).row)::BIGINT AS lcs FROM q)
+SELECT conv_id, turn, lcs, round(lcs / ng, 6) AS rougeL_p, round(lcs / nr, 6) AS rougeL_r, round(CASE WHEN lcs > 0 THEN 2 * (lcs / ng) * (lcs / nr) / (lcs / ng + lcs / nr) ELSE 0 END, 6) AS rougeL_f FROM l"""),
     "meteor": (meteor, f"""{_PAIRS},
 h AS (SELECT conv_id, turn, len(list_intersect(list_distinct(g), list_distinct(r)))::DOUBLE AS m, len(g)::DOUBLE AS ng, len(r)::DOUBLE AS nr, list_transform(g, lambda x: list_contains(r, x)) AS hit FROM q),
 k AS (SELECT *, len(list_filter(range(1, len(hit) + 1), lambda i: hit[i] AND (i = 1 OR NOT hit[i - 1])))::DOUBLE AS runs FROM h)

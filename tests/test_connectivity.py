@@ -1,12 +1,13 @@
 """Distances among many sources at once, and connectivity, against plain searches."""
 
 import random
-from collections import deque
+from collections import Counter, deque
 from itertools import combinations
 
 import pytest
 
 from tessella.operators import connectivity as C
+from tessella.operators import graph
 
 
 def plain_distances(edges, source):
@@ -48,3 +49,38 @@ def test_connectivity(spark):
     assert tuple(row) == pytest.approx((len(held), len(finite), mean, 1 / mean, sum(clustering) / len(held), sum(map(len, own.values())) / len(held) / (len(held) - 1)))
     empty = C.connectivity(spark.createDataFrame([], "src long, dst long"), spark.createDataFrame([(1,)], "node long")).first()
     assert tuple(empty) == (0, 0, None, 0.0, 0.0, 0.0)
+
+
+def test_labels_settle(spark):
+    rng = random.Random(6)
+    edges = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(30), 100 + rng.randrange(30)) for _ in range(60)] + [(200, 201 + i) for i in range(9)] + [(300 + i, 400 + j) for i in range(3) for j in range(3)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    label = {r.node: r.label for r in graph.settled_labels(df).collect()}
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    assert set(label) == set(near)
+    for n, others in near.items():
+        votes = Counter(label[x] for x in others)
+        assert votes[label[n]] == max(votes.values())
+    assert len({label[i] for i in range(41)}) <= 20
+    with pytest.raises(RuntimeError):
+        graph.settled_labels(df, 1)
+    assert graph.settled_labels(df.where("false")).count() == 0
+
+
+def test_ranks_settle(spark):
+    rng = random.Random(8)
+    edges = sorted({(rng.randrange(20), rng.randrange(20)) for _ in range(60)} - {(i, i) for i in range(20)})
+    df = spark.createDataFrame(edges, "src long, dst long")
+    got = {r.node: r.rank for r in graph.pagerank(df, rounds=100, tolerance=1e-6).collect()}
+    nodes = sorted({n for e in edges for n in e})
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(200):
+        lost = sum(rank[n] for n in nodes if not any(a == n for a, _ in edges))
+        rank = {n: 0.15 / len(nodes) + 0.85 * (lost / len(nodes) + sum(rank[a] / sum(x == a for x, _ in edges) for a, b in edges if b == n)) for n in nodes}
+    assert got == pytest.approx(rank, abs=1e-4) and sum(got.values()) == pytest.approx(1.0)
+    with pytest.raises(RuntimeError):
+        graph.pagerank(df, rounds=2, tolerance=1e-9)
