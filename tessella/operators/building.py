@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.embedding import DEFAULT, dimension, embedded
 from tessella.operators.chunking import SEPARATOR, heading_sections, length_chunks, level
+from tessella.operators.statistics import merged_statistics, run_statistics
 from tessella.runtime import materialize
 
 MANIFEST = "path string, document_name string, size long, modified timestamp, digest string, run long"
@@ -61,6 +62,12 @@ def read_base(spark: SparkSession, base: str, table: str) -> DataFrame:
     return rows.withColumn("run", F.col("run").cast("long")).join(kept, ["document_name", "run"], "left_semi").drop("run")
 
 
+def statistics(spark: SparkSession, base: str) -> DataFrame:
+    """Merged statistics of the runs that ended. A document that was built twice counts twice: sketches cannot forget."""
+    runs = [r for r in range(1, last_run(spark, base) + 1) if _exists(spark, f"{base}/manifest/run={r}/_SUCCESS")]
+    return merged_statistics(spark.read.parquet(*(f"{base}/statistics/run={r}" for r in runs)))
+
+
 def changed(found: DataFrame, known: DataFrame) -> DataFrame:
     """Documents (path, size, modified) that the manifest lacks or has with another size or time."""
     old = known.select("path", F.col("size").alias("old_size"), F.col("modified").alias("old_modified"))
@@ -129,6 +136,7 @@ def build(spark: SparkSession, found: DataFrame, read: Callable[[DataFrame], Dat
     nodes, edges = graph_of(chunks)
     for name, table in zip(TABLES, (chunks, nodes, edges, episodes(chunks, options.memories)), strict=True):
         table.write.mode("overwrite").parquet(f"{base}/{name}/run={run}")
+    run_statistics(fresh.select("text"), run).write.mode("overwrite").parquet(f"{base}/statistics/run={run}")
     columns = [F.col(c.split()[0]) for c in MANIFEST.split(", ")]
     kept = known.join(found.select("path"), "path", "left_semi").join(todo.select("path"), "path", "left_anti").select(*columns)
     new = state.withColumn("run", F.coalesce("built", F.lit(run)).cast("long")).select(*columns)

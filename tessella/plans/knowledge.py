@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import text as fx
-from tessella.operators import building, chunking, graph, sections
+from tessella.operators import building, chunking, graph, sections, statistics
 from tessella.runtime import read_table as t
 from tessella.runtime import shared_path
 
@@ -120,6 +120,21 @@ def build_base(spark, d):
     return chunks.join(building.manifest(spark, base).select("document_name", "run"), "document_name").select(F.substring("document_name", 5, 12).cast("long").alias("doc_id"), "n_chunk", "n_characters", "run")
 
 
+def statistics_of_runs(spark, d):
+    """Statistics of three runs over parts of the documents, merged from their written rows; the sketches are shown to be within their error."""
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    path = shared_path(spark, "statistics")
+    for run in range(3):
+        statistics.run_statistics(docs.where(F.col("doc_id") % 3 == run), run).write.mode("append").parquet(path)
+    found = statistics.merged_statistics(spark.read.parquet(path))
+    exact = docs.select(F.explode(fx.terms("text")).alias("term")).agg(F.countDistinct("term").alias("n"))
+    q = F.col("length_quantiles")
+    ranks = docs.crossJoin(F.broadcast(found.select("length_quantiles"))).agg(*(F.avg((F.length("text") <= q[i]).cast("int")).alias(f"r{i}") for i in range(3)))  # one row to all
+    close = [F.abs(F.col(f"r{i}") - (i + 1) / 4) <= statistics.KLL_ERROR for i in range(3)]
+    both = found.drop("length_quantiles").crossJoin(exact).crossJoin(ranks)  # three rows
+    return both.select("runs", "documents", "bytes", "occurrences", (F.abs(F.col("distinct_terms") - F.col("n")) <= statistics.HLL_ERROR * F.col("n")).alias("terms_close"), (close[0] & close[1] & close[2]).alias("lengths_close"))
+
+
 _CHUNKS = "SELECT doc_id, i AS chunk_no, regexp_replace(substr(text, i * 950 + 1, 1000), '^\\s+|\\s+$', '', 'g') AS corpus FROM (SELECT doc_id, text, unnest(range(0, greatest(0, ceil((length(text) - 1000) / 950.0))::INT + 1))::INT AS i FROM documents) WHERE corpus <> ''"
 
 _PAGE_LINES = r"""
@@ -162,6 +177,7 @@ QUERIES = {
     "hierarchy_chunks": (hierarchy_chunks, _HIERARCHY),
     "chunk_length": (chunk_length, f"SELECT *, doc_id || ' Para ' || (chunk_no + 1) || '.' AS reference FROM ({_CHUNKS})"),
     "build_base": (build_base, f"SELECT doc_id, count(*) AS n_chunk, sum(length(corpus))::BIGINT AS n_characters, CASE WHEN doc_id % 3 > 0 THEN 1 ELSE 2 END::BIGINT AS run FROM ({_CHUNKS}) GROUP BY 1"),
+    "run_statistics": (statistics_of_runs, "SELECT 3::BIGINT AS runs, count(*) AS documents, sum(strlen(text))::BIGINT AS bytes, sum(len(regexp_extract_all(lower(text), '[a-z0-9]{2,}')))::BIGINT AS occurrences, true AS terms_close, true AS lengths_close FROM documents"),
     "chunk_meta": (chunk_meta, f"SELECT doc_id, count(*) AS n_chunk, count(DISTINCT chunk_no // 4) AS n_section, sum(length(corpus))::BIGINT AS n_characters FROM ({_CHUNKS}) GROUP BY 1"),
     "chunk_level_groups": (chunk_level_groups, """
 WITH h AS (SELECT concat_ws(' > ', lang, CASE WHEN n_chars > 1000 THEN source END, CASE WHEN n_chars > 5000 THEN 'long' END) AS hierarchy, n_chars FROM documents)

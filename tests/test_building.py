@@ -42,6 +42,8 @@ def test_two_runs_equal_one_and_read_new_files_only(spark, folder, tmp_path):
     write(folder, "a.md", MD + " More.", 1_700_000_200)
     second = building.build_folder(spark, folder, base)
     assert (second["run"], second["read"], second["built"], second["kept"], second["gone"]) == (2, 2, 2, 1, 0)
+    stats = building.statistics(spark, base).first()
+    assert (stats.runs, stats.documents) == (2, 4) and stats.distinct_terms == 17
     write(folder, "b.txt", "plain words " * 200, 1_700_000_000)
     building.build_folder(spark, folder, f"{tmp_path}/whole")
     assert tables(spark, base) == tables(spark, f"{tmp_path}/whole")
