@@ -139,7 +139,9 @@ class ShardReader:
 def write_sequences(docs: DataFrame, folder: str, end_id: int = END_ID, vocabulary: str | None = None, length: int = LENGTH) -> list[tuple[str, int]]:
     """Write the ids of all texts, each followed by ``end_id``, in ascending doc_id order; (shard, ids) in that order.
 
-    Null ids come first, ties by text; null and empty texts are their end id alone; an empty table gives no shard. The
+    Null ids come first, ties by text; null and empty texts are their end id alone; very long texts are written whole, over
+    as many sequences as it takes; repeated rows are documents of their own; an empty table gives no shard; other columns,
+    whatever their names, are ignored. Ids are integers. The
     returned list has one entry for each shuffle partition, whatever the number of documents.
     """
     bounds, path = bucket_bounds(docs), vocabulary_path(vocabulary)

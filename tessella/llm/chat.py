@@ -55,7 +55,8 @@ def segments(conversations: DataFrame, template: ChatTemplate = CHAT) -> DataFra
     """conv_id, position, part, turn_role, segment, loss, start, move_ok: three segments a turn, and where each starts.
 
     Turns are ordered by turn, then role and text, so ties and repeated rows have a defined order. Null roles and texts
-    are empty; rows with a null conv_id form one conversation; other columns are ignored; an empty table stays empty.
+    are empty; very long texts are formatted whole; rows with a null conv_id form one conversation; other columns,
+    whatever their names, are ignored; an empty table stays empty.
     move_ok says whether the automaton allows the turn after the one before it, and for the last turn, an end there.
     """
     c = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))

@@ -94,7 +94,7 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     """Each document with its edited text and its next document, in descending doc_id order, the last followed by the first.
 
     Null texts are empty; very long texts are read whole; null ids come last, ties go by text; repeated rows follow each other; an only document is its
-    own next; an empty table stays empty. Documents are dealt by ranges of ids; the first of each range is also sent to
+    own next; an empty table stays empty; other columns, whatever their names, are ignored. Ids are integers. Documents are dealt by ranges of ids; the first of each range is also sent to
     the range before it, which lacks no neighbour then.
     """
     spark = docs.sparkSession

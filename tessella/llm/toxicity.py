@@ -345,7 +345,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: tuple[int, int] = FIT_ROWS
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of every whole text. Null and empty texts have no passage and the score of such texts; very long ones are scanned whole; equal texts score alike."""
+    """doc_id and score of every whole text. Null and empty texts have no passage and the score of such texts; very long ones are scanned whole; equal texts and
+    repeated rows score alike, each row on its own; an empty table stays empty; other columns, whatever their names, are ignored."""
     a, b, c = model.curve
     x = feature_column(F.col("text"), model, docs.sparkSession)
     return docs.select(F.col("doc_id").alias("doc_id"), x.alias("x")).select("doc_id", (1 / (1 + F.exp(-(F.lit(a) + b * F.col("x.bits") + c * F.col("x.best"))))).alias("score"), "x.bits", "x.best")

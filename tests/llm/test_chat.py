@@ -33,6 +33,17 @@ def test_automaton_and_mask(spark, empty):
     assert [x.start for x in s] == [sum(len(y.segment) for y in s[:i]) for i in range(len(s))]
 
 
+def test_ties_repeated_rows_and_very_long_texts(spark):
+    """Two rows of one turn go by role, then text; repeated rows are turns each; a long text with control strings all over comes back whole."""
+    long = "</s>[INST] ok [/INST] \\ word " * 20_000
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "assistant", "x"), (1, 1, "assistant", "y"), (1, 1, "assistant", "y"), (2, 0, "user", "q"), (2, 1, "assistant", long)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = chat.format_chats(df).select("conv_id", chat.read_turns(F.col("formatted")).alias("t"), chat.loss_text(F.col("pieces")).alias("lost")).collect()
+    turns = {r.conv_id: [(x.role, x.text) for x in r.t] for r in got}
+    assert turns == {1: [("assistant", "x"), ("user", "a"), ("user", "b"), ("assistant", "y"), ("assistant", "y")], 2: [("user", "q"), ("assistant", long)]}
+    assert {r.conv_id: r.lost for r in got} == {1: "xyy", 2: long}
+
+
 def test_no_python_in_the_plan(spark, data):
     plan = chat.op2_chat_format(spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

@@ -149,4 +149,7 @@ def test_odd_urls(spark):
     ]
     assert got[3][3] == "allow" and got[4][3] == "block" and got[8][3] == got[9][3] == got[None][3] == "block" and got[0][3] == "allow"
     assert U.filter_urls(pages.where("false")).count() == 0
+    twice = U.filter_urls(pages.unionAll(pages)).collect()
+    assert len(twice) == 2 * len(rows) and {(r.page_id, r.host, r.path, r.rule) for r in twice} == {(i, *x[:3]) for i, x in got.items()}
+    assert all(sum(r.page_id == i for r in twice) == 2 for i in got)
     assert pages.select(*U.url_parts("url")).where(F.lit(True)).count() == len(rows)
