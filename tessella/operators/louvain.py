@@ -1,7 +1,7 @@
 """Communities by Louvain's method: moves of single nodes, many at once, then the same on the graph of the communities.
 
-Moves of one round must not undo each other's gain. Rounds take turns between two rules, either of which makes the sum of
-the gains a lower bound of what the modularity rises by:
+Moves of one round must not undo each other's gain. A round goes by one of two rules, either of which makes the sum of the
+gains a lower bound of what the modularity rises by:
 
 - Every community is a sender or a receiver, by a hash of it and the round. Nodes of senders ask for the best receiver, and move
   where the gain stays above 0 even if all others that ask for that receiver came first and all others that ask to leave had left.
@@ -60,23 +60,25 @@ def _mutual(asks: DataFrame, seed: int) -> DataFrame:
 
 def _settle(nodes: DataFrame, links: DataFrame, two_m: float, resolution: float, seed: int) -> tuple[DataFrame, bool]:
     """Move nodes (node, c, k) until no single move gains; and whether any was made."""
-    moved = False
+    moved, by_role = False, True
     for turn in count():
-        asks = materialize(_proposals(nodes, links, two_m, resolution, seed, turn if turn % 2 == 0 else None), "asks")
+        asks = materialize(_proposals(nodes, links, two_m, resolution, seed, turn if by_role else None), "asks")
         n = asks.count()
-        if n == 0 and turn % 2:
+        if n == 0 and not by_role:
             release(asks)
             return nodes, moved
-        if n == 0:
-            release(asks)
-            continue
-        chosen = _safe(asks, two_m, resolution) if turn % 2 == 0 else _mutual(asks, seed)
-        after = materialize(nodes.join(chosen, "node", "left").select("node", F.coalesce("into", "c").alias("c"), "k"), "members")
-        release(asks, nodes)
-        nodes, moved = after, True
-
-
-def _try(links: DataFrame, start: DataFrame, two_m: float, resolution: float, seed: int) -> DataFrame:
+        chosen = materialize(_safe(asks, two_m, resolution) if by_role else _mutual(asks, seed), "chosen")
+        made = chosen.count()
+        if made:
+            after = materialize(nodes.join(chosen, "node", "left").select("node", F.coalesce("into", "c").alias("c"), "k"), "members")
+            release(nodes)
+            nodes, moved = after, True
+        release(asks, chosen)
+        # roles go on while they move most of those that ask, and come back where the other rule leaves many
+        by_role = 4 * made >= n > 0 if by_role else n > 8 * made
+
+
+def _try(links: DataFrame, start: DataFrame, two_m: float, resolution: float, seed: int, refine: bool) -> DataFrame:
     """(node, c): levels of moves and contractions until neither single nodes nor whole communities gain by a move."""
     level = materialize(start, "members")
     for turn in count():
@@ -95,7 +97,7 @@ def _try(links: DataFrame, start: DataFrame, two_m: float, resolution: float, se
             up_moved = True
             joined = up_nodes.select(F.col("node").alias("old"), F.col("c").alias("new"))
             named = materialize(named.join(joined, F.col("c") == F.col("old")).select("node", F.col("new").alias("c"), "k"), "members")
-        if not up_moved:
+        if not up_moved or not refine:
             return named
         level = named  # single nodes may gain again
 
@@ -107,12 +109,13 @@ def _modularity(links: DataFrame, named: DataFrame, two_m: float, resolution: fl
     return inner / two_m - resolution * squares / two_m**2
 
 
-def louvain_communities(edges: DataFrame, resolution: float = 1.0, tries: int = 1, start: DataFrame | None = None) -> DataFrame:
+def louvain_communities(edges: DataFrame, resolution: float = 1.0, tries: int = 1, start: DataFrame | None = None, refine: bool = False) -> DataFrame:
     """(node, community) of the edges (src, dst, and weight where there is one), undirected; community is the smallest node of each.
 
     Every end of an edge is in one community; loops and repeats are ignored, repeats with weights add up. Each try breaks ties
     in its own way; the one of the highest modularity is taken. ``start`` (node, community) begins one more try, whose result is
-    never worse than it.
+    never worse than it. ``refine`` goes back to single nodes after the last level, and through the levels again, until no node gains by
+    a move; without it that holds of the communities of the last level.
     """
     if "weight" in edges.columns:
         e = edges.where("src <> dst AND weight > 0").select("src", "dst", F.col("weight").cast("double").alias("w"))
@@ -129,7 +132,7 @@ def louvain_communities(edges: DataFrame, resolution: float = 1.0, tries: int =
         starts.append((degrees.join(start, "node", "left").select("node", F.coalesce("community", "node").alias("c"), "k"), tries))
     best, named = None, None
     for first, seed in starts:
-        found = _try(links, first, two_m, resolution, seed)
+        found = _try(links, first, two_m, resolution, seed, refine)
         value = _modularity(links, found, two_m, resolution) if len(starts) > 1 else 0.0
         if best is None or value > best:
             best, named = value, found

@@ -36,7 +36,7 @@ def partitions(nodes):
 
 def found(spark, pairs, resolution=1.0, tries=1, start=None):
     df = spark.createDataFrame([(a, b) for a, b in pairs], "src long, dst long")
-    return {r.node: r.community for r in louvain.louvain_communities(df, resolution, tries, start).collect()}
+    return {r.node: r.community for r in louvain.louvain_communities(df, resolution, tries, start, refine=True).collect()}
 
 
 def no_single_move_gains(edges, named, resolution):
