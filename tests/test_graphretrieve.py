@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from tessella.functions.embedding import embedded
 from tessella.operators.graphretrieve import Retrieval, graph_retrieve
+from tessella.plans import catalogue
+from tests.compare import spark_rows, sql_rows
 
 
 @pytest.fixture(scope="module")
@@ -45,3 +47,15 @@ def test_unknown_choices():
         Retrieval(("guess",))
     with pytest.raises(ValueError):
         Retrieval(rerank="guess")
+
+
+def test_hypergraph_search_takes_documents_without_vectors(spark, tmp_path):
+    """All documents ask and are found: by words alone, with the weight of their source, where they have no vector; not where they are in no hyperedge."""
+    docs = [(0, "red apple pie", "a"), (1, "red apple", "a"), (2, "red apple", "b"), (3, "red apple", None), (50, "red car park", "b"), (51, "stone", "a")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = [(0, [1.0, 0.0], 7), (1, [0.6, 0.8], 7), (51, [0.0, 1.0], None)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = spark_rows(catalogue.queries()["hypergraph_search"](spark, str(tmp_path)))
+    assert got == sql_rows(catalogue.oracle_sql()["hypergraph_search"], str(tmp_path))
+    found = {(q, i): s for i, q, _, s in got[1]}
+    assert found == {(0, 1): 0.744, (0, 2): 0.22, (0, 50): 0.11, (50, 0): 0.12, (50, 1): 0.12, (50, 2): 0.11}
