@@ -199,9 +199,15 @@ def _estimates(moments: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["grp", "start", "logdet", "mean", "inverse"])
 
 
-def squared_distance(x: list[Column], mean: Column, inverse: Column) -> Column:
-    d = [v / UNIT - F.get(mean, F.lit(i)) for i, v in enumerate(x)]
-    return sum((F.get(inverse, F.lit(P * i + j)) * d[i] * d[j] for i in range(P) for j in range(P)), F.lit(0.0))
+def with_distance(rows: DataFrame) -> DataFrame:
+    """``rows`` of x0..x6, mean, inverse and scale with their squared distance over the scale; null without an estimate.
+
+    The deviations are columns of their own, and the inverse is symmetric, so that the expression stays short.
+    """
+    apart = rows.select("*", *((F.col(x) / UNIT - F.get("mean", F.lit(i))).alias(f"d{i}") for i, x in enumerate(X)))
+    term = lambda i, j: (1 + (i < j)) * F.get("inverse", F.lit(P * i + j)) * F.col(f"d{i}") * F.col(f"d{j}")
+    total = sum((term(i, j) for i in range(P) for j in range(i, P)), F.lit(0.0))
+    return apart.withColumn("distance", total / F.col("scale"))
 
 
 def _concentrate(x: np.ndarray, mean: np.ndarray, inverse: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -256,7 +262,7 @@ def _cuts(blocks: DataFrame, estimates: DataFrame, share: float) -> DataFrame:
 
 def _step(blocks: DataFrame, active: DataFrame) -> DataFrame:
     """One concentration step of every start: the estimate of the nearest half under the last one, and that one's logdet as ``before``."""
-    cut = active.join(_cuts(blocks, active, SHARE), ["grp", "start"])
+    cut = materialize(active.join(_cuts(blocks, active, SHARE), ["grp", "start"]), "cut")
     met = blocks.join(_per_group(cut, "mean", "inverse", "cut"), "grp")
     sums = met.mapInArrow(_sum_moments, "grp string, start int, " + ", ".join(f"{m} long" for m in MOMENTS)).groupBy("grp", "start").agg(*(F.sum(m).alias(m) for m in MOMENTS))
     found = sums.mapInPandas(_estimates, ESTIMATE)
@@ -276,7 +282,8 @@ def fit_groups(rows: DataFrame) -> DataFrame:
         settled.append(found.where(~falls).drop("before"))
         # starts that have met go on as one
         same = F.row_number().over(W.partitionBy("grp", F.round("logdet", 6), *(F.round(F.get("mean", F.lit(i)), 6) for i in range(P))).orderBy("start"))
-        active = found.where(falls).drop("before").withColumn("same", same).where("same = 1").drop("same")
+        # a step names these few rows three times: written, they keep the plans small that the driver holds
+        active = materialize(found.where(falls).drop("before").withColumn("same", same).where("same = 1").drop("same"), "active")
     ends = reduce(DataFrame.unionByName, settled, active)  # active is empty
     best = ends.groupBy("grp").agg(F.min_by(F.struct("start", "mean", "inverse"), F.struct("logdet", "start")).alias("e"))
     estimate = materialize(best.select("grp", "e.*"), "estimate")
@@ -289,7 +296,7 @@ def group_names(counted: DataFrame) -> DataFrame:
 
     A pool below LEAST rows has a null grp: its rows are left to the base rules. Nulls are values of their own.
     """
-    sizes = counted.groupBy("lang", "source").agg(F.count(F.when(~base_failed("counts"), 1)).alias("n"))
+    sizes = counted.groupBy("lang", "source").agg(F.count(F.when(~F.col("base_failed"), 1)).alias("n"))
     name = lambda *c: F.to_json(F.array(*(F.coalesce(F.concat(F.lit("="), x), F.lit("")) for x in c)))
     small = sizes.where(F.col("n") < LEAST)
     pools = small.groupBy(F.col("lang").alias("l")).agg(F.sum("n").alias("pool"))
@@ -305,17 +312,16 @@ def judge(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
     Null and blank texts have no words and fail; very long texts are counted whole; ties and repeated rows are judged
     alike; null languages and sources are values of their own; an empty table stays empty. The input's columns stay
-    inside ``row``, so none of their names can clash with ours. The counts of each text are made once, in a written
+    inside ``row``, so none of their names can clash. The counts and the vector of each text are made once, in a written
     table that the later passes read by column.
     """
-    counted = materialize(docs.select(row_of(docs, columns), named("lang").alias("lang"), named("source").alias("source"), text_counts("text").alias("counts")), "counted")
-    names = materialize(group_names(counted.select("lang", "source", "counts")), "groups").select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "grp")
+    counts = docs.select(row_of(docs, columns), named("lang").alias("lang"), named("source").alias("source"), text_counts("text").alias("counts"))
+    counted = materialize(counts.select("*", base_failed("counts").alias("base_failed"), *(x.alias(n) for n, x in zip(X, vector("counts"), strict=True))), "counted")
+    names = materialize(group_names(counted.select("lang", "source", "base_failed")), "groups").select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "grp")
     grouped = counted.join(names, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
-    usable = grouped.where(~base_failed("counts") & F.col("grp").isNotNull()).select("grp", *(x.alias(f"x{i}") for i, x in enumerate(vector("counts"))))
-    fit = fit_groups(usable)
-    distance = squared_distance(vector("counts"), F.col("mean"), F.col("inverse")) / F.col("scale")
-    fine = ~base_failed("counts") & (F.coalesce(distance, F.lit(0.0)) <= CHI2_CUT)
-    return grouped.join(fit, "grp", "left").select("row", "counts", base_failed("counts").alias("base_failed"), fine.alias("kept"), distance.alias("distance"))
+    fit = fit_groups(grouped.where(~F.col("base_failed") & F.col("grp").isNotNull()).select("grp", *X))
+    fine = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CHI2_CUT)
+    return with_distance(grouped.join(fit, "grp", "left")).select("row", "counts", "base_failed", fine.alias("kept"), "distance")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

@@ -115,3 +115,17 @@ def test_odd_rows(spark, odd, empty):
     assert Q.keep_good(odd).columns == odd.columns
     for _, t in [(0, "a b c d e " * 4), (0, "x\n\n \nx\ny\nx"), (0, None)]:
         assert Q.count_text(t.encode() if t else None)[:5] == plain_counts(t)
+
+
+def test_plans_stay_small(spark, monkeypatch):
+    """The driver holds every plan: the distance names each estimate a few times, and no step carries the plan of the one before."""
+    plans = []
+    plan_of = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(Q, "materialize", lambda df, name="table", write=Q.materialize: (plans.append(plan_of(df)), write(df, name))[1])
+    draw = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in draw.integers(0, 500, draw.integers(20, 200))) for _ in range(150)]
+    docs = spark.createDataFrame([(i, "en", "s", x) for i, x in enumerate(texts)], "doc_id long, lang string, source string, text string")
+    judged = Q.judge(docs)
+    assert plan_of(judged).count("mean#") < 20 and plan_of(judged).count("ln(") == 0
+    assert max(p.count("Join") for p in plans) <= 4
+    assert judged.where("kept").count() > 140
