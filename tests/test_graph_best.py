@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import graph
+from tessella.operators import graph, graphsearch
 from tessella.operators.relational import top_per_key
 
 
@@ -45,10 +45,12 @@ def test_questions_and_classes_meet_instead_of_queries_and_items(spark, monkeypa
         rows.append((out := write(df, name)).count())
         return out
 
-    monkeypatch.setattr(graph, "materialize", counted)
+    for module in (graph, graphsearch):
+        monkeypatch.setattr(module, "materialize", counted)
     nodes = spark.range(3000).select(F.col("id").alias("node"), F.array(F.when(F.col("id") % 2 == 0, "even").otherwise("odd")).alias("terms"))
     asked = spark.range(400).select(F.col("id").alias("query_id"), F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("keyword"))
-    edges = spark.createDataFrame([(0, 2), (1, 3), (4, 5)], "src long, dst long")
+    edges = spark.createDataFrame([(0, 2, 1.0, "REFERENCES"), (1, 3, 1.0, "x"), (4, 5, 1.0, "x")], "src long, dst long, weight double, edge_type string")
     best = graph.structural_best(edges, nodes, asked, 2)
     assert best.count() == 800 and {(r.query_id % 2, r.node) for r in best.collect()} == {(0, 0), (0, 2), (1, 1), (1, 3)}
-    assert max(rows) <= 3000
+    found = graphsearch.path_search(edges, nodes, asked)
+    assert found.count() == 400 and max(rows) <= 3000
