@@ -1,4 +1,4 @@
-"""The best items of a query by classes: held against the plain searches, and without their pairs."""
+"""The best items of a query by classes, paths within groups: held against the plain searches, and without their pairs."""
 
 import random
 
@@ -54,3 +54,14 @@ def test_questions_and_classes_meet_instead_of_queries_and_items(spark, monkeypa
     assert best.count() == 800 and {(r.query_id % 2, r.node) for r in best.collect()} == {(0, 0), (0, 2), (1, 1), (1, 3)}
     found = graphsearch.path_search(edges, nodes, asked)
     assert found.count() == 400 and max(rows) <= 3000
+
+
+def test_paths_within_groups_are_those_between_their_pairs(spark):
+    _, edges, _, _, _, _ = graph_of(spark, 3)
+    e = spark.createDataFrame([(a, b, 1.0 + a, "REFERENCES" if a % 2 else "x") for a, b in edges], "src long, dst long, weight double, edge_type string")
+    starts = [(n, g) for n in range(0, 60, 3) for g in {n % 4, n % 5}]
+    ends = [(n, n % 4) for n in range(60)] + [(None, 1), (7, None)]
+    pairs = sorted({(a, b) for a, g in starts for b, h in ends if g == h and b is not None})
+    within = graphsearch.paths_within(e, spark.createDataFrame(starts, "start long, group long"), spark.createDataFrame(ends, "end long, group long"), 3)
+    want = graphsearch.paths_between(e, spark.createDataFrame(pairs, "start long, end long"), 3)
+    assert plain(within) == plain(want) != []
