@@ -58,6 +58,51 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_ends:
     return met.select(*keys, *(c for c in left.columns if c not in keys), *(c for c in right.columns if c not in keys))
 
 
+def interval_summary(spans: DataFrame, points: DataFrame, keys: list[str], ends: tuple[str, str], time: str, value: str) -> DataFrame:
+    """Each row of ``spans`` that holds a point of equal ``keys`` in its closed range, with n, the number of these points, and least, the least ``value`` of them.
+
+    No pair of a span and a point is made. Starts, points and ends are sorted as one and dealt by ranges of that order, so that a span
+    is a run of numbered points and n the difference of two numbers. A run is put together from blocks of 1, STEP,
+    STEP * STEP ... points, a few of each size, and a table of the blocks has the least of each. A null end has no limit; rows with a null
+    start, time or key, or an end before the start, meet nothing.
+    """
+    line = lambda df, c: on_line(F.col(c), df.schema[c].dataType)
+    known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys), F.lit(True))
+    spans = spans.withColumn("_a", line(spans, ends[0])).withColumn("_b", line(spans, ends[1])).where(known & F.col("_a").isNotNull() & F.coalesce(F.col("_b") >= F.col("_a"), F.lit(True)))
+    spans = materialize(spans.withColumn("_span", F.monotonically_increasing_id()), "spans")
+    kind = points.schema[value].dataType
+    marks = [spans.select(*keys, F.col(c).alias("_t"), F.col(c).isNull().alias("_open"), F.lit(side).alias("_side"), "_span", F.lit(None).cast(kind).alias("_value")) for c, side in (("_a", 0), ("_b", 2))]
+    marks.append(points.select(*keys, line(points, time).alias("_t"), F.lit(False).alias("_open"), F.lit(1).alias("_side"), F.monotonically_increasing_id().alias("_span"), F.col(value).alias("_value")).where(known & F.col("_t").isNotNull()))
+    both = reduce(DataFrame.unionAll, marks)
+    size = max(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-both.count() // RANGE_ROWS))
+    order = [*keys, "_open", "_t", "_side", "_span"]
+    dealt = both.repartitionByRange(size, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    placed = materialize(dealt.select("_side", "_span", "_value", "_place"), "on-line").withColumn("_range", F.shiftright("_place", 33)).withColumn("_point", (F.col("_side") == 1).cast("long"))
+    held = placed.groupBy("_range").agg(F.sum("_point").alias("held"))  # a row a range
+    starts = held.select("_range", F.coalesce(F.sum("held").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    along = W.partitionBy("_range").orderBy("_place").rowsBetween(W.unboundedPreceding, 0)
+    ranked = placed.withColumn("_seen", F.sum("_point").over(along)).join(F.broadcast(starts), "_range").select("_side", "_span", "_value", (F.col("_seen") + F.col("before")).alias("_rank"))
+    ranked = materialize(ranked, "ranked")
+    last = lambda side: F.max(F.when(F.col("_side") == side, F.col("_rank")))
+    runs = materialize(ranked.where("_side <> 1").groupBy("_span").agg(last(0).alias("_lo"), last(2).alias("_hi")).where("_hi > _lo"), "runs")
+    longest = runs.agg(F.max(F.col("_hi") - F.col("_lo"))).first()[0] or 0
+    levels = next(k for k in range(64) if STEP**k >= longest)
+    up = lambda k: (F.floor((F.col("_lo") + (STEP**k - 1)) / STEP**k), F.floor(F.col("_hi") / STEP**k))
+    run = lambda x, y: F.when(x < y, F.sequence(x, y - 1)).otherwise(F.array().cast("array<bigint>"))
+    named = lambda blocks, k: F.transform(blocks, lambda x: F.struct(F.lit(k).alias("_level"), x.alias("_block")))
+    parts = []
+    for k in range(levels + 1):  # whole blocks of this size on either side of those of the next, or all if there are none
+        (lo, hi), (more_lo, more_hi) = up(k), up(k + 1)
+        blocks = F.when(more_lo < more_hi, F.concat(run(lo, more_lo * STEP), run(more_hi * STEP, hi))).otherwise(run(lo, hi)) if k < levels else run(lo, hi)
+        parts.append(named(blocks, k))
+    asked = runs.select("_span", F.explode(F.concat(*parts)).alias("x")).select("_span", "x.*")
+    numbers = ranked.where("_side = 1").select((F.col("_rank") - 1).alias("_idx"), "_value", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("_level"))
+    table = numbers.groupBy("_level", F.floor(F.col("_idx") / F.pow(F.lit(float(STEP)), F.col("_level"))).alias("_block")).agg(F.min("_value").alias("_value"))
+    least = asked.join(table, ["_level", "_block"]).groupBy("_span").agg(F.min("_value").alias("least"))
+    met = spans.join(runs, "_span").join(least, "_span")
+    return met.select(*(c for c in spans.columns if c not in ("_a", "_b", "_span")), (F.col("_hi") - F.col("_lo")).alias("n"), "least")
+
+
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, tie: list[str] | None = None, strict: bool = False, most: float | None = None) -> DataFrame:
     """Each row of ``left`` with the last row of ``right`` of the same keys on or before it (before it, if ``strict``); nulls where there is none.
 

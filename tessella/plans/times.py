@@ -23,8 +23,8 @@ def asof(spark, d):
 def intervals(spark, d):
     """Errors within each purchase's span, of one hour to ten days by its number, whoever made them; how many, and the first."""
     spans = _events(spark, d, "purchase", "purchase").drop("user_id").withColumn("until", F.expr("purchase_ts + make_dt_interval(0, 1 + 239 * CAST(purchase_id % 50 = 0 AS INT))"))
-    met = timejoin.interval_join(spans, _events(spark, d, "error", "error").drop("user_id"), [], ("purchase_ts", "until"), ("error_ts", "error_ts"), HOUR)
-    return met.groupBy("purchase_id").agg(F.count("*").alias("n"), F.min("error_id").alias("first_error"))
+    met = timejoin.interval_summary(spans, _events(spark, d, "error", "error").drop("user_id"), [], ("purchase_ts", "until"), "error_ts", "error_id")
+    return met.groupBy("purchase_id").agg(F.sum("n").alias("n"), F.min("least").alias("first_error"))
 
 
 PERIODS = [(1, "1995-01-10", "1995-02-03"), (2, "2001-06-01", None), (3, "1998-05-05", "1998-05-05"), (4, "1990-01-01", "1990-12-31")]
