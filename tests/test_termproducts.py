@@ -5,8 +5,9 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from tessella.operators import memory, termproducts
+from tessella.operators import memory, retrieval, termproducts
 
 
 @pytest.mark.parametrize("dense", [0, 3, 512])
@@ -23,6 +24,21 @@ def test_products_match_plain_sums(monkeypatch, dense):
     assert np.array_equal(got, want)
 
 
+def test_tfidf_by_blocks_is_tfidf_by_joins(spark, monkeypatch):
+    monkeypatch.setattr(termproducts, "DENSE", 4)
+    rng = random.Random(8)
+    docs = [(i, None if i == 5 else " ".join(rng.choices([f"w{k}" for k in range(30)], k=rng.randrange(12)))) for i in range(80)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    asked = frame.where("doc_id % 7 = 0").select(F.col("doc_id").alias("id"), "text")
+    found = sorted(map(tuple, retrieval.tfidf_search_all(asked, frame).collect()))
+    assert found == sorted((r.query_id, r.id, r.score, r.rank) for r in retrieval.tfidf_search(asked, frame).collect()) != []
+    split = spark.createDataFrame([(1, "aa bb"), (1, "aa cc"), (2, "bb")], "doc_id long, text string")  # two rows are one document
+    one = retrieval.tfidf_search_all(spark.createDataFrame([(9, "aa")], "id long, text string"), split).collect()
+    assert [(r.id, r.rank) for r in one] == [(1, 1)]
+    plan = retrieval.tfidf_search_all(asked, frame)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # what meets is not joined by terms
+
+
 def test_episodes_match_a_plain_version(spark, monkeypatch):
     monkeypatch.setattr(termproducts, "DENSE", 3)
     rng = random.Random(9)
